@@ -5,6 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from specmill.llm import titles
+from specmill.sources.tables import table
+
+
+def _title_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return titles.match_titles(table(spark, sf_dir, "structure"), "title", table(spark, sf_dir, "required_section_template"), "section_key", "title", "aliases")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entry of the required-section list that every typed heading stands for."""
+    rows = titles.assign_titles(table(spark, sf_dir, "structure"), ["doc_id", "section_ord"], "title", _title_matches(spark, sf_dir))
+    return rows.withColumnRenamed("entry", "section_key")
+
+
+def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headings that stand for no entry, with the number of sections that have them."""
+    unmatched = _title_matches(spark, sf_dir).where(F.col("entry") == titles.UNMATCHED).select(F.col("value").alias("title"))
+    return table(spark, sf_dir, "structure").join(unmatched, "title").groupBy("title").agg(F.countDistinct("doc_id", "section_ord").alias("sections"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_unmatched": p2_unmatched}
 SQL: dict[str, str] = {}
