@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specmill.llm import titles
+from specmill.llm import canonical, mojibake, titles
 from specmill.sources.tables import table
 
 
@@ -27,5 +27,47 @@ def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "structure").join(unmatched, "title").groupBy("title").agg(F.countDistinct("doc_id", "section_ord").alias("sections"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_unmatched": p2_unmatched}
+def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """table_name, doc_id, block_index, text of DOCX paragraphs and of unified blocks of kind docx."""
+    docx = table(spark, sf_dir, "docx_extraction").select(F.lit("docx_extraction").alias("table_name"), "doc_id", F.posexplode("paragraphs").alias("block_index", "text"))
+    unified = table(spark, sf_dir, "unified_document").where("kind = 'docx'")
+    unified = unified.select(F.lit("unified_document").alias("table_name"), "doc_id", F.posexplode("blocks").alias("block_index", "text"))
+    return docx.unionByName(unified)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paragraphs and blocks that aren't in the consistent form."""
+    return canonical.inconsistent(_paragraphs(spark, sf_dir), ["table_name", "doc_id", "block_index"], "text")
+
+
+def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph and block in the consistent form."""
+    return canonical.canonical_texts(_paragraphs(spark, sf_dir), ["table_name", "doc_id", "block_index"], "text")
+
+
+def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """table_name, doc_id, page_index, text of PDF pages and of unified full texts (page -1)."""
+    pdf = table(spark, sf_dir, "pdf_extraction").select(F.lit("pdf_extraction").alias("table_name"), "doc_id", F.posexplode("pages").alias("page_index", "text"))
+    unified = table(spark, sf_dir, "unified_document").select(F.lit("unified_document").alias("table_name"), "doc_id", F.lit(-1).alias("page_index"), F.col("full_text").alias("text"))
+    return pdf.unionByName(unified)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages and full texts any part of which is wrongly decoded."""
+    return mojibake.affected(_decoded(spark, sf_dir), ["table_name", "doc_id", "page_index"], "text")
+
+
+def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The affected pages and full texts with their original words put back."""
+    return mojibake.restore(_decoded(spark, sf_dir), ["table_name", "doc_id", "page_index"], "text")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_unmatched": p2_unmatched,
+    "p3_found": p3_found,
+    "p3_canonical": p3_canonical,
+    "p5_found": p5_found,
+    "p5_restored": p5_restored,
+}
 SQL: dict[str, str] = {}
