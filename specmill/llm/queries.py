@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specmill.llm import canonical, mojibake, titles
+from specmill.llm import bpe, canonical, mixing, mojibake, titles
 from specmill.sources.tables import table
 
 
@@ -62,6 +62,33 @@ def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.restore(_decoded(spark, sf_dir), ["table_name", "doc_id", "page_index"], "text")
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every document."""
+    return bpe.encode(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+
+
+def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per language: documents, tokens, and the length of the longest in tokens."""
+    counted = bpe.encode(table(spark, sf_dir, "documents"), "text", ["doc_id", "lang"], count_only=True)
+    lang = F.lower(F.coalesce("lang", F.lit("und"))).alias("lang")
+    return counted.groupBy(lang).agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("longest"))
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sized = bpe.encode(table(spark, sf_dir, "documents"), "text", ["doc_id", "source"], count_only=True)
+    return mixing.mix(sized, "doc_id", "source", "n_tokens", table(spark, sf_dir, "mix_target"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed corpus: one row per use of a document, with its block and place in it."""
+    return _mix(spark, sf_dir)[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of the mixed corpus that each source actually reaches, beside its target and limit."""
+    return _mix(spark, sf_dir)[1]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_unmatched": p2_unmatched,
@@ -69,5 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_canonical": p3_canonical,
     "p5_found": p5_found,
     "p5_restored": p5_restored,
+    "p7_ids": p7_ids,
+    "p7_counts": p7_counts,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
 }
 SQL: dict[str, str] = {}
