@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specmill.llm import bpe, canonical, mixing, mojibake, titles
+from specmill.llm import bpe, canonical, mixing, mojibake, personal, titles
 from specmill.sources.tables import table
 
 
@@ -89,6 +89,16 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each mention of personal information in the corpus."""
+    return personal.find_personal(table(spark, sf_dir, "documents"), "text", ["doc_id"]).select("doc_id", "kind", "start_pos", "end_pos").distinct()
+
+
+def p9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with typed, format-preserving placeholders in place of personal information."""
+    return personal.pseudonymize(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_unmatched": p2_unmatched,
@@ -100,5 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_counts": p7_counts,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_pseudonyms": p9_pseudonyms,
 }
 SQL: dict[str, str] = {}
