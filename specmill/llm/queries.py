@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specmill.llm import bpe, canonical, mixing, mojibake, personal, titles
+from specmill.llm import bpe, canonical, mixing, mojibake, neardup, personal, titles
 from specmill.sources.tables import table
 
 
@@ -99,11 +99,31 @@ def p9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.pseudonymize(table(spark, sf_dir, "documents"), "text", ["doc_id"])
 
 
+def _long_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, section_ord, kind, text of full texts (section -1, kind 0) and sections (kind 1) of at least 200 characters."""
+    full = table(spark, sf_dir, "unified_document").select("doc_id", F.lit(-1).alias("section_ord"), F.lit(0).alias("kind"), F.col("full_text").alias("text"))
+    sections = table(spark, sf_dir, "structure").select("doc_id", "section_ord", F.lit(1).alias("kind"), F.col("content_text").alias("text"))
+    return full.unionByName(sections).where(F.length("text") >= 200)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of near-identical documents and of near-identical sections."""
+    pairs = neardup.near_duplicate_pairs(_long_texts(spark, sf_dir), ["doc_id", "section_ord"], "text", "kind", n=3, threshold=0.6)
+    return pairs.select("doc_id_a", "section_ord_a", "doc_id_b", "section_ord_b")
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every long document and section with its class of equal word sets and the number of near-identical classes."""
+    return neardup.near_duplicate_groups(_long_texts(spark, sf_dir), ["doc_id", "section_ord"], "text", "kind", n=3, threshold=0.6)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_unmatched": p2_unmatched,
     "p3_found": p3_found,
     "p3_canonical": p3_canonical,
+    "p4_found": p4_found,
+    "p4_groups": p4_groups,
     "p5_found": p5_found,
     "p5_restored": p5_restored,
     "p7_ids": p7_ids,
