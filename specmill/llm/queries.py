@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specmill.llm import bpe, canonical, mixing, mojibake, neardup, personal, titles
+from specmill.llm import bpe, canonical, mixing, mojibake, neardup, personal, sentences, titles
 from specmill.sources.tables import table
 
 
@@ -62,6 +62,16 @@ def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.restore(_decoded(spark, sf_dir), ["table_name", "doc_id", "page_index"], "text")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The end of every sentence of every section."""
+    return sentences.split_sentences(table(spark, sf_dir, "structure"), ["doc_id", "section_ord"], "content_text").distinct()
+
+
+def p6_full_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The end of every sentence of every unified full text."""
+    return sentences.split_sentences(table(spark, sf_dir, "unified_document"), ["doc_id"], "full_text").distinct()
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every document."""
     return bpe.encode(table(spark, sf_dir, "documents"), "text", ["doc_id"])
@@ -126,6 +136,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_groups": p4_groups,
     "p5_found": p5_found,
     "p5_restored": p5_restored,
+    "p6_found": p6_found,
+    "p6_full_texts": p6_full_texts,
     "p7_ids": p7_ids,
     "p7_counts": p7_counts,
     "p8_mix": p8_mix,
