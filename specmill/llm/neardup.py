@@ -21,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from specmill.session import cut
+from specmill.session import broadcast_if_small, cut
 
 SKETCH_BITS = 25
 BLOCK_BITS = 16
+PARITY_WORDS = 4
 _WORD = re.compile(r"[^\W_]+")
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -137,32 +138,43 @@ def _sketch(sets: DataFrame, bits: int) -> np.ndarray:
 
 
 def _prefixes(classes: DataFrame, sketch: np.ndarray, threshold: float) -> DataFrame:
-    """gram, cid, n, pos: the prefix n-grams of each class in the global order, rarest first. Those whose
-    bucket counts one set are in no other set and are left out."""
+    """gram, id, n, pos, p0 ...: the prefix n-grams of each class in the global order, rarest first. Those whose
+    bucket counts one set are in no other set and are left out. p0 ... hold, for each of a fixed
+    number of parts of the set, whether the part's size is odd: two sets differ by at least as many
+    n-grams as these bits do, which is the suffix filter before the pairs are shuffled."""
     shared = classes.sparkSession.sparkContext.broadcast(zlib.compress(sketch.tobytes(), 1))
     mask = np.uint64(len(sketch) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(zlib.decompress(shared.value), np.uint8)
         for batch in batches:
-            grams, rows, positions = [], [], []
+            grams, rows, positions, parities = [], [], [], []
             for i, data in enumerate(batch.column("grams").to_pylist()):
                 g = np.frombuffer(data, np.uint64)
                 c = counts[(g & mask).astype(np.int64)]
                 order = np.lexsort((g, c))[: prefix_length(len(g), threshold)]
                 pos = np.flatnonzero(c[order] > 1)
+                if not len(pos):
+                    continue
                 grams.append(g[order[pos]])
                 positions.append(pos)
                 rows.append(np.full(len(pos), i))
+                odd = np.bincount((g >> np.uint64(40)).astype(np.int64) % (64 * PARITY_WORDS), minlength=64 * PARITY_WORDS) & 1
+                parities.append(np.broadcast_to(np.packbits(odd.astype(np.uint8)).view(np.int64), (len(pos), PARITY_WORDS)))
             if not grams:
                 continue
             at = pa.array(np.concatenate(rows), pa.int64())
+            words = np.concatenate(parities)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(grams).view(np.int64), pa.int64()), batch.column("cid").take(at), batch.column("n").take(at), pa.array(np.concatenate(positions), pa.int32())],
-                ["gram", "cid", "n", "pos"],
-            )
+                [
+                    pa.array(np.concatenate(grams).view(np.int64), pa.int64()), batch.column("id").take(at), batch.column("n").take(at), pa.array(np.concatenate(positions), pa.int32()),
+                    *[pa.array(np.ascontiguousarray(words[:, k]), pa.int64()) for k in range(PARITY_WORDS)],
+                ],
+                ["gram", "id", "n", "pos", *[f"p{k}" for k in range(PARITY_WORDS)]],
+            )
 
-    return classes.select("cid", "n", "grams").mapInArrow(run, "gram bigint, cid binary, n int, pos int")
+    schema = "gram bigint, id bigint, n int, pos int, " + ", ".join(f"p{k} bigint" for k in range(PARITY_WORDS))
+    return classes.select("id", "n", "grams").mapInArrow(run, schema)
 
 
 def _verified(threshold: float):  # noqa: ANN202
@@ -181,31 +193,34 @@ def _verified(threshold: float):  # noqa: ANN202
     return run
 
 
-def near_duplicate_classes(texts: DataFrame, keys: Sequence[str], text: str, kind: str, n: int = 5, threshold: float = 0.8, bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
-    """(members, links). members: keys, cid, once per key, cid naming the record's set of n-grams;
+def near_duplicate_classes(texts: DataFrame, keys: Sequence[str], text: str, kind: str, n: int = 5, threshold: float = 0.8, bits: int = SKETCH_BITS, max_broadcast_rows: int = 300_000) -> tuple[DataFrame, DataFrame]:
+    """(members, links). members: keys and cid, once per key, cid naming the record's set of n-grams;
     links: the cids a < b of the classes of one kind whose sets' Jaccard similarity reaches the threshold.
 
     Null texts and texts of fewer than n words belong to no class. Keys that occur twice with
     the same text count once. No link between different sets is lost, and no pairs are formed within a class."""
-    sets = cut(_sets(texts, keys, text, kind, n))
-    members = sets.select(*keys, "cid").distinct()
-    classes = sets.groupBy("cid").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
-    sketch = _sketch(classes, bits)
-    prefixes = cut(_prefixes(classes, sketch, threshold))
-    a = prefixes.select("gram", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    b = prefixes.select("gram", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    least, greatest = F.least("na", "nb"), F.greatest("na", "nb")
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9)
-    pairs = a.join(b, "gram").where((F.col("a") < F.col("b")) & (least >= F.lit(threshold) * greatest - 1e-9))
+    sets = cut(_sets(texts, keys, text, kind, n).withColumn("rid", F.monotonically_increasing_id()))
+    several = cut(sets.groupBy("cid").agg(F.min("rid").alias("first"), F.count("*").alias("size")).where("size > 1").select("cid", "first"))
+    named = sets.join(broadcast_if_small(several, max_broadcast_rows), "cid", "left").withColumn("id", F.coalesce("first", "rid"))
+    members = named.select(*keys, F.col("id").alias("cid")).distinct()
+    classes = named.where("id = rid").select("id", "n", "grams")
+    prefixes = _prefixes(classes, _sketch(classes, bits), threshold)
+    parity = [f"p{k}" for k in range(PARITY_WORDS)]
+    a = prefixes.select("gram", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), *[F.col(p).alias(f"a{p}") for p in parity])
+    b = prefixes.select("gram", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), *[F.col(p).alias(f"b{p}") for p in parity])
+    least, greatest, both_n = F.least("na", "nb"), F.greatest("na", "nb"), F.col("na") + F.col("nb")
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * both_n - 1e-9)
+    apart = sum((F.bit_count(F.col(f"a{p}").bitwiseXOR(F.col(f"b{p}"))) for p in parity), F.lit(0))
+    pairs = a.join(b, "gram").where((F.col("a") < F.col("b")) & (least >= F.lit(threshold) * greatest - 1e-9) & (apart <= both_n - 2 * need))
     # no later shared n-gram can do what the first can't: the rest of either set bounds the overlap
-    pairs = pairs.where(1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1) + F.least("pa", "pb") >= need)
+    rest = 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
+    pairs = pairs.where(rest + F.least("pa", "pb") >= need)
     first = pairs.groupBy("a", "b").agg(F.min(F.struct("pa", "pb", "na", "nb")).alias("m")).select("a", "b", "m.*")
-    first = first.where(1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1) >= need).select("a", "b")
-    candidates = cut(first)
-    wanted = candidates.select(F.col("a").alias("cid")).union(candidates.select("b")).distinct()
-    fetched = cut(classes.join(wanted, "cid", "left_semi").select("cid", "grams"))
-    both = candidates.join(fetched.select(F.col("cid").alias("a"), F.col("grams").alias("grams_a")), "a").join(fetched.select(F.col("cid").alias("b"), F.col("grams").alias("grams_b")), "b")
-    return members, both.mapInArrow(_verified(threshold), "a binary, b binary")
+    candidates = cut(first.where(rest >= need).select("a", "b"))
+    wanted = cut(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    fetched = classes.join(broadcast_if_small(wanted, max_broadcast_rows), "id", "left_semi").select("id", "grams")
+    both = candidates.join(fetched.select(F.col("id").alias("a"), F.col("grams").alias("grams_a")), "a").join(fetched.select(F.col("id").alias("b"), F.col("grams").alias("grams_b")), "b")
+    return members, both.mapInArrow(_verified(threshold), "a bigint, b bigint")
 
 
 def near_duplicate_pairs(texts: DataFrame, keys: Sequence[str], text: str, kind: str, n: int = 5, threshold: float = 0.8, bits: int = SKETCH_BITS) -> DataFrame:
@@ -227,4 +242,4 @@ def near_duplicate_groups(texts: DataFrame, keys: Sequence[str], text: str, kind
     """keys, class_id and links: one row per record in a class, with the number of classes that its own is linked to."""
     members, links = near_duplicate_classes(texts, keys, text, kind, n, threshold, bits)
     degree = links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("links"))
-    return members.join(degree, "cid", "left").select(*keys, F.hex("cid").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return members.join(degree, "cid", "left").select(*keys, F.col("cid").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
