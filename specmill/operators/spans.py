@@ -11,21 +11,31 @@ from specmill.rules.tables import GLOSSARY, VAGUE_PHRASES
 _WORD_CHARACTER = r"[\p{L}\p{N}_]"
 
 
-def _matches(text: Column, phrase: str) -> Column:
-    """array of (minus, start, end, phrase) of every whole occurrence, found by the gaps between occurrences."""
-    gaps = F.split(text, F.lit("\\Q" + phrase + "\\E"), -1)
-    ends = F.aggregate(gaps, F.array().cast("array<int>"), lambda acc, g: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)) + F.lit(len(phrase)), F.lit(0)) + F.length(g))))
-    # ends[i] is where the i-th gap ends, that is where the i-th occurrence starts
-    n = F.size(gaps) - 1
-    found = F.transform(F.slice(ends, 1, F.greatest(n, F.lit(0))), lambda s, i: F.struct((F.lit(-len(phrase))).alias("minus"), s.alias("s"), (s + len(phrase)).alias("e"), F.lit(phrase).alias("phrase"), F.get(gaps, i).alias("l"), F.get(gaps, i + 1).alias("r")))
-    whole = F.filter(found, lambda m: ~m["l"].rlike(_WORD_CHARACTER + "$") & ~m["r"].rlike("^" + _WORD_CHARACTER))
-    slim = F.transform(whole, lambda m: F.struct(m["minus"].alias("minus"), m["s"].alias("s"), m["e"].alias("e"), m["phrase"].alias("phrase")))
-    return F.when(text.contains(phrase), slim).otherwise(F.array().cast("array<struct<minus:int,s:int,e:int,phrase:string>>"))
-
-
-def spans(text: Column, phrases: list[str]) -> Column:
-    """array of (s, e, phrase): greedily the longest matches, then the leftmost, that don't overlap, by position."""
-    ranked = F.array_sort(F.concat(*[_matches(text, p) for p in phrases]))
+_MATCH = "array<struct<minus:int,s:int,e:int,phrase:string>>"
+
+
+def _matches(text: Column, phrase: Column) -> Column:
+    """array of (minus, s, e, phrase) of every whole occurrence, found by walking the gaps between occurrences."""
+    gaps = F.split(text, F.concat(F.lit("\\Q"), phrase, F.lit("\\E")), -1)
+    n = F.length(phrase)
+    start = F.struct(F.lit(-1).alias("at"), F.lit("").alias("before"), F.array().cast(_MATCH).alias("out"))
+
+    def walk(acc: Column, gap: Column) -> Column:
+        whole = (acc["at"] >= 0) & ~acc["before"].rlike(_WORD_CHARACTER + "$") & ~gap.rlike("^" + _WORD_CHARACTER)
+        match = F.struct((-n).alias("minus"), acc["at"].alias("s"), (acc["at"] + n).alias("e"), phrase.alias("phrase"))
+        out = F.when(whole, F.concat(acc["out"], F.array(match))).otherwise(acc["out"])
+        at = F.when(acc["at"] >= 0, acc["at"] + n).otherwise(0) + F.length(gap)
+        return F.struct(at.alias("at"), gap.alias("before"), out.alias("out"))
+
+    return F.aggregate(gaps, start, walk, lambda acc: acc["out"])
+
+
+def spans(text: Column, phrases: Column) -> Column:
+    """array of (s, e, phrase): greedily the longest matches, then the leftmost, that don't overlap, by position.
+
+    phrases is an array column; only those that the text contains are looked for, by one expression for all."""
+    held = F.filter(phrases, lambda p: text.contains(p))
+    ranked = F.array_sort(F.flatten(F.transform(held, lambda p: _matches(text, p))))
     empty = F.array().cast("array<struct<s:int,e:int,phrase:string>>")
     kept = F.aggregate(
         ranked, empty, lambda acc, m: F.when(F.exists(acc, lambda k: (m["e"] > k["s"]) & (m["s"] < k["e"])), acc).otherwise(F.concat(acc, F.array(F.struct(m["s"].alias("s"), m["e"].alias("e"), m["phrase"].alias("phrase")))))
@@ -33,11 +43,14 @@ def spans(text: Column, phrases: list[str]) -> Column:
     return F.array_sort(kept)
 
 
+def _strings(values: list[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values])
+
+
 def vague_findings(texts: DataFrame, phrases: dict[str, list[str]] = VAGUE_PHRASES) -> DataFrame:
     """doc_id, start_pos, end_pos, phrase, category, excerpt from doc_id, collapsed."""
     category = {p: c for c, ps in phrases.items() for p in ps}
-    rows = texts.where(F.lit(False) if not category else F.exists(F.array(*[F.lit(p) for p in category]), lambda p: F.col("collapsed").contains(p)))
-    rows = rows.select("doc_id", "collapsed", F.explode(spans(F.col("collapsed"), list(category))).alias("m"))
+    rows = texts.select("doc_id", "collapsed", F.explode(spans(F.col("collapsed"), _strings(list(category)))).alias("m"))
     of = F.create_map(*[F.lit(x) for kv in category.items() for x in kv])
     return rows.select(
         "doc_id", F.col("m.s").alias("start_pos"), F.col("m.e").alias("end_pos"), "m.phrase", of[F.col("m.phrase")].alias("category"), excerpt(F.col("collapsed"), F.col("m.s"), F.col("m.e") - F.col("m.s"), 40, 120, True).alias("excerpt")
@@ -46,8 +59,9 @@ def vague_findings(texts: DataFrame, phrases: dict[str, list[str]] = VAGUE_PHRAS
 
 def term_counts(texts: DataFrame, glossary: list[tuple[str, str, list[str]]] = GLOSSARY) -> DataFrame:
     """doc_id, term_key, alias, n, first_pos: how often each form of a term occurs, longer forms first within a term."""
-    terms = [F.struct(F.lit(key).alias("term_key"), spans(F.col("collapsed"), [canonical, *others]).alias("found")) for key, canonical, others in glossary if others]
-    rows = texts.select("doc_id", F.explode(F.array(*terms)).alias("t")).select("doc_id", "t.term_key", F.explode("t.found").alias("m"))
+    terms = F.array(*[F.struct(F.lit(key).alias("term_key"), _strings([canonical, *others]).alias("forms")) for key, canonical, others in glossary if others])
+    found = F.transform(terms, lambda t: F.struct(t["term_key"].alias("term_key"), spans(F.col("collapsed"), t["forms"]).alias("found")))
+    rows = texts.select("doc_id", F.explode(found).alias("t")).select("doc_id", "t.term_key", F.explode("t.found").alias("m"))
     return rows.groupBy("doc_id", "term_key", F.col("m.phrase").alias("alias")).agg(F.count("*").alias("n"), F.min("m.s").alias("first_pos"))
 
 
