@@ -28,6 +28,7 @@ DOUBLE = [("utf-8", d) for d in ("cp1251", "latin-1", "cp1252")]
 MIXED = [(("utf-8", "latin-1"), ("utf-8", "cp1252")), (("utf-8", "cp1252"), ("utf-8", "latin-1")), (("cp1251", "latin-1"), ("utf-8", "cp1252")), (("cp1251", "cp1252"), ("utf-8", "cp1251")), (("cp1251", "latin-1"), ("utf-8", "latin-1"))]
 CHAINS: list[tuple[tuple[str, str], ...]] = [*[(c,) for c in SINGLE], *[(c, c) for c in DOUBLE], *MIXED]
 
+_SHAPED = [i for i, c in enumerate(CHAINS) if c[-1][0] == "utf-8"]
 LEAST_RATIO = 2.0
 _BREAKS = r"[\x00-\x40\x5b-\x60\x7b-\x7f]+"
 _UNSPACED = r"[฀-໿က-႟ក-៿⺀-鿿豈-﫿＀-￯　-ヿ]"
@@ -103,8 +104,9 @@ def tokens_of(texts: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
 def garbled_words(tokens: DataFrame, ratio: float = LEAST_RATIO) -> DataFrame:
     """token, original, chain: every garbled word of the corpus and its verified original.
 
-    A word is garbled if it is a chain's form of a clean corpus word that is at least ratio times as
-    frequent, in any case of letters; forms that look like plain words of the language need four
+    A word is garbled if it is a chain's form of a clean corpus word: through UTF-8, whose forms
+    have a shape of their own, of any; through single bytes, which only exchange letters, of one that is at least
+    ratio times as frequent, in any case of letters. Forms that look like plain words of the language need four
     letters. Among several originals the most frequent wins, then the smaller. Words with the
     replacement character are garbled beyond repair: their original is null."""
     counted = tokens.groupBy("token").agg(F.count("*").alias("n"))
@@ -114,7 +116,7 @@ def garbled_words(tokens: DataFrame, ratio: float = LEAST_RATIO) -> DataFrame:
     clean = supported.where(~F.col("token").rlike(_NOT_CLEAN)).select(F.col("token").alias("word"), F.col("support").alias("n"))
     forms = clean.mapInPandas(_forms, "token string, original string, support bigint, chain int")
     plain = F.col("token").rlike(r"^[А-Яа-яЁё]+$") | F.col("token").rlike(r"^[A-Za-z]*[A-Za-zÀ-ÿ][A-Za-z]*$")
-    hits = supported.withColumnRenamed("support", "own").join(forms, "token").where(F.col("support") >= ratio * F.col("own"))
+    hits = supported.withColumnRenamed("support", "own").join(forms, "token").where(F.col("chain").isin(*_SHAPED) | (F.col("support") >= ratio * F.col("own")))
     hits = hits.where(F.when(plain, (F.length("token") >= 4) & ~F.col("token").rlike("^[a-zа-яё]+$")).otherwise(F.length("original") >= 2) | F.col("original").rlike(_UNSPACED))
     best = hits.groupBy("token").agg(F.min_by(F.struct("original", "chain"), F.struct(-F.col("support"), F.col("original"), F.col("chain"))).alias("best"))
     lost = counted.where(F.col("token").contains("�")).select("token", F.lit(None).cast("string").alias("original"), F.lit(None).cast("int").alias("chain"))
@@ -130,12 +132,13 @@ def affected(texts: DataFrame, keys: Sequence[str], text: str, max_broadcast_row
     return tokens.join(bad, "token", "left_semi").select(*keys).distinct()
 
 
+_PLAIN_WORD = re.compile("[А-ЯЁ]?[а-яё]+")
 _PIECE = re.compile(r"[A-Za-z\x80-\U0010ffff]+")
 
 
 def restored(text: str, known: dict[str, tuple[str, int]]) -> str:
     """The text with the known garbled words replaced. Unknown words of a line with known ones
-    are replaced if the commonest chain of the line takes them back."""
+    are replaced if the commonest chain of the line takes them back and they don't look like plain words."""
     lines = text.split("\n")
     for i, line in enumerate(lines):
         votes: dict[int, int] = {}
@@ -152,7 +155,9 @@ def restored(text: str, known: dict[str, tuple[str, int]]) -> str:
             w = m.group(0)
             if w in known:
                 return known[w][0]
-            return (ungarbled(w, chain) or w) if not w.isascii() else w  # noqa: B023
+            if w.isascii() or chain[-1][0] != "utf-8" and _PLAIN_WORD.fullmatch(w):  # noqa: B023
+                return w
+            return ungarbled(w, chain) or w  # noqa: B023
 
         lines[i] = _PIECE.sub(one, line)
     return "\n".join(lines)

@@ -194,15 +194,17 @@ def _verified(threshold: float):  # noqa: ANN202
 
 
 def near_duplicate_classes(texts: DataFrame, keys: Sequence[str], text: str, kind: str, n: int = 5, threshold: float = 0.8, bits: int = SKETCH_BITS, max_broadcast_rows: int = 300_000) -> tuple[DataFrame, DataFrame]:
-    """(members, links). members: keys and cid, once per key, cid naming the record's set of n-grams;
+    """(members, links). members: keys and __cid, once per key, __cid naming the record's set of n-grams;
     links: the cids a < b of the classes of one kind whose sets' Jaccard similarity reaches the threshold.
 
     Null texts and texts of fewer than n words belong to no class. Keys that occur twice with
     the same text count once. No link between different sets is lost, and no pairs are formed within a class."""
-    sets = cut(_sets(texts, keys, text, kind, n).withColumn("rid", F.monotonically_increasing_id()))
+    own = [f"__key{i}" for i in range(len(keys))]  # names that none of the frames below has
+    picked = texts.select(*[F.col(k).alias(o) for k, o in zip(keys, own)], F.col(text).alias("__text"), F.col(kind).alias("__kind"))
+    sets = cut(_sets(picked, own, "__text", "__kind", n).withColumn("rid", F.monotonically_increasing_id()))
     several = cut(sets.groupBy("cid").agg(F.min("rid").alias("first"), F.count("*").alias("size")).where("size > 1").select("cid", "first"))
     named = sets.join(broadcast_if_small(several, max_broadcast_rows), "cid", "left").withColumn("id", F.coalesce("first", "rid"))
-    members = named.select(*keys, F.col("id").alias("cid")).distinct()
+    members = named.select(*own, F.col("id").alias("__cid")).distinct()
     classes = named.where("id = rid").select("id", "n", "grams")
     prefixes = _prefixes(classes, _sketch(classes, bits), threshold)
     parity = [f"p{k}" for k in range(PARITY_WORDS)]
@@ -220,7 +222,7 @@ def near_duplicate_classes(texts: DataFrame, keys: Sequence[str], text: str, kin
     wanted = cut(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     fetched = classes.join(broadcast_if_small(wanted, max_broadcast_rows), "id", "left_semi").select("id", "grams")
     both = candidates.join(fetched.select(F.col("id").alias("a"), F.col("grams").alias("grams_a")), "a").join(fetched.select(F.col("id").alias("b"), F.col("grams").alias("grams_b")), "b")
-    return members, both.mapInArrow(_verified(threshold), "a bigint, b bigint")
+    return members.toDF(*keys, "__cid"), both.mapInArrow(_verified(threshold), "a bigint, b bigint")
 
 
 def near_duplicate_pairs(texts: DataFrame, keys: Sequence[str], text: str, kind: str, n: int = 5, threshold: float = 0.8, bits: int = SKETCH_BITS) -> DataFrame:
@@ -228,11 +230,11 @@ def near_duplicate_pairs(texts: DataFrame, keys: Sequence[str], text: str, kind:
     smaller first: the links between classes spelled out over their members, and the members of one class."""
     members, links = near_duplicate_classes(texts, keys, text, kind, n, threshold, bits)
     members = cut(members)
-    a = members.select(F.struct(*keys).alias("x"), F.col("cid").alias("a"))
-    b = members.select(F.struct(*keys).alias("y"), F.col("cid").alias("b"))
-    several = members.groupBy("cid").count().where("count > 1").select("cid")
-    alike = members.join(several, "cid", "left_semi")
-    same = alike.select(F.struct(*keys).alias("x"), "cid").join(alike.select(F.struct(*keys).alias("y"), "cid"), "cid").where("x < y").select("x", "y")
+    a = members.select(F.struct(*keys).alias("x"), F.col("__cid").alias("a"))
+    b = members.select(F.struct(*keys).alias("y"), F.col("__cid").alias("b"))
+    several = a.groupBy("a").agg(F.count("*").alias("size")).where("size > 1").select("a")
+    alike = a.join(several, "a", "left_semi")
+    same = alike.join(b, F.col("a") == F.col("b")).where("x < y").select("x", "y")
     across = links.join(a, "a").join(b, "b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     both = same.unionByName(across)
     return both.select(*[F.col(f"x.{k}").alias(f"{k}_a") for k in keys], *[F.col(f"y.{k}").alias(f"{k}_b") for k in keys])
@@ -241,5 +243,6 @@ def near_duplicate_pairs(texts: DataFrame, keys: Sequence[str], text: str, kind:
 def near_duplicate_groups(texts: DataFrame, keys: Sequence[str], text: str, kind: str, n: int = 5, threshold: float = 0.8, bits: int = SKETCH_BITS) -> DataFrame:
     """keys, class_id and links: one row per record in a class, with the number of classes that its own is linked to."""
     members, links = near_duplicate_classes(texts, keys, text, kind, n, threshold, bits)
-    degree = links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("links"))
-    return members.join(degree, "cid", "left").select(*keys, F.col("cid").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("__cid")).groupBy("__cid").agg(F.count("*").alias("__links"))
+    joined = members.join(degree, "__cid", "left")
+    return joined.select(*keys, F.col("__cid").alias("class_id"), F.coalesce("__links", F.lit(0)).alias("links"))

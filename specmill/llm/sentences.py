@@ -139,8 +139,8 @@ def candidates(text: str) -> list[Candidate]:
             if not (after.isupper() and text[start - 1 : start].islower()):
                 if after.isalnum() or after in ",;:)-–—/":
                     continue
-        if after and after in ",;:" or closers and after in "—–-" and after:
-            continue
+        if after and after in ",;:，、；：" or closers and (after and after in "—–-" or _kind(after or " ") == "A"):
+            continue  # goes on behind the mark, or, where letters have no case, behind a quotation
         if after == "." or closers and after in _TERMINAL and after:
             continue
         token = _LAST_TOKEN.search(text, max(0, start - 40), start)
@@ -178,7 +178,7 @@ def candidates(text: str) -> list[Candidate]:
             label = 1
         elif shown == "." and kind in "UQD" and (before, low) in _ENDS:
             label = 1
-        elif shown == "." and kind == "U" and number_before and length == "2" and (shape == "1U" or low in _UNITS):
+        elif shown == "." and kind in "UD" and number_before and length == "2" and (shape == "1U" or low in _UNITS):
             label = 1
         elif shown == "." and shape == "1U" and before in ("app.", "прил.", "anl.", "anh.") and kind == "U":
             label = 1
