@@ -46,12 +46,36 @@ def recommendation(code: Column) -> Column:
     return F.coalesce(exact, *[F.when(code.startswith(p), F.lit(t)) for p, t in RECOMMENDATION_PREFIXES.items()])
 
 
-def issue(df: DataFrame, check: str, code: Column, severity: str, message: Column, fragment: Column | None = None, section: Column | None = None, location: Column | None = None) -> DataFrame:
-    """A frame of findings in the form of issues; blank optional texts become null."""
+def normalize_severity(severity: Column) -> Column:
+    """One of the severities in lower case; blank is null; anything else is an error."""
+    plain = F.nullif(F.lower(F.trim(severity)), F.lit(""))
+    return F.when(plain.isNull() | plain.isin(*SEVERITIES), plain).otherwise(F.raise_error(F.concat(F.lit("unknown severity: "), severity)))
+
+
+_LOCATIONS = "array<struct<block_index:int,line_index:int,fragment_index:int>>"
+
+
+def issue(
+    df: DataFrame, check: str, code: Column, severity: str, message: Column, fragment: Column | None = None, section: Column | None = None, location: Column | None = None,
+    metadata: list[str] | None = None, place: Column | None = None, fragment_indexes: Column | None = None,
+) -> DataFrame:
+    """A frame of findings in the form of issues; blank optional texts become null.
+
+    metadata names columns that are kept as JSON, absent ones left out. Locations come from a fragment's
+    index, from several, or from the place (block and line) of a reference."""
+    none = F.lit(None).cast("int")
+    at = lambda b, l, f: F.struct(b.cast("int").alias("block_index"), l.cast("int").alias("line_index"), f.cast("int").alias("fragment_index"))  # noqa: E731, E741
+    if fragment_indexes is not None:
+        locations = F.transform(fragment_indexes, lambda i: at(none, none, i))
+    elif place is not None:
+        locations = F.array(at(place["block_index"], place["line_index"], none))
+    else:
+        locations = F.lit(None) if location is None else F.array(at(none, none, location))
+    kept = F.to_json(F.struct(*metadata)) if metadata else F.lit(None).cast("string")
     text = lambda c: F.lit(None).cast("string") if c is None else F.nullif(F.trim(c), F.lit(""))
     return df.select(
         "doc_id", F.lit(check).alias("check_key"), code.alias("issue_code"), F.lit(severity).alias("severity"), message.alias("message"), text(fragment).alias("fragment_text"), text(section).alias("section_title"),
-        (F.lit(None).cast("int") if location is None else location.cast("int")).alias("fragment_index"),
+        (none if location is None else location.cast("int")).alias("fragment_index"), kept.alias("metadata"), locations.cast(_LOCATIONS).alias("locations"),
     )
 
 
@@ -64,49 +88,49 @@ def _reference_issues(refs: DataFrame, kind: str, noun: str, declared: str, capt
     s, check = references.label_summary(refs), f"{kind}_references_check"
     n = F.col("label")
     return [
-        issue(s.where("state = 'missing'"), check, F.lit(f"{kind}.missing_declaration"), "warning", F.concat(F.lit(f"Упоминается {noun} "), n, F.lit(f", но строка объявления {caption} с этим номером не найдена."))),
-        issue(s.where("state = 'unreferenced'"), check, F.lit(f"{kind}.unreferenced"), "warning", F.concat(F.lit(f"{declared} {noun} "), n, F.lit(", но в тексте не найдено упоминание этого номера."))),
-        issue(s.where("is_duplicate"), check, F.lit(f"{kind}.duplicate_declaration"), "warning", F.concat(F.lit(f"{noun.capitalize()} "), n, F.lit(f" {twice} более одного раза."))),
-        issue(references.number_gaps(refs), check, F.lit(f"{kind}.caption_numbering_gap"), "recommendation", F.concat(F.lit(f"В последовательности номеров подписей к {plural} пропущен номер "), F.col("missing").cast("string"), F.lit("."))),
+        issue(s.where("state = 'missing'"), check, F.lit(f"{kind}.missing_declaration"), "warning", F.concat(F.lit(f"Упоминается {noun} "), n, F.lit(f", но строка объявления {caption} с этим номером не найдена.")), metadata=["label"], place=F.col("place")),
+        issue(s.where("state = 'unreferenced'"), check, F.lit(f"{kind}.unreferenced"), "warning", F.concat(F.lit(f"{declared} {noun} "), n, F.lit(", но в тексте не найдено упоминание этого номера.")), metadata=["label"], place=F.col("place")),
+        issue(s.where("is_duplicate"), check, F.lit(f"{kind}.duplicate_declaration"), "warning", F.concat(F.lit(f"{noun.capitalize()} "), n, F.lit(f" {twice} более одного раза.")), metadata=["label"]),
+        issue(references.number_gaps(refs), check, F.lit(f"{kind}.caption_numbering_gap"), "recommendation", F.concat(F.lit(f"В последовательности номеров подписей к {plural} пропущен номер "), F.col("missing").cast("string"), F.lit(".")), metadata=["missing"]),
     ]
 
 
 def build_issues(f: Frames) -> DataFrame:
     """doc_id, issue_ord, check_key, issue_code, severity, message, fragment_text, section_title, fragment_index,
-    recommendation: the issues of all checks, numbered from 1 within a document by check, code, message and fragment."""
+    metadata, locations, recommendation: the issues of all checks, numbered from 1 within a document by check, code, message and fragment."""
     found = checks.sections_found(f.secs, f.required)
     c = F.col
     out = [
-        issue(spans.vague_findings(f.texts), "vague_wording_check", F.lit("vague_wording.dictionary_phrase"), "recommendation", F.concat(F.lit("Обнаружена неконкретная формулировка: «"), c("phrase"), F.lit("».")), c("excerpt")),
-        issue(f.obligations.where("NOT verifiable"), "unverifiable_requirements_check", F.lit("unverifiable.obligation_without_metrics"), "warning", F.lit("формулировка требования без измеримых критериев"), c("frag"), c("section_title"), c("frag_idx")),
-        issue(checks.sections_missing(f.docs, found, f.required), "required_sections_check", F.concat(F.lit("required_sections.missing."), c("section_key")), "warning", F.concat(F.lit("Отсутствует обязательный раздел: «"), c("rule_title"), F.lit("»."))),
+        issue(spans.vague_findings(f.texts), "vague_wording_check", F.lit("vague_wording.dictionary_phrase"), "recommendation", F.concat(F.lit("Обнаружена неконкретная формулировка: «"), c("phrase"), F.lit("».")), c("excerpt"), metadata=["phrase", "category"]),
+        issue(f.obligations.where("NOT verifiable"), "unverifiable_requirements_check", F.lit("unverifiable.obligation_without_metrics"), "warning", F.lit("формулировка требования без измеримых критериев"), c("frag"), c("section_title"), c("frag_idx"), ["marker"]),
+        issue(checks.sections_missing(f.docs, found, f.required), "required_sections_check", F.concat(F.lit("required_sections.missing."), c("section_key")), "warning", F.concat(F.lit("Отсутствует обязательный раздел: «"), c("rule_title"), F.lit("».")), metadata=["section_key", "rule_title"]),
         issue(
             checks.order_violations(found), "section_order_check", F.lit("section_order.violation"), "warning",
-            F.concat(F.lit("Нарушен ожидаемый порядок разделов: после «"), c("expected_title"), F.lit("» ожидался фрагмент структуры, фактически обнаружен раздел «"), c("found_title"), F.lit("».")),
+            F.concat(F.lit("Нарушен ожидаемый порядок разделов: после «"), c("expected_title"), F.lit("» ожидался фрагмент структуры, фактически обнаружен раздел «"), c("found_title"), F.lit("».")), metadata=["position", "expected_key", "found_key"],
         ),
-        issue(f.obligations.where("size(tags) = 0"), "numerical_characteristics_check", F.lit("numerical.missing_in_obligation_fragment"), "recommendation", F.lit("В формулировке требования не обнаружены числовые характеристики (проценты, диапазоны, единицы и т.п.)."), c("frag"), c("section_title"), c("frag_idx")),
+        issue(f.obligations.where("size(tags) = 0"), "numerical_characteristics_check", F.lit("numerical.missing_in_obligation_fragment"), "recommendation", F.lit("В формулировке требования не обнаружены числовые характеристики (проценты, диапазоны, единицы и т.п.)."), c("frag"), c("section_title"), c("frag_idx"), ["marker"]),
         issue(
             f.obligations.where("NOT linked AND (number OR has_unit)"), "measurement_units_check", F.lit("measurement.unit_linkage_review"), "recommendation",
-            measurement_reason(c("linked"), c("number"), c("has_unit")), c("frag"), c("section_title"), c("frag_idx"),
+            measurement_reason(c("linked"), c("number"), c("has_unit")), c("frag"), c("section_title"), c("frag_idx"), ["number", "has_unit", "linked", "tags"],
         ),
     ]
     absent = checks.presence(f.docs, f.secs).where("NOT is_present")
     of = lambda k: F.create_map(*[F.lit(x) for n, m in PRESENCE_MESSAGES.items() for x in (n, m[k])])[c("check_key")]
-    out.append(absent.select("doc_id", "check_key", of(0).alias("issue_code"), F.lit("warning").alias("severity"), of(1).alias("message"), F.lit(None).cast("string").alias("fragment_text"), F.lit(None).cast("string").alias("section_title"), F.lit(None).cast("int").alias("fragment_index")))
+    out.append(absent.select("doc_id", "check_key", of(0).alias("issue_code"), F.lit("warning").alias("severity"), of(1).alias("message"), F.lit(None).cast("string").alias("fragment_text"), F.lit(None).cast("string").alias("section_title"), F.lit(None).cast("int").alias("fragment_index"), F.lit(None).cast("string").alias("metadata"), F.lit(None).cast(_LOCATIONS).alias("locations")))
     out += _reference_issues(references.figure_references(f.lines), "figure", "рисунок", "Объявлен", "рисунка (подпись)", "объявлен (подписан)", "рисункам")
     out += _reference_issues(references.table_references(f.lines), "table", "таблица", "Объявлена", "таблицы (заголовок)", "объявлена (подписана)", "таблицам")
     appendix = references.appendix_references(f.lines)
     labels = references.label_summary(appendix)
     of_label = lambda code: F.concat(F.lit(f"appendix.{code}."), c("label"))
     out += [
-        issue(labels.where("state = 'missing'"), "appendix_references_check", of_label("missing_declaration"), "warning", F.concat(F.lit("Упоминается приложение "), c("label"), F.lit(", но строка объявления приложения с этим обозначением не найдена."))),
-        issue(labels.where("state = 'unreferenced'"), "appendix_references_check", of_label("unreferenced"), "warning", F.concat(F.lit("Объявлено приложение "), c("label"), F.lit(", но в тексте не найдено соответствующее упоминание."))),
-        issue(labels.where("is_duplicate"), "appendix_references_check", of_label("duplicate_declaration"), "warning", F.concat(F.lit("Приложение "), c("label"), F.lit(" объявлено более одного раза."))),
+        issue(labels.where("state = 'missing'"), "appendix_references_check", of_label("missing_declaration"), "warning", F.concat(F.lit("Упоминается приложение "), c("label"), F.lit(", но строка объявления приложения с этим обозначением не найдена.")), metadata=["label"], place=c("place")),
+        issue(labels.where("state = 'unreferenced'"), "appendix_references_check", of_label("unreferenced"), "warning", F.concat(F.lit("Объявлено приложение "), c("label"), F.lit(", но в тексте не найдено соответствующее упоминание.")), metadata=["label"], place=c("place")),
+        issue(labels.where("is_duplicate"), "appendix_references_check", of_label("duplicate_declaration"), "warning", F.concat(F.lit("Приложение "), c("label"), F.lit(" объявлено более одного раза.")), metadata=["label"]),
         issue(references.letter_gaps(appendix), "appendix_references_check", F.concat(F.lit("appendix.cyrillic_sequence_gap."), c("missing")), "recommendation", F.concat(F.lit("В последовательности обозначений приложений (кириллица) пропущена буква «"), c("missing"), F.lit("»."))),
         issue(references.number_gaps(appendix), "appendix_references_check", F.concat(F.lit("appendix.numeric_sequence_gap."), c("missing").cast("string")), "recommendation", F.concat(F.lit("В последовательности номеров приложений пропущен номер "), c("missing").cast("string"), F.lit("."))),
-        issue(spans.mixed_terms(spans.term_counts(f.texts)), "terminology_consistency_check", F.concat(F.lit("terminology.mixed_variants."), c("term_key")), "recommendation", F.lit("для одного термина использованы разные варианты наименования")),
-        issue(duplicates.exact_duplicates(f.frags), "duplicate_formulations_check", F.lit("duplicate.exact"), "warning", F.lit("в документе повторяется одинаковая формулировка"), c("text"), F.array_join("section_titles", ", ")),
-        issue(duplicates.near_duplicates(f.frags), "duplicate_formulations_check", F.lit("duplicate.near"), "warning", F.lit("обнаружены очень похожие формулировки"), F.concat_ws(" — ", "text_a", "text_b")),
+        issue(spans.mixed_terms(spans.term_counts(f.texts)), "terminology_consistency_check", F.concat(F.lit("terminology.mixed_variants."), c("term_key")), "recommendation", F.lit("для одного термина использованы разные варианты наименования"), metadata=["term_key", "used_variants", "total"]),
+        issue(duplicates.exact_duplicates(f.frags), "duplicate_formulations_check", F.lit("duplicate.exact"), "warning", F.lit("в документе повторяется одинаковая формулировка"), c("text"), F.array_join("section_titles", ", "), metadata=["occurrences", "fragment_indexes", "section_titles"], fragment_indexes=c("fragment_indexes")),
+        issue(duplicates.near_duplicates(f.frags), "duplicate_formulations_check", F.lit("duplicate.near"), "warning", F.lit("обнаружены очень похожие формулировки"), F.concat_ws(" — ", "text_a", "text_b"), metadata=["similarity", "text_a", "text_b"]),
     ]
     every = out[0]
     for x in out[1:]:

@@ -53,8 +53,15 @@ def appendix_references(lines: DataFrame) -> DataFrame:
 
 
 def label_summary(refs: DataFrame) -> DataFrame:
-    """doc_id, label, mentions, declarations, state: missing, unreferenced, ok; a label declared twice is also a duplicate."""
-    counted = refs.groupBy("doc_id", "label").agg(F.count_if(F.col("role") == "mention").alias("mentions"), F.count_if(F.col("role") == "declaration").alias("declarations"))
+    """doc_id, label, mentions, declarations, place, state, is_duplicate.
+
+    state is missing, unreferenced or ok; a label declared more than once is also a duplicate; place is the
+    block and line of the first mention, or without one of the first declaration."""
+    at = F.struct("block_index", "line_index")
+    counted = refs.groupBy("doc_id", "label").agg(
+        F.count_if(F.col("role") == "mention").alias("mentions"), F.count_if(F.col("role") == "declaration").alias("declarations"),
+        F.coalesce(F.min(F.when(F.col("role") == "mention", at)), F.min(at)).alias("place"),
+    )
     state = F.when(F.col("declarations") == 0, "missing").when(F.col("mentions") == 0, "unreferenced").otherwise("ok")
     return counted.withColumn("state", state).withColumn("is_duplicate", F.col("declarations") > 1)
 

@@ -163,7 +163,7 @@ def _references(kind: str) -> dict[str, Query]:
     of = {"figure": references.figure_references, "table": references.table_references, "appendix": references.appendix_references}[kind]
     return {
         f"{kind}_references": _on(lambda f: of(f.lines).groupBy("doc_id", "role", "label").agg(F.count("*").alias("n"))),
-        f"{kind}_summary": _on(lambda f: references.label_summary(of(f.lines))),
+        f"{kind}_summary": _on(lambda f: references.label_summary(of(f.lines)).drop("place")),
         f"{kind}_gaps": _on(lambda f: references.number_gaps(of(f.lines))),
     }
 

@@ -73,6 +73,12 @@ def conclusion_of(payload: Column) -> Column:
     return F.coalesce(F.get_json_object(payload, "$.report.summary.conclusion"), F.get_json_object(payload, "$.summary.conclusion"))
 
 
+def issues_of(payload: Column) -> Column:
+    """The issues of a payload as an array of JSON objects: its own, else its report's; what is no object is left out."""
+    listed = F.coalesce(F.get_json_object(payload, "$.issues"), F.get_json_object(payload, "$.report.issues"))
+    return F.filter(F.from_json(listed, T.ArrayType(T.StringType())), lambda x: x.startswith("{"))
+
+
 def fragment_text_of(payload: Column) -> Column:
     """The first text of an issue's JSON that isn't blank: its fragment, its excerpt, or those of its metadata."""
     paths = ["$.fragment_text", "$.text_excerpt", "$.metadata.source.text_excerpt", "$.metadata.text_excerpt"]

@@ -152,6 +152,9 @@ def test_report_counts_every_document(spark):
     assert report[1]["status"] == "needs_review" and report[1]["by_check"]["vague_wording_check"] == 2
     assert report[1]["with_recommendation"] == report[1]["total_issues"]
     assert issues.filter_issues(built, "vague_wording_check", "recommendation").count() == 2
+    vague = built.where("doc_id = 1 AND check_key = 'vague_wording_check'").orderBy("issue_ord").first()
+    assert '"phrase":"быстро"' in vague["metadata"] and vague["locations"] is None
+    assert built.where("issue_code = 'unverifiable.obligation_without_metrics'").first()["locations"][0]["fragment_index"] == 1
     empty = issues.report(d, built.where("false")).collect()
     assert {(r["status"], r["total_issues"]) for r in empty} == {("no_issues", 0)}
     lines = [r["line"] for r in exports.csv_rows(built).where("doc_id = 1").orderBy("line_no").collect()]
@@ -163,6 +166,17 @@ def test_report_counts_every_document(spark):
     built.unpersist()
 
 
+def test_payload_readers(spark):
+    payload = '{"report": {"summary": {"conclusion": "Итог"}, "issues": [{"fragment_text": " ", "metadata": {"text_excerpt": "цитата"}}, 5]}}'
+    assert one(spark, exports.conclusion_of(F.lit(payload))) == "Итог"
+    rows = one(spark, exports.issues_of(F.lit(payload)))
+    assert len(rows) == 1 and one(spark, exports.fragment_text_of(F.lit(rows[0]))) == "цитата"
+    assert one(spark, exports.content_disposition(F.lit("отчёт 1.docx"))).endswith("%20" + "1.docx")
+    assert one(spark, issues.normalize_severity(F.lit(" Warning "))) == "warning" and one(spark, issues.normalize_severity(F.lit(" "))) is None
+    with pytest.raises(Exception, match="unknown severity"):
+        one(spark, issues.normalize_severity(F.lit("fatal")))
+
+
 @pytest.mark.parametrize(("name", "stem"), [("C:/x/report.v2.docx", "report.v2"), ("", "document"), (None, "document"), ("con.txt", "_con"), ('a<b>:"c".pdf', "a_b_c_"), (".hidden", ".hidden")])
 def test_file_stems(spark, name, stem):
     assert one(spark, exports.file_stem(F.lit(name).cast("string"))) == stem
