@@ -105,6 +105,6 @@ def mix(records: DataFrame, key: str, source: str, tokens: str, targets: DataFra
     rows = [(s, float(r["target_share"]), int(r["max_repeat"]), counts.get(s, 0), held.get(s, 0), weights.get(s, 0.0), exponent) for s, r in wanted.items()]
     sources = spark.createDataFrame(rows, "source string, target_share double, max_repeat int, records long, tokens long, weight double, exponent double")
     shares = sources.join(used, "source", "left").fillna(0, ["used_tokens", "uses", "most_repeats"])
-    shares = shares.crossJoin(F.broadcast(used.agg(F.coalesce(F.sum("used_tokens"), F.lit(0)).alias("all_tokens"))))
+    shares = shares.withColumn("all_tokens", F.sum("used_tokens").over(Window.partitionBy()))  # a row for each listed source
     shares = shares.withColumn("actual_share", F.when(F.col("all_tokens") > 0, F.col("used_tokens") / F.col("all_tokens")).otherwise(0.0)).drop("all_tokens")
     return uses.select(F.col("record").alias(key), "source", "tokens", "block", "place"), shares

@@ -163,8 +163,8 @@ def reference_wordings(reference: DataFrame, key: str, title: str, aliases: str)
     wordings = reference.select(F.col(key).alias("entry"), F.explode(F.array_distinct(F.concat(F.array(F.col(title)), F.coalesce(F.col(aliases), F.array().cast("array<string>"))))).alias("wording"))
     exploded = wordings.where("wording is not null and entry is not null").mapInPandas(words, "entry string, wording string, word string").distinct()
     frequency = exploded.groupBy("word").agg(F.count("*").alias("df"))
-    total = exploded.select(F.countDistinct("wording").alias("n"))
-    weighted = exploded.join(frequency, "word").join(F.broadcast(total)).withColumn("idf", F.log(1 + F.col("n") / F.col("df"))).drop("n", "df")
+    total = exploded.select(F.countDistinct("wording")).first()[0]
+    weighted = exploded.join(frequency, "word").withColumn("idf", F.log(1 + F.lit(total) / F.col("df"))).drop("df")
     return weighted.withColumn("word_total", F.sum("idf").over(Window.partitionBy("entry", "wording")))
 
 
@@ -188,8 +188,8 @@ def match_titles(values: DataFrame, value: str, reference: DataFrame, key: str,
 
     # a token weighs as the rarest word it can stand for, an unknown one as most of the rarest word there is
     weights = repaired.join(words.groupBy("word").agg(F.max("idf").alias("idf")), "word").groupBy("token").agg(F.max("idf").alias("known"))
-    unknown = words.agg((F.coalesce(F.max("idf"), F.lit(1.0)) * UNKNOWN_SHARE).alias("unknown"))
-    weighed = tokens.join(weights, "token", "left").crossJoin(F.broadcast(unknown)).withColumn("weight", F.coalesce("known", "unknown"))
+    unknown = words.agg(F.coalesce(F.max("idf"), F.lit(1.0)) * UNKNOWN_SHARE).first()[0]
+    weighed = tokens.join(weights, "token", "left").withColumn("weight", F.coalesce("known", F.lit(unknown)))
     totals = weighed.groupBy("typed").agg(F.sum("weight").alias("total"))
 
     hits = weighed.join(repaired, "token").join(broadcast_if_small(words, max_broadcast_rows), "word")
