@@ -19,24 +19,14 @@ INVISIBLE = (
 )
 BLANKS = "\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
-TO_CYRILLIC = "АВСЕНІЈКМОРЅТХУасеіјорѕхуЁ"
-GREEK = "ΑΒΕΗΙΚΜΝΟΡΤΥΧαορυχκντ"
-GREEK_TO_CYRILLIC = "АВЕНІКМПОРТУХаоруxкпт"
-GREEK_TO_LATIN = "ABEHIKMNOPTYXaopuxkvt"
-
-INVISIBLE = "­͏؜ᅟᅠ឴឵᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿"
-BLANKS = "               　"
-
 TO_CYRILLIC = str.maketrans(LATIN + GREEK, LATIN_TO_CYRILLIC + GREEK_TO_CYRILLIC)
 TO_LATIN = str.maketrans(LATIN_TO_CYRILLIC + GREEK, LATIN + GREEK_TO_LATIN)
 PLAIN = {ord(c): None for c in INVISIBLE} | {ord(c): " " for c in BLANKS} | {0xFF01 + i: 0x21 + i for i in range(94)}
 
-_ODD = re.compile(f"[{INVISIBLE}{BLANKS}̀-ͯ！-～]")
-_MIXED = re.compile(r"[A-Za-zÀ-ɏͰ-Ͽ]*[Ѐ-ӿ][A-Za-zÀ-ɏͰ-ϿЀ-ӿ]*")
-_FOREIGN = re.compile(r"[A-Za-zͰ-Ͽ]")
-
-
-_SEAM = re.compile(r"[A-Za-zÀ-ɏͰ-Ͽ][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-zÀ-ɏͰ-Ͽ]")
+_ODD = re.compile(f"[{INVISIBLE}{BLANKS}\u0300-\u036f\uff01-\uff5e]")
+_MIXED = re.compile(r"[A-Za-z\u00c0-\u024f\u0370-\u03ff]*[\u0400-\u04ff][A-Za-z\u00c0-\u024f\u0370-\u03ff\u0400-\u04ff]*")
+_FOREIGN = re.compile(r"[A-Za-z\u0370-\u03ff]")
+_SEAM = re.compile(r"[A-Za-z\u00c0-\u024f\u0370-\u03ff][\u0400-\u04ff]|[\u0400-\u04ff][A-Za-z\u00c0-\u024f\u0370-\u03ff]")
 
 
 def _cyrillic(m: re.Match) -> str:
