@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from specmill.session import cut
 from specmill.rules.tables import MIN_SHARED, MIN_TOKENS, NEAR, NEAR_RELAXED, NEAR_SEQUENCE
 
 
@@ -41,6 +42,7 @@ def near_pairs(frags: DataFrame) -> DataFrame:
     first = keyed.withColumn("place", place).groupBy("doc_id", "key").agg(F.min(F.struct("place", "frag", "collapsed")).alias("f"))
     words = F.array_distinct(F.regexp_extract_all("f.collapsed", F.lit(r"([\p{L}\p{N}_]+)"), 1))
     sets = first.select("doc_id", "key", F.col("f.place").alias("place"), F.col("f.frag").alias("frag"), words.alias("words"), F.size(words).alias("n")).where(F.col("n") >= MIN_TOKENS)
+    sets = cut(sets)  # read four times below
     exploded = sets.select("doc_id", "key", "n", F.explode("words").alias("word"))
     frequency = exploded.groupBy("doc_id", "word").agg(F.count("*").alias("df"))
     ranked = exploded.join(frequency, ["doc_id", "word"]).groupBy("doc_id", "key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("r"))
