@@ -1,8 +1,9 @@
 """Text decoded with the wrong character encoding: found, and restored where it still can be.
 
 Every distinct clean word of the corpus is garbled under every encoding chain, and the
-words of the texts are hash-joined to that table. A hit counts if the original is clearly more
-frequent in the corpus than the garbled form; verified originals are then substituted.
+words of the texts are hash-joined to that table. A hit counts if the original occurs in clearly more
+surroundings of the corpus than the garbled form, by itself or with the other words of its line;
+copies of a text don't count. Verified originals are then substituted.
 Scripts written without blanks take part with their single characters.
 """
 
@@ -12,7 +13,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,58 +79,103 @@ def ungarbled(text: str, chain: Sequence[tuple[str, str]]) -> str | None:
 def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for word, n in zip(pdf["word"], pdf["n"]):
+        for word, n, near in zip(pdf["word"], pdf["n"], pdf["near"]):
             seen = {word}
             for i, chain in enumerate(CHAINS):
                 form = garbled(word, chain)
                 if form and form not in seen:
                     seen.add(form)
                     # the forms are split as the texts are: no chain gives an ASCII letter for another character
-                    rows.append((form, word, n, i))
-        yield pd.DataFrame(rows, columns=["token", "original", "support", "chain"])
+                    rows.append((form, word, n, near, i))
+        yield pd.DataFrame(rows, columns=["token", "original", "support", "near", "chain"])
 
 
-def tokens_of(texts: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
-    """keys and token: the distinct words of each text that hold a character beyond ASCII.
+def _parts(word: Column) -> Column:
+    """The word, or the characters of a word of an unspaced script.
 
     A word with odd characters also comes with its first three, which may stand for one of an
-    unspaced script (first six if encoded twice); words of unspaced scripts come as their characters."""
+    unspaced script (first six if encoded twice)."""
+    head = F.when(word.rlike(r"^[^\x00-\x7f]{3}") & word.rlike(r"[^\x00-\x7fА-Яа-яЁё]"), F.substring(word, 1, 3))
+    double = F.when(word.rlike(r"^[ÃГ]"), F.substring(word, 1, 6))
+    return F.array_distinct(F.when(word.rlike(_UNSPACED), F.split(word, "")).otherwise(F.array_compact(F.array(word, head, double))))
+
+
+def tokens_of(texts: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """keys and token: the distinct words of each text that hold a character beyond ASCII, and their parts."""
     words = texts.select(*keys, F.explode(F.array_distinct(F.split(F.col(text), _BREAKS))).alias("word")).where(F.col("word").rlike(r"[^\x00-\x7f]"))
-    head = F.when(F.col("word").rlike(r"^[^\x00-\x7f]{3}") & F.col("word").rlike(r"[^\x00-\x7fА-Яа-яЁё]"), F.substring("word", 1, 3))
-    double = F.when(F.col("word").rlike(r"^[ÃГ]"), F.substring("word", 1, 6))
-    parts = F.when(F.col("word").rlike(_UNSPACED), F.split("word", "")).otherwise(F.array_compact(F.array(F.col("word"), head, double)))
-    return words.select(*keys, F.explode(F.array_distinct(parts)).alias("token")).where("token != ''")
+    return words.select(*keys, F.explode(_parts(F.col("word"))).alias("token")).where("token != ''")
+
+
+def _lines(texts: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """keys and line: the distinct lines of each text that hold a character beyond ASCII."""
+    return texts.select(*keys, F.explode(F.array_distinct(F.split(F.col(text), "\n"))).alias("line")).where(F.col("line").rlike(r"[^\x00-\x7f]"))
 
 
-def garbled_words(tokens: DataFrame, ratio: float = LEAST_RATIO) -> DataFrame:
-    """token, original, chain: every garbled word of the corpus and its verified original.
+def counted_tokens(texts: DataFrame, text: str) -> DataFrame:
+    """token, n, near: how often it occurs in the distinct lines of the corpus, and between how many pairs of neighbours.
+
+    However often a text, a page or a line is repeated, n stays; near also stays where the copies differ in
+    their numbers or where other lines surround them."""
+    lines = _lines(texts, [], text).distinct().select(F.split("line", _BREAKS).alias("ws"))
+    edge = F.array(F.lit(""))
+    spread = F.arrays_zip(F.concat(edge, "ws").alias("before"), F.col("ws").alias("word"), F.concat(F.slice("ws", 2, F.size("ws")), edge).alias("after"))
+    words = lines.select(F.explode(spread).alias("x")).select("x.*").where(F.col("word").rlike(r"[^\x00-\x7f]"))
+    words = words.groupBy("word", F.xxhash64("before", "after").alias("around")).agg(F.count("*").alias("n"))
+    words = words.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("near"))
+    return words.select(F.explode(_parts(F.col("word"))).alias("token"), "n", "near").where("token != ''").groupBy("token").agg(F.sum("n").alias("n"), F.sum("near").alias("near"))
+
+
+def garbled_words(texts: DataFrame, text: str, ratio: float = LEAST_RATIO) -> tuple[DataFrame, DataFrame]:
+    """(words, open). words: token, original, chain of every garbled word of the corpus and its verified original.
 
     A word is garbled if it is a chain's form of a clean corpus word: through UTF-8, whose forms
-    have a shape of their own, of any; through single bytes, which only exchange letters, of one that is at least
-    ratio times as frequent, in any case of letters. Forms that look like plain words of the language need four
+    have a shape of their own, of any; through single bytes, which only exchange letters, of one with at least
+    as many pairs of neighbours, and ratio times as many of these or of occurrences in distinct lines, in any case
+    of letters. Forms that look like plain words of the language need four
     letters. Among several originals the most frequent wins, then the smaller. Words with the
-    replacement character are garbled beyond repair: their original is null."""
-    counted = tokens.groupBy("token").agg(F.count("*").alias("n"))
-    counted = cut(counted)
-    folded = counted.groupBy(F.lower("token").alias("low")).agg(F.sum("n").alias("support"))
-    supported = counted.withColumn("low", F.lower("token")).join(folded, "low").select("token", "support")
-    clean = supported.where(~F.col("token").rlike(_NOT_CLEAN)).select(F.col("token").alias("word"), F.col("support").alias("n"))
-    forms = clean.mapInPandas(_forms, "token string, original string, support bigint, chain int")
+    replacement character are garbled beyond repair: their original is null.
+
+    open: token, original, chain, score of the single-byte forms that their own counts leave open, for verified_in_lines();
+    the score is the logarithm of how many times as many pairs of neighbours the original has."""
+    counted = cut(counted_tokens(texts, text))
+    folded = counted.groupBy(F.lower("token").alias("low")).agg(F.sum("n").alias("support"), F.sum("near").alias("near"))
+    supported = counted.select("token", F.lower("token").alias("low")).join(folded, "low").select("token", "support", "near")
+    clean = supported.where(~F.col("token").rlike(_NOT_CLEAN)).select(F.col("token").alias("word"), F.col("support").alias("n"), "near")
+    forms = clean.mapInPandas(_forms, "token string, original string, support bigint, near bigint, chain int")
     plain = F.col("token").rlike(r"^[А-Яа-яЁё]+$") | F.col("token").rlike(r"^[A-Za-z]*[A-Za-zÀ-ÿ][A-Za-z]*$")
-    hits = supported.withColumnRenamed("support", "own").join(forms, "token").where(F.col("chain").isin(*_SHAPED) | (F.col("support") >= ratio * F.col("own")))
+    hits = supported.select("token", F.col("support").alias("own"), F.col("near").alias("own_near")).join(forms, "token")
     hits = hits.where(F.when(plain, (F.length("token") >= 4) & ~F.col("token").rlike("^[a-zа-яё]+$")).otherwise(F.length("original") >= 2) | F.col("original").rlike(_UNSPACED))
-    best = hits.groupBy("token").agg(F.min_by(F.struct("original", "chain"), F.struct(-F.col("support"), F.col("original"), F.col("chain"))).alias("best"))
+    verified = F.col("chain").isin(*_SHAPED) | (F.col("near") >= F.col("own_near")) & ((F.col("near") >= ratio * F.col("own_near")) | (F.col("support") >= ratio * F.col("own")))
+    hits = cut(hits.withColumn("verified", verified))
+    best = hits.where("verified").groupBy("token").agg(F.min_by(F.struct("original", "chain"), F.struct(-F.col("support"), F.col("original"), F.col("chain"))).alias("best"))
+    best = best.select("token", "best.original", "best.chain")
+    undecided = hits.where("not verified").select("token", "original", "chain", F.log(F.col("near") / F.col("own_near")).alias("score")).join(best.select("token"), "token", "left_anti")
     lost = counted.where(F.col("token").contains("�")).select("token", F.lit(None).cast("string").alias("original"), F.lit(None).cast("int").alias("chain"))
-    return best.select("token", "best.original", "best.chain").unionByName(lost)
+    return best.unionByName(lost), undecided
+
+
+def verified_in_lines(texts: DataFrame, keys: Sequence[str], text: str, undecided: DataFrame, max_broadcast_rows: int, ratio: float = LEAST_RATIO) -> DataFrame:
+    """keys, token, original, chain of the words that their line verifies: at least two of its words go back under one
+    chain, and together these originals have ratio times as many pairs of neighbours (the product over the words)."""
+    undecided = cut(undecided)
+    likely = broadcast_if_small(cut(undecided.where("score >= 0").select("token").distinct()), max_broadcast_rows)
+    words = _lines(texts, keys, text).select(*keys, "line", F.explode(F.array_distinct(F.split("line", _BREAKS))).alias("token")).where(F.col("token").rlike(r"[^\x00-\x7f]"))
+    lines = words.join(likely, "token", "left_semi").groupBy(*keys, "line").agg(F.count("*").alias("n")).where("n >= 2").select(*keys, "line")
+    again = lines.select(*keys, "line", F.explode(F.array_distinct(F.split("line", _BREAKS))).alias("token"))
+    found = again.join(broadcast_if_small(undecided, max_broadcast_rows), "token")
+    same = found.groupBy(*keys, "line", "chain").agg(F.sum("score").alias("sum"), F.count_distinct("token").alias("n"), F.collect_set(F.struct("token", "original")).alias("all"))
+    sure = same.where((F.col("sum") >= F.log(F.lit(ratio))) & (F.col("n") >= 2)).select(*keys, "chain", F.explode("all").alias("x"))
+    return sure.select(*keys, "x.token", "x.original", "chain").distinct()
 
 
 def affected(texts: DataFrame, keys: Sequence[str], text: str, max_broadcast_rows: int = 500_000) -> DataFrame:
     """keys of the texts any part of which is wrongly decoded; keys that occur twice come out once.
 
     Null and empty texts aren't affected; other columns are ignored."""
-    tokens = tokens_of(texts, keys, text)
-    bad = broadcast_if_small(cut(garbled_words(tokens).select("token")), max_broadcast_rows)
-    return tokens.join(bad, "token", "left_semi").select(*keys).distinct()
+    words, undecided = garbled_words(texts, text)
+    bad = broadcast_if_small(cut(words.select("token")), max_broadcast_rows)
+    hits = tokens_of(texts, keys, text).join(bad, "token", "left_semi").select(*keys)
+    return hits.union(verified_in_lines(texts, keys, text, undecided, max_broadcast_rows).select(*keys)).distinct()
 
 
 _PLAIN_WORD = re.compile("[А-ЯЁ]?[а-яё]+")
@@ -170,9 +216,9 @@ def _restored(text: pd.Series, known: pd.Series) -> pd.Series:
 
 def restore(texts: DataFrame, keys: Sequence[str], text: str, max_broadcast_rows: int = 500_000) -> DataFrame:
     """keys, text, restored of every affected text; words that can't be restored stay as they are."""
-    tokens = tokens_of(texts, keys, text)
-    bad = cut(garbled_words(tokens))
-    hits = tokens.join(broadcast_if_small(bad, max_broadcast_rows), "token")
+    words, undecided = garbled_words(texts, text)
+    hits = tokens_of(texts, keys, text).join(broadcast_if_small(cut(words), max_broadcast_rows), "token")
+    hits = hits.select(*keys, "token", "original", "chain").unionByName(verified_in_lines(texts, keys, text, undecided, max_broadcast_rows))
     known = hits.groupBy(*keys).agg(F.collect_set(F.when(F.col("original").isNotNull(), F.struct("token", "original", "chain"))).alias("known"))
     once = texts.select(*keys, F.col(text).alias("text")).dropDuplicates(list(keys))
     return once.join(known, list(keys)).select(*keys, "text", _restored("text", "known").alias("restored"))

@@ -23,3 +23,25 @@ def test_affected_and_restored(spark):
     assert all(texts[100 + i] == "Чистое начало. " + WORDS for i in range(5))
     assert texts[300] == "датчик ����"
     assert affected(rows.where("false"), ["id"], "t").count() == 0
+
+
+def test_copies_of_a_garbled_page_do_not_hide_it(spark):
+    chain = (("koi8-r", "cp1251"),)
+    places = "северного южного верхнего нижнего старого нового".split()
+    clean = [(i, f"{p} участка {WORDS} {q}") for i, (p, q) in enumerate((p, q) for p in places for q in places)]
+    garbled_page = garbled(WORDS, chain)
+    exact = [(100 + i, garbled_page) for i in range(200)]
+    near = [(400 + i, f"{garbled_page} {i}") for i in range(200)]
+    rows = spark.createDataFrame(clean + exact + near, "id long, t string")
+    assert sorted(r["id"] for r in affected(rows, ["id"], "t").collect()) == [r[0] for r in exact + near]
+    assert {r["restored"] for r in restore(rows.where("id < 400"), ["id"], "t").collect()} == {WORDS}
+
+
+def test_words_of_a_line_decide_together(spark):
+    chain = (("koi8-r", "cp1251"),)
+    words = WORDS.split()
+    line = lambda a, n: " ".join([words[a], words[(a + n) % 12], words[(a + 2 * n) % 12]])
+    clean = [(i, line(i % 12, 1 + i // 12)) for i in range(36)]
+    odd = [(100 + i, garbled(line(i % 12, 4 + i // 12), chain)) for i in range(24)]
+    rows = spark.createDataFrame(clean + odd, "id long, t string")
+    assert sorted(r["id"] for r in affected(rows, ["id"], "t").collect()) == [r[0] for r in odd]
