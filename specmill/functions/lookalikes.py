@@ -28,6 +28,9 @@ _MIXED = re.compile(r"[A-Za-z\u00c0-\u024f\u0370-\u03ff]*[\u0400-\u04ff][A-Za-z\
 _FOREIGN = re.compile(r"[A-Za-z\u0370-\u03ff]")
 _SEAM = re.compile(r"[A-Za-z\u00c0-\u024f\u0370-\u03ff][\u0400-\u04ff]|[\u0400-\u04ff][A-Za-z\u00c0-\u024f\u0370-\u03ff]")
 
+#: Texts without a match come out of plain() as they are.
+NOT_PLAIN = f"{_ODD.pattern}|{_SEAM.pattern}"
+
 
 def _cyrillic(m: re.Match) -> str:
     w = m.group(0)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from specmill.functions.lookalikes import plain
+from specmill.functions.lookalikes import NOT_PLAIN, plain
 
 # Decimal and binary prefixes, symbols and words.
 SYMBOL_PREFIXES = {
@@ -432,6 +432,10 @@ def _may_be_unit(word: str) -> bool:
     )
 
 
+# For Java: all that measurements() can start from, and what may become so once the text is plain.
+_MAY_HOLD = rf"\p{{Nd}}|{NOT_PLAIN}|(?iu)(?:пол|{'|'.join(sorted(NUMBER_WORDS))})"
+
+
 def extract_measurements(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     """keys, quantity, base_value of every measured value in a text column.
 
@@ -441,7 +445,7 @@ def extract_measurements(df: DataFrame, text: str, keys: Sequence[str]) -> DataF
     sent to Python."""
     schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("quantity", T.StringType()), T.StructField("base_value", T.LongType())])
     picked = df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(text).alias("t"))
-    picked = picked.where(F.col("t").rlike(r"\d|[０-９]|(?iu)(?:пол|ти|ух|х|ёх)\S*\s"))
+    picked = picked.where(F.col("t").rlike(_MAY_HOLD))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -51,3 +51,11 @@ def test_operator_on_nulls_repeats_clashing_columns_and_empty_tables(spark):
     out = extract_measurements(spark.createDataFrame(rows, schema), "t", ["doc_id"])
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(3, "length", 5_000_000), (3, "length", 5_000_000), (None, "mass", 2_000_000)], key=str)
     assert extract_measurements(spark.createDataFrame([], schema), "t", ["doc_id"]).count() == 0
+
+
+def test_number_words_alone_reach_python(spark):
+    texts = ["The valve closes within five minutes.", "Клапан закрывается за пять минут.", "Выдержка два часа", "ПОЛЧАСА", "Выдержка cемь часов", "Без чисел"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {(r["id"], r["quantity"], r["base_value"]) for r in extract_measurements(rows, "t", ["id"]).collect()}
+    assert got == {(i, q, v) for i, t in enumerate(texts) for q, v in measurements(t)}
+    assert {i for i, _, _ in got} == {0, 1, 2, 3, 4}
