@@ -2,8 +2,8 @@
 
 Mentions are recognised by their forms and contexts and validated by their formats; numbers are
 then permuted by a keyed Feistel network within their own format, so that equal values
-stay linked across documents while their digits are hidden; dates are permuted within a
-span of days; names and addresses get a keyed token of their letters.
+stay linked across documents while their digits are hidden; names and addresses get a keyed
+token of their letters. Dates are left as they are; permuted_date is there for callers.
 """
 
 from __future__ import annotations
