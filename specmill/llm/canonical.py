@@ -91,11 +91,11 @@ def canonical_words(words: DataFrame, word: str) -> DataFrame:
 def inconsistent(texts: DataFrame, keys: Sequence[str], text: str, max_broadcast_rows: int = 300_000) -> DataFrame:
     """keys of the texts that hold a word that isn't in the consistent form.
 
-    Such a word is one that its class's canonical member replaces and that fails the exact
-    check of consistency. Null, empty and blank texts are consistent; the number of blanks
+    Such a word is one that fails the exact check of consistency, and either mixes alphabets or
+    is replaced by its class's canonical member (letters without a composed form are not). Null, empty and blank texts are consistent; the number of blanks
     doesn't matter; keys that occur twice come out once."""
     words = words_of(texts, keys, text)
-    replaced = canonical_words(words, "word").where(~F.col("fine") & (F.col("word") != F.col("canonical"))).select("word")
+    replaced = canonical_words(words, "word").where(~F.col("fine") & (F.col("word").rlike(_MIXED) | (F.col("word") != F.col("canonical")))).select("word")
     replaced = broadcast_if_small(cut(replaced), max_broadcast_rows)
     return words.join(replaced, "word", "left_semi").select(*keys).distinct()
 

@@ -22,3 +22,8 @@ def test_inconsistent_and_canonical(spark):
     assert canon[0] == canon[1] == canon[2] == canon[3] == canon[8] == "Контроль давления"
     assert canon[5] is None and canon[4] == "" and canon[9] == canon[10] and canon[12] == canon[13]
     assert inconsistent(rows.where("false"), ["id"], "t").count() == 0
+
+
+def test_mixed_words_that_cannot_be_repaired_are_reported(spark):
+    rows = spark.createDataFrame([(1, "koмплект"), (2, "moнтaжные работы"), (3, "kалeндарный план"), (4, "комплект kit"), (5, "x̂")], "id int, t string")
+    assert sorted(r["id"] for r in inconsistent(rows, ["id"], "t").collect()) == [1, 2, 3]
