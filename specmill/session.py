@@ -1,12 +1,20 @@
-"""Session helpers: local sessions for tests, checkpoints in the shared folder, checked broadcasts."""
+"""Session helpers: local sessions for tests, frames written once to the shared folder, checked broadcasts."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: The most bytes of rows that a side of a join may have to be broadcast.
+MAX_BROADCAST_BYTES = 64 << 20
+_SCOPES: list[list[str]] = []
 
 
 def local_session(cores: int | str = 8, memory: str = "8g", shuffle_partitions: int = 8) -> SparkSession:
@@ -24,25 +32,61 @@ def local_session(cores: int | str = 8, memory: str = "8g", shuffle_partitions:
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in spark.checkpoint.dir; a folder of our own only where none is set."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the checkpoint folder set already, or the one named in
+    spark.checkpoint.dir. Only a local session without either gets a temporary folder; on a cluster that is an error."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "specmill-checkpoints"))
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = os.path.join(tempfile.gettempdir(), "specmill-checkpoints")
+    sc.setCheckpointDir(named)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialize a frame in the reliable checkpoint folder and cut its lineage there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a frame once, as compressed Parquet in the shared folder, and read it from there.
+
+    This cuts its lineage, lets later reads take only the columns they need, and survives lost executors. Names of
+    columns don't matter: they are put back after reading. The files are removed when the application ends, or with
+    the scope of frames_removed()."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/frame-{uuid.uuid4().hex}"
+    plain = [f"c{i}" for i in range(len(df.columns))]
+    df.toDF(*plain).write.option("compression", "zstd").parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    for scope in _SCOPES[-1:]:
+        scope.append(path)
+    schema = T.StructType([T.StructField(p, f.dataType, True) for p, f in zip(plain, df.schema.fields)])
+    return spark.read.schema(schema).parquet(path).toDF(*df.columns)
+
+
+@contextmanager
+def frames_removed(spark: SparkSession) -> Iterator[None]:
+    """Remove the frames that cut() writes within this scope at its end; for jobs that run for long, as streams do."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Mark a materialized frame for broadcast only if it has at most max_rows rows.
+def broadcast_if_small(df: DataFrame, max_rows: int, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Mark a written frame for broadcast only if it has at most max_rows rows and max_bytes bytes.
 
-    Beyond the bound the frame is returned unmarked, so that the join shuffles. The frame
-    should have been cut() before, because its rows are counted here.
-    """
-    return F.broadcast(df) if df.count() <= max_rows else df
+    Beyond either bound the frame is returned unmarked, so that the join shuffles. The frame should have been
+    cut() before, because its rows and the lengths of its texts are read here. Nested columns aren't measured, so
+    frames with such are never marked."""
+    if any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)) for f in df.schema):
+        return df
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, f in zip(df.columns, df.schema.fields) if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    width = sum(texts, F.lit(16 * (len(df.columns) + 1)))
+    rows, size = df.select(F.count("*"), F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df

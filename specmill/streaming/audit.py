@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from specmill.operators.issues import audit
+from specmill.session import frames_removed
 from specmill.sources.files import documents_of
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -20,9 +21,10 @@ def audit_stream(spark: SparkSession, folder: str, out: str, checkpoint: str) ->
     files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true").load(folder)
 
     def write(batch: DataFrame, number: int) -> None:
-        docs = documents_of(batch).where("error IS NULL").select(F.xxhash64("path").alias("doc_id"), "kind", "blocks")
-        issues, reports = audit(docs)
-        issues.write.mode("overwrite").parquet(f"{out}/issues/batch={number}")
-        reports.write.mode("overwrite").parquet(f"{out}/reports/batch={number}")
+        with frames_removed(spark):
+            docs = documents_of(batch).where("error IS NULL").select(F.xxhash64("path").alias("doc_id"), "kind", "blocks")
+            issues, reports = audit(docs)
+            issues.write.mode("overwrite").parquet(f"{out}/issues/batch={number}")
+            reports.write.mode("overwrite").parquet(f"{out}/reports/batch={number}")
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
