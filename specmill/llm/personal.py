@@ -1,9 +1,9 @@
 """Personal information in free text: found, and replaced by typed placeholders.
 
-Mentions are recognised by their forms and contexts and validated by their formats; numbers are
-then permuted by a keyed Feistel network within their own format, so that equal values
+Mentions are recognised by their forms and validated by their formats; numbers and dates (of birth,
+of issue) are then permuted by a keyed Feistel network within their own format, so that equal values
 stay linked across documents while their digits are hidden; names and addresses get a keyed
-token of their letters. Dates are left as they are; permuted_date is there for callers.
+token of their letters, names without their case endings.
 """
 
 from __future__ import annotations
@@ -11,11 +11,13 @@ from __future__ import annotations
 import bisect
 import datetime
 import hashlib
+import math
 import re
+import secrets
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +42,17 @@ _SURNAME_LIKE = re.compile(rf"(?i)^[{_LETTERS}-]{{2,}}{_SUR_END}(?:[аяуюеы
 # Capitalised words before a name that are no part of it.
 _NOT_NAMES = set("вчера учора сегодня исполнитель майстер мастер монтажник согласовано контактное лицо контактна особа инженер инж акт пропуск заявку заявка уважением повагою ответственный подпись автор директор начальник".split())
 
+# Words that end as surnames do.
+_NO_SURNAMES = frozenset("магазин бензин термин остров покров аршин господин гражданин хозяин один причин слов основ готов улов рукав кров ров лев клин карантин витамин вазелин хлопин апельсин камин кувшин рубин тюльпин лимузин масштабов".split())
+_STRONG = r"(?:[оеё]в|[иы]н|[оеё]в(?:а|у|ым|ой|е|ы|ых)|[иы]н(?:а|у|ым|ой|е|ы|ых)|[сц]к(?:ий|ая|ого|ому|им|ой|ую)|енко|[чщ]ук(?:а|у|ом)?|швили|дзе|янц)"
+_ALONE = re.compile(rf"(?<![{_LETTERS}\w.«„\"-])([{_UP}][{_LOW}]{{2,}}{_STRONG}(?:-[{_UP}][{_LOW}]+)?)(?![{_LETTERS}\w»-])(?! [{_UP}])")
+_OPENS = re.compile(r"(?:^|[.!?…:;»”|]|\n)[\s«„\"]*$")
+#: Words that make a capitalised word behind them the name of a place, a street, an organisation or a model.
+_PLACE = re.compile(rf"(?:(?:(?:^|[\s(])(?:в|во|из|под|над|у|близ|около|им|имени|г|гор|город|городе|города|пос|посёлок|с|село|дер|м|місто|ул|улица|улице|улицы|пр|пр-т|просп|проспект|пер|переулок|бул|бульвар|наб|набережная|ш|шоссе|пл|площадь|вул|пров|ст|станция|станок|завод|фирма|марки|модели|типа|компания|ООО|АО|ЗАО|ПАО|ТОВ)\.?|[{_UP}][{_LETTERS}]*) ?[«„\"]?)$")
+_VERB = re.compile(rf" (?:не )?[{_LOW}]+(?:л|ла|лся|лась|ет|ёт|ит|ив|в|является)(?![{_LETTERS}])")
+_ROLE = re.compile(r"(?i)(?:тель|ник|щик|чик|ист|лог|вод|арь|ач|ер|ор|ант|ент|ция|ка|ость|ние|ок)$")
+_NOM = re.compile(r"(?:[оеё]в|[иы]н|[сц]кий|енко|[чщ]ук)(?:-|$)")
+
 _CAPITALISED = re.compile(rf"[{_UP}][{_LETTERS}]+")
 _WORD_AFTER = re.compile(rf" ([{_UP}][{_LETTERS}]+(?:-[{_UP}][{_LETTERS}]+)?)(?![{_LETTERS}\w-])")
 _WORD_BEFORE = re.compile(rf"(?<![{_LETTERS}\w.-])([{_UP}][{_LETTERS}]+(?:-[{_UP}][{_LETTERS}]+)?) $")
@@ -55,14 +68,22 @@ _LATIN_AFTER = re.compile(rf" (?:[A-Z]\. )*{_WU}(?![\w-])")
 _LATIN_MIDDLE = re.compile(r" [A-Z]\.")
 _LATIN_BEFORE = re.compile(rf"(?<![\w-]){_WU}, $")
 _TITLED = re.compile(rf"(?:(?:Dr|Mr|Ms|Mrs|Prof)\. |Herrn? |Frau |डॉ\. |د\. |ดร\. ?)((?:[A-Z]\. )*{_W}(?: {_W})?)(?![\w-])")
-_IN_CONTEXT = re.compile(
-    rf"(?:Contact: |Yesterday |regards,\n|ask |fitter |Ansprechpartner: |meldete |Monteur |Grüßen\n|Kontakt: |Approved: |Freigabe: | / |^)([A-Z]\. (?:[A-Z]\. ?)?{_WU})(?![\w-])(?!: )", re.M
-)
-_LATIN_INITIALS = re.compile(
-    rf"(?<![\w-])({_WU}, [A-Z]\.(?: ?[A-Z]\.)?)(?=[;,\s(])|(?<![\w.-])([A-Z]\. (?:[A-Z]\. )?{_WU})(?=;\+?[(\d]| \((?:passport|identity|National|Ausweis|Steuer|SSN)|, (?:phone|Tel))"
-)
+_LATIN_INITIALS = re.compile(rf"(?<![\w.-])([A-ZÄÖÜ]\. ?(?:[A-ZÄÖÜ]\. ?)?{_WU})(?![\w-])(?!: )")
+_LATIN_INITIALS_LAST = re.compile(rf"(?<![\w-])({_WU}, [A-ZÄÖÜ]\.(?: ?[A-ZÄÖÜ]\.)?)(?=[;,\s(])")
+_LATIN_PAIR = re.compile(rf"(?<=[a-z,] )({_LG}(?: [A-Z]\.)? {_LG}(?:-{_LG})?)(?![\w-])(?! [A-ZÄÖÜ])")
+#: A letter behind a number is a unit, one behind a short abbreviation or a noun for parts of a text a label.
+_NO_LATIN_INITIAL = re.compile(r"(?:\d|(?<![A-Za-zÄÖÜäöüß])[A-ZÄÖÜ][a-zäöü]{0,3}\.|(?:[Aa]ppendix|[Aa]nnex|[Ss]ection|[Cc]hapter|[Ff]igure|[Tt]able|[Pp]art|[Cc]lass|[Tt]ype|[Zz]one|[Aa]nhang|[Aa]nlage|[Tt]eil|[Kk]lasse|[Tt]yp)) $")
+#: Words before two capitalised words that are a place or a thing, and last words of such.
+_PLACE_BEFORE = frozenset("in at to from near of the on for into via through towards under over with".split())
+_THING_LAST = frozenset("Ltd Inc Corp Company Group Works Street Road Lane Avenue Square Court Close Way Drive Row Park Station Bridge Hall House Plant University Institute Department".split())
+_ENGLISH = re.compile(r"\b(?:the|and|with)\b")
 _HAS_LATIN = re.compile(r"[A-ZÄÖÜ][a-zäöüß]|[A-Z]{4}")
-_TITLE_END = set("Contact Yesterday Kind Mit Call Send Deliver The Das Der Die Der Lieferung Release Build Stop Is App Fig Sec Abb Kap Nr No".split())
+# Capitalised words at the start of a sentence or line that are no part of a name.
+_TITLE_END = set(
+    "A An And Any Are As At But By Did Do Does Each For From Has Have How If In Is It Its May No Not Of On Or Our See She So That The Their There These They This Those To Was We What When Where Which Who Why Will With You "
+    "Als Am An Auf Aus Bei Bis Das Dem Den Der Des Die Ein Eine Er Es Für Im In Ist Kein Keine Mit Nach Nur Ob Sie Sind Um Und Von Vor Wann Was Wer Wie Wo Zu Zum Zur "
+    "Abb App Approx Article Build Call Contact Deliver Fig Kap Kind Lieferung Mr Mrs Ms Dr Prof Nr Ratio Release Sec Send Spare Stop Yesterday".split()
+)
 
 _AT = r"(?: ?@ ?| ?[\[({](?:a|at|@|собака|ат|эт)[\])}] ?)"
 _DOT = r"(?:\.| ?[\[({](?:dot|точка|\.)[\])}] ?)"
@@ -110,7 +131,10 @@ _LATIN_ADDRESS = [
     re.compile(r"(?<![\w-])(?:\d{5} [A-ZÄÖÜ][a-zäöüß]+, )?(?:[A-ZÄÖÜ][\wäöüß]*-)?[A-ZÄÖÜ][a-zäöüß]+(?:straße|strasse|str\.|weg|gasse|allee|platz|steg|ring|ufer|damm|stieg|hof|markt) \d+(?: ?[a-z]\b)?(?:(?:,| in) \d{5} [A-ZÄÖÜ][a-zäöüß]+(?:-[A-ZÄÖÜ][a-zäöüß]+)?)?"),
 ]
 
-KINDS = ("email", "id_number", "address", "phone", "person")
+KINDS = ("email", "date", "id_number", "address", "phone", "person")
+
+_DATE_SIGNS = ("ожд", "ыда", "одил", "г. р.", "г.р.", "orn", "ssue", "irth", "ebor", "eb.", "usgestellt", "eburts", "ародже", "ародив")
+_DATE_LABEL = re.compile(r"(?i)(?:дат[аыуе] (?:рождения|выдачи)|родил(?:ся|ась)|рожд\.|г\. ?р\.|выдан[ао]?|born(?: on)?|date of (?:birth|issue)|birth date|issued(?: on)?|geboren(?: am)?|geb\.|Geburtsdatum|ausgestellt(?: am)?|дата народження|народив(?:ся|лася))[ :—–-]{0,3}(\d{1,4}[./-]\d{1,2}[./-]\d{1,4})(?!\d)")
 
 
 def _digits(text: str) -> int:
@@ -124,6 +148,16 @@ def _surname(word: str) -> bool:
 _NO_INITIAL = re.compile(r"(?:(?:прил|разд|рис|табл|лит|гр|кл|тыс|млн)\.|\d) ?$")
 
 
+def _word_start(text: str, at: int) -> int:
+    """Where the word before a position starts, with the character before it and the mark behind it."""
+    i = at - 1
+    while i > 0 and text[i - 1] in " ,":
+        i -= 1
+    while i > 0 and (text[i - 1].isalnum() or text[i - 1] in "-_."):
+        i -= 1
+    return max(0, i - 1)
+
+
 def _cyrillic_persons(text: str) -> Iterator[tuple[int, int]]:
     for m in _CAPITALISED.finditer(text):
         given = m.group(0)
@@ -136,7 +170,7 @@ def _cyrillic_persons(text: str) -> Iterator[tuple[int, int]]:
         if patronymic:
             end = patronymic.end()
         after = _WORD_AFTER.match(text, end)
-        before = _WORD_BEFORE.search(text[max(0, start - 48) : start])
+        before = _WORD_BEFORE.search(text[_word_start(text, start) : start])
         if after and _surname(after.group(1)):
             yield start, after.end()
         elif before and _surname(before.group(1)):
@@ -151,11 +185,34 @@ def _cyrillic_persons(text: str) -> Iterator[tuple[int, int]]:
             yield m.span()
 
 
+def _surnames_alone(text: str) -> Iterator[tuple[int, int]]:
+    """Surnames by their shape alone, with a given name of no list before them where there is one: within a sentence
+    any capitalised word of such an ending that names no place; at its start only before a verb."""
+    for m in _ALONE.finditer(text):
+        start, end = m.span(1)
+        if m.group(1).lower() in _NO_SURNAMES:
+            continue
+        before = text[max(0, start - 40) : start]
+        if _OPENS.search(before):
+            if _NOM.search(m.group(1)) and _VERB.match(text, end):
+                yield start, end
+            continue
+        given = re.search(rf"(?<![{_LETTERS}\w.«-])([{_UP}][{_LOW}]{{2,}}) $", before)
+        if given:
+            word, opening = given.group(1), bool(_OPENS.search(before[: given.start()]))
+            if word.lower() in _NOT_NAMES or opening and _ROLE.search(word):
+                yield start, end
+            elif not _PLACE.search(before[: given.start()]) and not _ROLE.search(word):
+                yield start - len(given.group(0)), end
+        elif not _PLACE.search(before):
+            yield start, end
+
+
 def _latin_persons(text: str) -> Iterator[tuple[int, int]]:
     for m in _LATIN_WORD.finditer(text):
         if m.group(0) in _LATIN:
             start, end = m.span()
-            before = _LATIN_BEFORE.search(text[max(0, start - 40) : start])
+            before = _LATIN_BEFORE.search(text[_word_start(text, start) : start])
             if before and before.group(0)[:-2] not in _TITLE_END:
                 middle = _LATIN_MIDDLE.match(text, end)
                 yield start - len(before.group(0)), middle.end() if middle else end
@@ -167,18 +224,25 @@ def _latin_persons(text: str) -> Iterator[tuple[int, int]]:
         if len(words) > 1 and not words[-2].endswith(".") and words[-2] not in _LATIN:
             end -= len(words[-1]) + 1  # the next word is no surname
         yield start, end
-    for pattern in (_IN_CONTEXT, _LATIN_INITIALS):
-        for m in pattern.finditer(text):
-            k = next(i for i in range(1, 3) if m.group(i))
-            if m.group(k).split(",")[0].rsplit(" ", 1)[-1] not in _TITLE_END:
-                yield m.span(k)
+    for m in _LATIN_INITIALS.finditer(text):
+        if re.split(r"[ .]", m.group(1))[-1] not in _TITLE_END and not _NO_LATIN_INITIAL.search(text, max(0, m.start() - 16), m.start()):
+            yield m.span(1)
+    for m in _LATIN_INITIALS_LAST.finditer(text):
+        if m.group(1).split(",")[0] not in _TITLE_END:
+            yield m.span(1)
+    if _ENGLISH.search(text):
+        for m in _LATIN_PAIR.finditer(text):
+            first, last = m.group(1).split(" ")[0], m.group(1).rsplit(" ", 1)[1]
+            before = re.search(r"([a-z]+),? $", text[max(0, m.start() - 24) : m.start()])
+            if before and before.group(1) not in _PLACE_BEFORE and last not in _THING_LAST and first not in _TITLE_END and last not in _TITLE_END:
+                yield m.span(1)
 
 
 def _phones(text: str) -> Iterator[tuple[int, int]]:
     for c in _DIGITS_AND_MARKS.finditer(text):
         value = c.group(0)
         n = _digits(value)
-        if not 7 <= n or len(value) > 64:
+        if not 7 <= n:
             continue
         start, end = c.span()
         before, after = text[max(0, start - 12) : start], text[end : end + 1]
@@ -202,22 +266,29 @@ def mentions(text: str) -> list[tuple[str, int, int]]:
         for label in _ID_LABEL.finditer(text):
             if (m := _ID_VALUE.match(text, label.end())) and _digits(m.group(0)) >= 6:
                 found.append(("id_number", *m.span()))
+    if any(x in text for x in _DATE_SIGNS):
+        found += [("date", *m.span(1)) for m in _DATE_LABEL.finditer(text) if date_of(m.group(1))]
     if _HAS_STREET.search(text):
         for m in _STREET.finditer(text):
-            before = _BEFORE_STREET.search(text[max(0, m.start() - 60) : m.start()])
+            third = m.start()
+            for _ in range(3):  # a postcode and a town end with a comma each
+                third = max(0, text.rfind(",", 0, third))
+            before = _BEFORE_STREET.search(text[third : m.start()])
             found.append(("address", m.start() - (len(before.group(0)) if before else 0), m.end()))
     found += [("phone", *s) for s in _phones(text)]
     found += [("person", *s) for s in _cyrillic_persons(text)]
+    alone = [("person", *s) for s in _surnames_alone(text)]
     if _HAS_LATIN.search(text):
         for pattern in _LATIN_ADDRESS:
             found += [("address", *m.span()) for m in pattern.finditer(text)]
         found += [("person", *s) for s in _latin_persons(text)]
-    if not found:
+    if not found and not alone:
         return []
     order = {k: i for i, k in enumerate(KINDS)}
     taken: list[tuple[int, int]] = []
     kept: list[tuple[str, int, int]] = []
-    for kind, start, end in sorted(set(found), key=lambda x: (order[x[0]], x[1] - x[2], x[1])):
+    # what only its shape shows comes last
+    for kind, start, end in [*sorted(set(found), key=lambda x: (order[x[0]], x[1] - x[2], x[1])), *alone]:
         at = bisect.bisect_left(taken, (start, end))
         if (at == len(taken) or end <= taken[at][0]) and (at == 0 or taken[at - 1][1] <= start):
             taken.insert(at, (start, end))
@@ -226,16 +297,16 @@ def mentions(text: str) -> list[tuple[str, int, int]]:
 
 
 def _round(key: bytes, number: int, value: int, size: int) -> int:
-    digest = hashlib.blake2b(b"%d:%d:%d" % (number, value, size), key=key, digest_size=8).digest()
+    digest = hashlib.blake2b(b"%d:%d:%d" % (number, value, size), key=key, digest_size=8 + (size.bit_length() + 7) // 8).digest()
     return int.from_bytes(digest, "big") % size
 
 
-def feistel(value: int, size: int, key: bytes, rounds: int = 8, backward: bool = False) -> int:
-    """A keyed permutation of the numbers below size: a Feistel network over two near-equal
-    factors, walked along its cycle until it is below size again."""
-    a = 1
-    while a * a < size:
-        a += 1 if size < 10_000 else max(1, (size // a - a) // 2) if a * a * 4 < size else 1
+def feistel(value: int, size: int, key: bytes, rounds: int = 10, backward: bool = False) -> int:
+    """A keyed permutation of the numbers below size: a Feistel network over two factors next to the
+    root, walked along its cycle until it is below size again."""
+    if size < 2:
+        return value
+    a = math.isqrt(size - 1) + 1
     b = -(-size // a)
 
     def once(x: int) -> int:
@@ -255,14 +326,45 @@ def feistel(value: int, size: int, key: bytes, rounds: int = 8, backward: bool =
     return value
 
 
-def permuted_digits(text: str, key: bytes, keep: int = 0, backward: bool = False) -> str:
-    """The text with its digits permuted as one number of that many digits, format and first keep digits kept."""
-    digits = [c for c in text if c.isdigit()]
-    body = digits[keep:]
-    if not body:
-        return text
-    new = iter(digits[:keep] + list(str(feistel(int("".join(body)), 10 ** len(body), key, backward=backward)).zfill(len(body))))
-    return "".join(next(new) if c.isdigit() else c for c in text)
+_ALPHABETS = ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ")
+
+
+def permuted(text: str, key: bytes, start: int = 0, letters: bool = True, backward: bool = False) -> str:
+    """The text with its digits, and its capital letters if wanted, from a position on permuted as one number of
+    mixed radix, so that each keeps its kind; everything else stays. Values that differ in what stays only get
+    the same digits and letters."""
+    places = [(i, next(x for x in _ALPHABETS[: 3 if letters else 1] if c in x)) for i, c in enumerate(text) if i >= start and any(c in x for x in _ALPHABETS[: 3 if letters else 1])]
+    value, size = 0, 1
+    for i, alphabet in places:
+        value, size = value * len(alphabet) + alphabet.index(text[i]), size * len(alphabet)
+    value = feistel(value, size, key, backward=backward)
+    out = list(text)
+    for i, alphabet in reversed(places):
+        value, at = divmod(value, len(alphabet))
+        out[i] = alphabet[at]
+    return "".join(out)
+
+
+# The country codes of one and of two digits; all others have three.
+_COUNTRY_1 = ("1", "7")
+_COUNTRY_2 = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def national_start(phone: str) -> int:
+    """Where the national number of a phone number starts: behind the country code, the trunk prefix and zeros.
+
+    So +7 (073) 290-99-64, 8 073 2909964 and (073) 290-99-64 have the same national digits."""
+    at = [i for i, c in enumerate(phone) if c in "0123456789"]
+    digits = "".join(phone[i] for i in at)
+    skip = 0
+    if phone.lstrip(" (")[:1] == "+" or digits.startswith("00") and len(digits) > 11:
+        skip = 0 if "+" in phone else 2
+        skip += 1 if digits[skip : skip + 1] in _COUNTRY_1 else 2 if digits[skip : skip + 2] in _COUNTRY_2 else 3
+    elif digits.startswith("8") and len(digits) == 11:
+        skip = 1
+    while skip < len(digits) - 1 and digits[skip] == "0":
+        skip += 1
+    return at[skip] if skip < len(at) else len(phone)
 
 
 def permuted_date(day: datetime.date, key: bytes, backward: bool = False) -> datetime.date:
@@ -271,30 +373,76 @@ def permuted_date(day: datetime.date, key: bytes, backward: bool = False) -> dat
     return first + datetime.timedelta(days=feistel((day - first).days, (last - first).days + 1, key, backward=backward))
 
 
+def date_of(value: str) -> tuple[datetime.date, str] | None:
+    """The date of a text of digits with marks, and the form in which it is written."""
+    for form, order in ((r"(\d{1,2})([./-])(\d{1,2})\2(\d{4})", "dmy"), (r"(\d{4})([./-])(\d{1,2})\2(\d{1,2})", "ymd")):
+        if m := re.fullmatch(form, value):
+            x, mark, y, z = m.groups()
+            year, month, day = (z, y, x) if order == "dmy" else (x, y, z)
+            try:
+                return datetime.date(int(year), int(month), int(day)), "%d{0}%m{0}%Y".format(mark) if order == "dmy" else "%Y{0}%m{0}%d".format(mark)
+            except ValueError:
+                return None
+    return None
+
+
 def _token(value: str, key: bytes) -> str:
-    return hashlib.blake2b(value.encode("utf-8", "surrogatepass"), key=key, digest_size=5).hexdigest()
+    return hashlib.blake2b(value.encode("utf-8", "surrogatepass"), key=key, digest_size=16).hexdigest()
+
+
+_CASES = re.compile(r"(?:ого|его|ому|ему|ыми|ими|ым|им|ом|ем|ём|ой|ей|ою|ею|ью|ию|ии|ия|ие|ій|ия|ые|ых|их|ый|ий|ая|яя|ую|юю|ов|ев|[аяоеиыуюйьіё])$")
+
+
+def lemma(word: str) -> str:
+    """A name's part without its case ending, in lower case.
+
+    Genders aren't told apart, as the genitive of one is the nominative of the other."""
+    low = word.lower().replace("ё", "е")
+    if len(low) <= 3 or not re.search("[а-яіїєґ]", low):
+        return low
+    if m := re.match(r"(.{2,}(?:[ое]в|[иы]н|[сц]к))(?:а|у|ым|ом|ой|е|ы|ых|ий|ая|ого|ому|им|ую|ые)?$", low):
+        return m.group(1)
+    if m := re.match(r"(.{2,}(?:ович|евич|ич|овн|евн|ичн|івн))(?:а|у|ем|е|ой|ы|і)?$", low):
+        return m.group(1)
+    stem = _CASES.sub("", low)
+    return stem if len(stem) >= 3 else low
+
+
+def person_key(value: str) -> str:
+    """What equal names have in common: the lemmas of their parts and their initials, in alphabetical order."""
+    parts = re.findall(r"[^\W\d_]+", value)
+    return " ".join(sorted(lemma(p) if len(p) > 1 else p.lower() + "." for p in parts)) or value.lower()
 
 
 def placeholder(kind: str, value: str, key: bytes) -> str:
     """A typed placeholder; equal values, in whatever spelling of their format, get equal pseudonyms.
 
-    A phone's national prefix (8, +7, 0049, ...) stays, its last seven digits are permuted; all digits of an id
-    number are. Emails and addresses are lower-cased and stripped of blanks before their token is taken,
-    names also of case endings, by their letters' first five per word."""
+    A phone's country code, trunk prefix (8, +7, 0049, ...) and leading zeros stay, all digits of its national number are
+    permuted; so are all digits and capital letters of an id number, and dates within two centuries. Emails and addresses
+    are lower-cased and stripped of blanks before their token is taken; names are told apart by the lemmas of all their parts."""
     if kind == "phone":
-        n = _digits(value)
-        return f"[{kind}:{permuted_digits(value, key, keep=max(0, n - 7))}]"
+        return f"[{kind}:{permuted(value, key, national_start(value), letters=False)}]"
     if kind == "id_number":
-        return f"[{kind}:{permuted_digits(value, key)}]"
+        return f"[{kind}:{permuted(value, key)}]"
+    if kind == "date":
+        day, form = date_of(value)
+        new = permuted_date(day, key)
+        return f"[{kind}:{new.strftime(form.replace('%Y', f'{new.year:04d}'))}]"
     if kind == "person":
-        return f"[{kind}:{_token(' '.join(sorted(w[:5] for w in re.findall(r'[^\W\d_]{3,}', value.lower()))) or value.lower(), key)}]"
+        return f"[{kind}:{_token(person_key(value), key)}]"
     plain = re.sub(rf"{_AT}| (?:at|собака) ", "@", value.lower()) if kind == "email" else value.lower()
     plain = re.sub(r"\s", "", re.sub(rf"{_DOT}| (?:dot|точка) ", ".", plain) if kind == "email" else plain)
     return f"[{kind}:{_token(plain, key)}]"
 
 
-def find_personal(df: DataFrame, text: str, keys: Sequence[str], key: str = "specmill") -> DataFrame:
-    """keys, kind, start_pos, end_pos, pseudonym of every mention in a text column.
+def session_key(spark: SparkSession) -> str:
+    """The key of the pseudonyms named in spark.specmill.pseudonymKey; else a new one, so that values are linked within
+    one run only."""
+    return spark.conf.get("spark.specmill.pseudonymKey", None) or secrets.token_hex(32)
+
+
+def find_personal(df: DataFrame, text: str, keys: Sequence[str], key: str) -> DataFrame:
+    """keys, kind, start_pos, end_pos, pseudonym of every mention in a text column, by a secret key.
 
     Positions count code points from 0, the end is exclusive. Null and empty texts have no rows,
     repeated rows give repeated results, other columns are ignored. A narrow operator without
@@ -320,7 +468,7 @@ def find_personal(df: DataFrame, text: str, keys: Sequence[str], key: str = "spe
     return df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(text).alias("t")).where("t is not null and t != ''").mapInArrow(run, schema)
 
 
-def pseudonymize(df: DataFrame, text: str, keys: Sequence[str], key: str = "specmill") -> DataFrame:
+def pseudonymize(df: DataFrame, text: str, keys: Sequence[str], key: str) -> DataFrame:
     """keys and the text with every mention replaced by its placeholder; null stays null."""
     secret = hashlib.blake2b(key.encode(), digest_size=32).digest()
 
