@@ -10,7 +10,7 @@ blanks of Thai are boundaries by definition.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from specmill.functions.lookalikes import INVISIBLE, plain
 
 TRAINING_TEXTS = 3000
-ROUNDS, RATE, DECAY = 300, 2.0, 1e-4
+ROUNDS, RATE, DECAY = 400, 2.0, 1e-5
 
 # Abbreviations after which a sentence goes on, and those after which it may go on or end.
 GOES_ON = frozenset(
@@ -41,8 +41,7 @@ _TERMINAL = frozenset(".!?…。！？؟।॥．")
 _WIDE = frozenset("。！？।॥؟．")
 _THAI = re.compile("[฀-๿]")
 _ITEM = re.compile(r"[ \t]*(?:[-–—•*·▪‣◦]|\(?\d{1,3}\)|\(?[a-zа-яё]\))[ \t]+(?=\S)")
-_LAST_TOKEN = re.compile(r"[^\s.!?…«»„“”\"'()（）「」]+$")
-_TOKENS_BACK = re.compile(r"\S+")
+_NO_TOKEN = frozenset(".!?…«»„“”\"'()（）「」")
 
 
 class Candidate(NamedTuple):
@@ -80,8 +79,19 @@ def _depths(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def candidates(text: str) -> list[Candidate]:
-    """All candidates of a text in order, the end of the text included."""
+def _token_start(text: str, least: int, end: int) -> int:
+    """Where the token before a position starts, not before least."""
+    i = end
+    while i > least and text[i - 1] not in _NO_TOKEN and not text[i - 1].isspace():
+        i -= 1
+    return i
+
+
+def candidates(text: str, decide: Callable[[tuple[str, ...]], bool] | None = None) -> list[Candidate]:
+    """All candidates of a text in order, the end of the text included.
+
+    What follows a boundary is looked at from there on: decide tells from its features whether a candidate is one;
+    without it, as for training, the reliable ones are."""
     out: list[Candidate] = []
     last = len(text.rstrip())
     if not last:
@@ -143,10 +153,10 @@ def candidates(text: str) -> list[Candidate]:
             continue  # goes on behind the mark, or, where letters have no case, behind a quotation
         if after == "." or closers and after in _TERMINAL and after:
             continue
-        token = _LAST_TOKEN.search(text, max(0, start - 40), start)
-        word = token.group(0) if token else ""
+        at = _token_start(text, since, start)
+        word = text[at:start]
         low = plain(word).lower()
-        back = _TOKENS_BACK.findall(text[max(since, start - len(word) - 40) : start - len(word)])
+        back = text[since:at].rsplit(None, 4)
         before = back[-1].lower() if back else "^"
         kind = _kind(after) if after else "$"
         newline = "\n" in text[end:gap]
@@ -160,10 +170,11 @@ def candidates(text: str) -> list[Candidate]:
         sure = "x" if goes and not may else "e" if may else "-"
         number_before = before[:1].isdigit() or before in ("тыс.", "млн", "млрд")
         nxt = text[gap : gap + 14].split(" ")[0].rstrip(".,").lower()
+        of = "M" if kind == "U" and nxt in _MONTHS else kind  # a month isn't just any capitalised word
         features = (
-            "b", f"m={shown}", f"m={shown}|k={kind}", f"k={kind}", f"s={shape}|k={kind}" if shown == "." else f"c={bool(closers)}|k={kind}",
-            f"a={sure}|{shown}", f"a={sure}|k={kind}|{shown}", f"w={low}" if shown == "." and len(word) <= 6 else "w", f"p={before}|w={low}" if shown == "." and len(word) <= 3 else "p",
-            f"n={number_before}|s={shape}", f"n={number_before}|w={low}|l={length}" if may else "n", f"l={length}|a={sure}", f"z={nxt in _MONTHS}|s={shape}", f"q={shape}|{before[-1:] == '.'}",
+            "b", f"m={shown}", f"m={shown}|k={of}", f"k={of}", f"s={shape}|k={of}" if shown == "." else f"c={bool(closers)}|k={of}",
+            f"a={sure}|{shown}", f"a={sure}|k={of}|{shown}", f"w={low}" if shown == "." and len(word) <= 6 else "w", f"p={before}|w={low}" if shown == "." and len(word) <= 3 else "p",
+            f"n={number_before}|s={shape}", f"n={number_before}|w={low}|l={length}" if may else "n", f"l={length}|a={sure}", f"s={shape}|k={of}|l={length}|{number_before}" if may else "s", f"q={shape}|{before[-1:] == '.'}",
         )
         label: int | None = None
         if paragraph:
@@ -182,6 +193,8 @@ def candidates(text: str) -> list[Candidate]:
             label = 1
         elif shown == "." and shape == "1U" and before in ("app.", "прил.", "anl.", "anh.") and kind == "U":
             label = 1
+        elif shown == "." and low in ("д", "п", "с") and kind == "D" and not number_before:
+            label = 0  # a house, an item or a page
         elif shown == "." and goes and not may:
             label = 0
         elif shown == "." and shape == "1U" and not number_before and before not in ("app.", "прил.", "anl."):
@@ -195,17 +208,33 @@ def candidates(text: str) -> list[Candidate]:
         elif shown == "." and may and length == "0" and number_before:
             label = 0
         out.append(Candidate(end, features, label, False))
-        if label == 1:
+        if decide(features) if decide else label == 1:
             since = gap
             in_list = False if not paragraph else in_list
     out.append(Candidate(last, (), None, True))
     return out
 
 
+# Texts of reliable boundaries that every model is also trained on, for what a small corpus may lack.
+SEEDS = (
+    "Кто приехал? Все. Стой! Иди. Он молчал… Дождь шёл. Что дальше?! Ничего.\n\nВопрос «Кто там?» остался. Крик «Стой!» был слышен. Она сказала «Да…» и ушла. «Пора!» Все встали.",
+    "В 1998 г. мост открыли. Мост открыли в 1998 г. Потом закрыли. На ул. Садовой, д. 5, живёт т. Петров. Приехал И. П. Кузнецов. См. рис. 4 и табл. 2. Доски, гвозди и т. д. Всё на месте. Лампы и т. п. Потом ещё. См. п. 4 и с. 7. Цена 5 тыс. руб. за тонну.",
+    "Вес одной детали — 5 г. Длина этой трубы — 7 м. Напряжение сети не выше 12 В. Ток в цепи до 3 А. Монтаж моста окончен в 1999 г. Давление около 750 мм рт. ст. Далее. Пили чай, кофе и пр. Потом ушли. Пили чай, кофе и пр. напитки.",
+    "Who came? Everyone. Stop! Go on. He was silent... Then it rained. The sign “Stop!” was red. Mr. Brown met Dr. Gray at No. 5. See Fig. 3 and Sec. 2. The box weighs about 5 kg. The whole pipe is 7 m. The line has up to 12 V. Pipes, bolts, etc. All of it. It is approx. 3 m long.",
+    "Wer kam? Alle. Halt! Weiter. Am 3. Mai kam Hr. Braun. Am 18. August ging er. Siehe Abb. 3 und Kap. 2. Es wiegt 5 kg. Es kostet z. B. 5 Euro. Das Schild „Halt!“ war rot. Er wohnt in Nr. 5.",
+    "谁来了？大家。停！走。牌子“停！”是红的。他走了。她来了。",
+    "誰が来た？みんな。「止まれ！」と言った。終わり。",
+    "कौन आया? सब। रुको! चलो। वह गया। वह आई।",
+    "من جاء؟ الجميع. قف! امش. ذهب. جاءت.",
+)
+SEED_SHARE = 3
+
+
 def train(texts: Sequence[str]) -> dict[str, float]:
-    """The weights of the features, fitted by gradient ascent on the reliable candidates."""
+    """The weights of the features, fitted by gradient ascent on the reliable candidates of the texts and, a few times
+    each, of the seeds."""
     rows, labels = [], []
-    for t in texts:
+    for t in (*texts, *SEEDS * SEED_SHARE):
         for c in candidates(t):
             if c.label is not None and c.features:
                 rows.append(c.features)
@@ -225,12 +254,13 @@ def train(texts: Sequence[str]) -> dict[str, float]:
 
 
 def sentence_ends(text: str, weights: dict[str, float]) -> list[int]:
-    """The ends of the sentences of a text, in code points from its start; what is reliable stays so,
-    the model decides the rest."""
+    """The ends of the sentences of a text, in code points from its start. The model decides every candidate that
+    isn't a boundary by definition."""
     out: list[int] = []
     get = weights.get
-    for c in candidates(text):
-        if c.fixed or (c.label == 1 if c.label is not None else sum(get(f, 0.0) for f in c.features) > 0):
+    decide = lambda features: sum([get(f, 0.0) for f in features]) > 0
+    for c in candidates(text, decide):
+        if c.fixed or decide(c.features):
             if not out or c.end > out[-1]:
                 out.append(c.end)
     return out
