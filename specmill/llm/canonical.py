@@ -3,7 +3,8 @@
 Every blank-separated word is mapped to a skeleton (look-alike letters, widths and blanks
 unified), the skeletons are grouped under accent-sensitive Unicode collation in SQL (which
 holds composed and decomposed letters equal and ignores invisible characters), each class
-gets one deterministic canonical member, and that member is joined back to the words.
+gets a deterministic canonical member for each alphabet, and that member is joined back to
+the words that aren't consistent. Consistent words are never replaced.
 """
 
 from __future__ import annotations
@@ -71,21 +72,30 @@ def words_of(texts: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     return texts.select(*keys, F.explode(F.array_distinct(F.split(F.col(text), SEPARATOR))).alias("word")).where("word != ''")
 
 
+def alphabet(word: Column) -> Column:
+    """The one alphabet of a word's letters as a letter, "-" where it has none of the three; null where it mixes them."""
+    has = [word.rlike(f"[{x}]") for x in (_L, _C, _G)]
+    several = sum((h.cast("int") for h in has), F.lit(0)) > 1
+    return F.when(~several, F.when(has[0], "L").when(has[1], "C").when(has[2], "G").otherwise("-"))
+
+
 def canonical_words(words: DataFrame, word: str) -> DataFrame:
-    """word, canonical: every distinct word and the canonical member of its class.
+    """word, canonical, fine: every distinct word and its canonical form.
 
-    Members of a class are its words and the repaired forms of those that aren't consistent.
-    The canonical member is consistent if any is, then the most frequent, then the smallest in
-    code-point order. Null words have no row."""
+    A consistent word is its own. The others are grouped with all words by their skeletons under the collation, and
+    with the repaired forms of those that aren't consistent; a word of one alphabet gets the canonical member of that
+    alphabet in its class, a word that mixes them that of the whole class. The canonical member is consistent
+    if any is, then the most frequent, then the smallest in code-point order. Null words have no row."""
     counted = cut(words.where(F.col(word).isNotNull()).groupBy(F.col(word).alias("word")).agg(F.count("*").alias("n")).withColumn("fine", consistent(F.col("word"))))
-    made = counted.where(~F.col("fine")).select(_repaired("word").alias("word"), F.lit(0).cast("long").alias("n")).withColumn("fine", consistent(F.col("word")))
-    members = counted.unionByName(made).withColumn("class", F.collate(skeleton(F.col("word")), "UNICODE"))
-    classes = members.groupBy("class").agg(
-        F.min_by("word", F.struct(~F.col("fine"), -F.col("n"), F.col("word"))).alias("canonical"), F.max(~F.col("fine")).alias("mixed"), F.count_distinct("word").alias("size")
-    )
-    several = classes.where("mixed or size > 1").select("class", "canonical")
-    changed = counted.withColumn("class", F.collate(skeleton(F.col("word")), "UNICODE")).join(several, "class", "left")
-    return changed.select("word", F.coalesce("canonical", "word").alias("canonical"), "fine")
+    odd = counted.where(~F.col("fine"))
+    made = odd.select(_repaired("word").alias("word"), F.lit(0).cast("long").alias("n")).withColumn("fine", consistent(F.col("word")))
+    members = counted.unionByName(made).withColumn("class", F.collate(skeleton(F.col("word")), "UNICODE")).withColumn("of", alphabet(F.col("word")))
+    rank = F.struct(~F.col("fine"), -F.col("n"), F.col("word"))
+    best = lambda of: F.min_by("word", F.when(F.col("of") == of, rank)).alias(of)
+    classes = members.groupBy("class").agg(F.max(~F.col("fine")).alias("odd"), F.min_by("word", rank).alias("any"), *[best(x) for x in "LCG-"])
+    changed = odd.withColumn("class", F.collate(skeleton(F.col("word")), "UNICODE")).withColumn("of", alphabet(F.col("word"))).join(classes.where("odd").drop("odd"), "class", "left")
+    own = F.coalesce(*[F.when(F.col("of") == x, F.col(x)) for x in "LCG-"], F.col("any"), F.col("word"))
+    return counted.where("fine").select("word", F.col("word").alias("canonical"), "fine").unionByName(changed.select("word", own.alias("canonical"), "fine"))
 
 
 def inconsistent(texts: DataFrame, keys: Sequence[str], text: str, max_broadcast_rows: int = 300_000) -> DataFrame:

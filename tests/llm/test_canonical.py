@@ -27,3 +27,12 @@ def test_inconsistent_and_canonical(spark):
 def test_mixed_words_that_cannot_be_repaired_are_reported(spark):
     rows = spark.createDataFrame([(1, "koмплект"), (2, "moнтaжные работы"), (3, "kалeндарный план"), (4, "комплект kit"), (5, "x̂")], "id int, t string")
     assert sorted(r["id"] for r in inconsistent(rows, ["id"], "t").collect()) == [1, 2, 3]
+
+
+def test_consistent_words_stay_as_they_are(spark):
+    english = "a valve is a part of c and i see B. before A or O"
+    texts = [(1, english), (2, "а и в с о А В О " * 30), (3, "a\u200b valve"), (4, "а\u00ad и"), (5, "вaл и х"), (6, "Οδός Α")]
+    canon = {r["id"]: r["canonical"] for r in canonical_texts(spark.createDataFrame(texts, "id int, t string"), ["id"], "t").collect()}
+    assert canon[1] == english and canon[2] == texts[1][1].strip() and canon[6] == "Οδός Α"
+    # what isn't consistent stays in its alphabet
+    assert canon[3] == "a valve" and canon[4] == "а и" and canon[5] == "вал и х"
