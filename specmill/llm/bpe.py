@@ -9,8 +9,8 @@ a batch are worked on together, one merge of each at a time; a few long ones eac
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
-
 import unicodedata
 from collections.abc import Iterator, Sequence
 
@@ -24,9 +24,12 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PLAIN_PATTERN = r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
-_NONE = np.int64(1) << 60
-_SHIFT = 24
+# a tree's value holds a rank of at most _ID bits before a position; its largest stands for no pair
+_ID, _PLACE = 24, 36
+_NONE = np.int64(1) << (_ID + _PLACE)
+_NO_RANK = 1 << _ID
 CACHE = 400_000
+_SPACED = re.compile(r"[^\S ] (?:\s|$)")
 
 
 def read_vocabulary(path: str) -> dict[bytes, int]:
@@ -39,13 +42,15 @@ class Encoder:
     """Encodes texts to ids; keeps the ids of the pieces that it has met, up to a bound."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
+        if max(ranks.values()) >= _NO_RANK:
+            raise ValueError(f"an id needs more than {_ID} bits")
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         pairs = {}
         for token, rank in ranks.items():
             for i in range(1, len(token)):
                 left, right = ranks.get(token[:i]), ranks.get(token[i:])
                 if left is not None and right is not None:
-                    pairs[left << _SHIFT | right] = rank
+                    pairs[left << _ID | right] = rank
         self.pairs = pairs
         self.keys = np.array(sorted(pairs), dtype=np.int64)
         self.ranks = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int64)
@@ -67,9 +72,9 @@ class Encoder:
         return self.full.findall(piece)
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left << _SHIFT | right
+        key = left << _ID | right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], _NONE >> _SHIFT)
+        return np.where(self.keys[at] == key, self.ranks[at], _NO_RANK)
 
     def merge_many(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of words of similar length, by one tree each, all in step."""
@@ -83,9 +88,9 @@ class Encoder:
         before = np.broadcast_to(at - 1, (n, size)).copy()
         tree = np.full((n, 2 * size), _NONE, dtype=np.int64)
         paired = at < (lengths - 1)[:, None]
-        rank = np.full((n, size), _NONE >> _SHIFT)
+        rank = np.full((n, size), _NO_RANK)
         rank[paired] = self._rank(flat[:, :size][paired], flat[:, 1 : size + 1][paired])
-        tree[:, size:] = np.where(rank < _NONE >> _SHIFT, rank << _SHIFT | at, _NONE)
+        tree[:, size:] = np.where(rank < _NO_RANK, rank << _PLACE | at, _NONE)
         for level in range(size.bit_length() - 2, -1, -1):
             lo = 1 << level
             tree[:, lo : 2 * lo] = np.minimum(tree[:, 2 * lo : 4 * lo : 2], tree[:, 2 * lo + 1 : 4 * lo : 2])
@@ -98,24 +103,24 @@ class Encoder:
             active, root = active[keep], root[keep]
             if not len(active):
                 break
-            i = root & ((1 << _SHIFT) - 1)
+            i = root & ((1 << _PLACE) - 1)
             row, trow, orow = active * size, active * (2 * size), active * (size + 1)
             length = lengths[active]
             j = nxt[row + i]
             k = nxt[row + j]
             p = prv[row + i]
-            tok[orow + i] = root >> _SHIFT
+            tok[orow + i] = root >> _PLACE
             live[active, j] = False
             nxt[row + i] = k
             inner = k < length
             prv[(row + k)[inner]] = i[inner]
-            here = np.where(inner, self._rank(tok[orow + i], tok[orow + np.minimum(k, size)]), _NONE >> _SHIFT)
+            here = np.where(inner, self._rank(tok[orow + i], tok[orow + np.minimum(k, size)]), _NO_RANK)
             has = p >= 0
             pp = np.maximum(p, 0)
-            there = np.where(has, self._rank(tok[orow + pp], tok[orow + i]), _NONE >> _SHIFT)
-            tree_[trow + size + i] = np.where(here < _NONE >> _SHIFT, here << _SHIFT | i, _NONE)
+            there = np.where(has, self._rank(tok[orow + pp], tok[orow + i]), _NO_RANK)
+            tree_[trow + size + i] = np.where(here < _NO_RANK, here << _PLACE | i, _NONE)
             tree_[trow + size + j] = _NONE
-            back = np.where(there < _NONE >> _SHIFT, there << _SHIFT | pp, _NONE)
+            back = np.where(there < _NO_RANK, there << _PLACE | pp, _NONE)
             tree_[(trow + size + pp)[has]] = back[has]
             nodes, base = np.concatenate((i, j, np.where(has, pp, i))) + size, np.concatenate((trow, trow, trow))
             for _ in range(size.bit_length() - 1):
@@ -127,7 +132,7 @@ class Encoder:
 
     def merge_one(self, word: bytes) -> np.ndarray:
         """The ids of one word, by the same tree in plain numbers."""
-        n, none, pairs, low = len(word), int(_NONE), self.pairs, (1 << _SHIFT) - 1
+        n, none, pairs, low = len(word), int(_NONE), self.pairs, (1 << _PLACE) - 1
         size = 1 << max(1, (n - 1).bit_length())
         tok = self.bytes[np.frombuffer(word, dtype=np.uint8)].tolist()
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -135,8 +140,8 @@ class Encoder:
 
         def leaf(a: int) -> int:
             b = nxt[a]
-            rank = pairs.get(tok[a] << _SHIFT | tok[b]) if b < n else None
-            return none if rank is None else rank << _SHIFT | a
+            rank = pairs.get(tok[a] << _ID | tok[b]) if b < n else None
+            return none if rank is None else rank << _PLACE | a
 
         for a in range(n):
             tree[size + a] = leaf(a)
@@ -160,7 +165,7 @@ class Encoder:
             i = root & low
             j = nxt[i]
             k = nxt[j]
-            tok[i], live[j], nxt[i] = root >> _SHIFT, False, k
+            tok[i], live[j], nxt[i] = root >> _PLACE, False, k
             if k < n:
                 prv[k] = i
             put(j, none)
@@ -187,18 +192,27 @@ class Encoder:
 
     @staticmethod
     def cut(text: str) -> list[str]:
-        """The text in pieces that begin where a blank follows another character, so that no pretoken spans two."""
+        """The text in pieces that begin where a blank follows another character, so that no pretoken spans two.
+
+        A run of white space is one pretoken but for its last character, so it's only cut where a blank is its last or its first."""
         parts = text.split(" ")
-        if "" not in parts:
+        spaced = _SPACED.search(text)
+        if "" not in parts and not spaced:
             return [parts[0], *[" " + p for p in parts[1:]]]
         out, blanks = [], ""
         for i, p in enumerate(parts):
             lead = blanks + (" " if i else "")
-            if p:
-                out.append(lead + p)
-                blanks = ""
-            else:
+            if not p:
                 blanks = lead
+                continue
+            if spaced and out and out[-1][-1].isspace() and (len(lead) > 1 or p[0].isspace()):
+                out[-1] += lead + p
+            else:
+                out.append(lead + p)
+            blanks = ""
+        if blanks and out and out[-1][-1].isspace():
+            out[-1] += blanks
+            return out
         return [*out, blanks] if blanks else out
 
     def encode_batch(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -220,28 +234,36 @@ class Encoder:
         return offsets, np.concatenate(found) if found else np.zeros(0, np.int32)
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[bytes, Encoder] = {}
+
+
+def _encoder(name: bytes, ranks: dict[bytes, int]) -> Encoder:
+    """One encoder for each vocabulary, named by its contents, and worker process."""
+    if name not in _ENCODERS:
+        _ENCODERS[name] = Encoder(ranks)
+    return _ENCODERS[name]
 
 
-def _encoder(ranks: dict[bytes, int]) -> Encoder:
-    """One encoder for each vocabulary and worker process."""
-    key = hash((len(ranks), next(iter(ranks.items()), None)))
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(ranks)
-    return _ENCODERS[key]
+def vocabulary_name(ranks: dict[bytes, int]) -> bytes:
+    """A hash of all tokens and their ranks."""
+    digest = hashlib.blake2b(digest_size=16)
+    for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
+        digest.update(b"%d:%d:" % (rank, len(token)) + token)
+    return digest.digest()
 
 
-def encode(df: DataFrame, text: str, keys: Sequence[str], vocabulary: str = VOCABULARY, count_only: bool = False, least_tasks: int | None = None) -> DataFrame:
+def encode(df: DataFrame, text: str, keys: Sequence[str], vocabulary: str = VOCABULARY, count_only: bool = False) -> DataFrame:
     """keys and ids (or n_tokens) of every row.
 
     Null and empty texts have an empty list (0 tokens); texts are encoded whole, without special
     tokens, whose strings are ordinary text. Repeated rows come out repeatedly; other columns are
     ignored. A narrow operator: the vocabulary file, of fixed size, is read by the driver and broadcast."""
-    ranks = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    read = read_vocabulary(vocabulary)
+    name, ranks = vocabulary_name(read), df.sparkSession.sparkContext.broadcast(read)
     schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("n_tokens", T.LongType()) if count_only else T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(ranks.value)
+        encoder = _encoder(name, ranks.value)
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)
@@ -253,6 +275,3 @@ def encode(df: DataFrame, text: str, keys: Sequence[str], vocabulary: str = VOCA
                 yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keys))], out], [*keys, schema.fields[-1].name])
 
     return df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(text).alias("t")).mapInArrow(run, schema)
-
-
-

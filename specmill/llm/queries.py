@@ -84,13 +84,13 @@ def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.groupBy(lang).agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("longest"))
 
 
-def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _mix(spark: SparkSession, sf_dir: str, **how: object) -> tuple[DataFrame, DataFrame]:
     sized = bpe.encode(table(spark, sf_dir, "documents"), "text", ["doc_id", "source"], count_only=True)
-    return mixing.mix(sized, "doc_id", "source", "n_tokens", table(spark, sf_dir, "mix_target"))
+    return mixing.mix(sized, "doc_id", "source", "n_tokens", table(spark, sf_dir, "mix_target"), **how)
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mixed corpus: one row per use of a document, with its block and place in it."""
+    """The mixed corpus, as large as its listed sources: one row per use of a document, with its block and place in it."""
     return _mix(spark, sf_dir)[0]
 
 
@@ -99,6 +99,17 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
+def p8_exact_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares of the largest mix that has all targets exactly."""
+    return _mix(spark, sf_dir, exact=True)[1]
+
+
+def p8_entropy_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares of the mix whose weights are the token shares to a power that gives them the entropy of the targets."""
+    target = [r["target_share"] for r in table(spark, sf_dir, "mix_target").where("target_share > 0").select("target_share").collect()]
+    return _mix(spark, sf_dir, target_entropy=mixing.entropy({str(i): t / sum(target) for i, t in enumerate(target)}))[1]
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each mention of personal information in the corpus; dates, which only get pseudonyms, are none of the kinds."""
     found = personal.find_personal(table(spark, sf_dir, "documents"), "text", ["doc_id"], personal.session_key(spark))
@@ -143,6 +154,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_counts": p7_counts,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p8_exact_shares": p8_exact_shares,
+    "p8_entropy_shares": p8_entropy_shares,
     "p9_found": p9_found,
     "p9_pseudonyms": p9_pseudonyms,
 }
