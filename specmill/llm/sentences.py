@@ -174,7 +174,7 @@ def candidates(text: str, decide: Callable[[tuple[str, ...]], bool] | None = Non
         features = (
             "b", f"m={shown}", f"m={shown}|k={of}", f"k={of}", f"s={shape}|k={of}" if shown == "." else f"c={bool(closers)}|k={of}",
             f"a={sure}|{shown}", f"a={sure}|k={of}|{shown}", f"w={low}" if shown == "." and len(word) <= 6 else "w", f"p={before}|w={low}" if shown == "." and len(word) <= 3 else "p",
-            f"n={number_before}|s={shape}", f"n={number_before}|w={low}|l={length}" if may else "n", f"l={length}|a={sure}", f"s={shape}|k={of}|l={length}|{number_before}" if may else "s", f"q={shape}|{before[-1:] == '.'}",
+            f"n={number_before}|s={shape}", f"n={number_before}|w={low}|l={length}" if may else "n", f"l={length}|a={sure}", f"s={shape}|k={of}|l={length}|{number_before}" if may else "s", f"n={number_before}|k={of}|a={sure}|{low in _UNITS}", f"q={shape}|{before[-1:] == '.'}",
         )
         label: int | None = None
         if paragraph:
@@ -218,8 +218,8 @@ def candidates(text: str, decide: Callable[[tuple[str, ...]], bool] | None = Non
 # Texts of reliable boundaries that every model is also trained on, for what a small corpus may lack.
 SEEDS = (
     "Кто приехал? Все. Стой! Иди. Он молчал… Дождь шёл. Что дальше?! Ничего.\n\nВопрос «Кто там?» остался. Крик «Стой!» был слышен. Она сказала «Да…» и ушла. «Пора!» Все встали.",
-    "В 1998 г. мост открыли. Мост открыли в 1998 г. Потом закрыли. На ул. Садовой, д. 5, живёт т. Петров. Приехал И. П. Кузнецов. См. рис. 4 и табл. 2. Доски, гвозди и т. д. Всё на месте. Лампы и т. п. Потом ещё. См. п. 4 и с. 7. Цена 5 тыс. руб. за тонну.",
-    "Вес одной детали — 5 г. Длина этой трубы — 7 м. Напряжение сети не выше 12 В. Ток в цепи до 3 А. Монтаж моста окончен в 1999 г. Давление около 750 мм рт. ст. Далее. Пили чай, кофе и пр. Потом ушли. Пили чай, кофе и пр. напитки.",
+    "В 1998 г. мост открыли. Мост открыли в 1998 г. Потом закрыли. В 2005 г. Музей закрыли. В 2007 г. «Луч» сменил замки. На ул. Садовой, д. 5, живёт т. Петров. Дом стоит на ул. Новой, д. 7, кв. 2. Ему подходит дом на ул. Труда, д. 12. Об этом см. с. 40 и п. 6. Приехал И. П. Кузнецов. См. рис. 4 и табл. 2. Доски, гвозди и т. д. Всё на месте. Лампы и т. п. Потом ещё. См. п. 4 и с. 7. Цена 5 тыс. руб. за тонну.",
+    "Вес одной детали — 5 г. Длина этой трубы — 7 м. Напряжение сети не выше 12 В. Ток в цепи до 3 А. Монтаж моста окончен в 1999 г. Давление около 750 мм рт. ст. Далее. Вес всех деталей равен 630 г. 28 ящиков ждут. Груз не тяжелее 10 т. 15 ящиков ждут. Давление в баке 740 мм рт. ст. 5 насосов стоят. Монтаж поста окончен в 2018 г. 35 насосов стоят. Пили чай, кофе и пр. Потом ушли. Пили чай, кофе и пр. напитки.",
     "Who came? Everyone. Stop! Go on. He was silent... Then it rained. The sign “Stop!” was red. Mr. Brown met Dr. Gray at No. 5. See Fig. 3 and Sec. 2. The box weighs about 5 kg. The whole pipe is 7 m. The line has up to 12 V. Pipes, bolts, etc. All of it. It is approx. 3 m long.",
     "Wer kam? Alle. Halt! Weiter. Am 3. Mai kam Hr. Braun. Am 18. August ging er. Siehe Abb. 3 und Kap. 2. Es wiegt 5 kg. Es kostet z. B. 5 Euro. Das Schild „Halt!“ war rot. Er wohnt in Nr. 5.",
     "谁来了？大家。停！走。牌子“停！”是红的。他走了。她来了。",
