@@ -18,12 +18,20 @@ JAVA, RE2 = "\\x{{{:x}}}", "\\x{{{:x}}}"
 WS = whitespace(r"\t-\r\x1c-\x20", JAVA)
 # whitespace within a line: all of it but the line feed
 WS_IN_LINE = whitespace(r"\t\x0b-\r\x1c-\x20", JAVA)
+WS_CHARACTERS = "".join(map(chr, (*range(9, 14), *range(28, 33), *(x for a, b in WIDE_BLANKS for x in range(a, b + 1)))))
 WORD = r"[\p{L}\p{N}_]"
 
 
+def exploded(array: Column) -> Column:
+    """A row for each element of an array that is computed, and a null row for an empty or null one, which the caller leaves out.
+
+    Of an inner explode the optimizer infers a filter on the array's size below it, and so computes the array twice."""
+    return F.explode_outer(array)
+
+
 def strip(c: Column) -> Column:
     """Without whitespace at either end."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(WS_CHARACTERS))
 
 
 def collapse(c: Column) -> Column:

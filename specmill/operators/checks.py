@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from specmill.functions.text import join_blocks, collapse_casefold
 from specmill.rules.tables import PRESENCE, REQUIRED_SECTIONS
 
 
@@ -69,8 +68,8 @@ def excerpt(text: Column, start: Column, length: Column, before: int, after: int
     return F.concat(F.when(lo > 0, F.lit("... ")).otherwise("") if both else F.lit(""), cut, tail)
 
 
-def presence(docs: DataFrame, secs: DataFrame, rules: dict[str, tuple[list[str], list[str]]] = PRESENCE) -> DataFrame:
-    """doc_id, check_key, is_present, match_type, matched_signal, excerpt: a row for each document and check.
+def presence(texts: DataFrame, secs: DataFrame, rules: dict[str, tuple[list[str], list[str]]] = PRESENCE) -> DataFrame:
+    """doc_id, check_key, is_present, match_type, matched_signal, excerpt from doc_id, collapsed: a row for each document and check.
 
     A section title counts before a phrase of the text; the first matching section wins, then the first
     phrase in the order of the rules. One pass over the documents: phrases are literal expressions."""
@@ -81,8 +80,7 @@ def presence(docs: DataFrame, secs: DataFrame, rules: dict[str, tuple[list[str],
         canonical = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
         firsts.append(F.min_by(F.when(F.col("title_key").isin(*names), canonical[F.col("title_key")]), F.when(F.col("title_key").isin(*names), F.col("section_ord"))).alias(check))
     by_title = secs.groupBy("doc_id").agg(*firsts)
-    text = docs.select("doc_id", collapse_casefold(join_blocks(F.col("blocks"), F.col("kind"))).alias("collapsed"))
-    both = text.join(by_title, "doc_id", "left")
+    both = texts.join(by_title, "doc_id", "left")
     cells = []
     for check, (_, phrases) in rules.items():
         hit = F.coalesce(*[F.when(F.col("collapsed").contains(norm(p)), F.struct(F.lit(p).alias("phrase"), (F.locate(norm(p), F.col("collapsed")) - 1).alias("at"), F.lit(len(norm(p))).alias("len"))) for p in phrases])

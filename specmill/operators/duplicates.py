@@ -1,7 +1,11 @@
-"""Repeated formulations within a document: exact ones, and near ones by a prefix-filtered join."""
+"""Repeated formulations within a document: exact ones, and near ones by a prefix filter."""
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from collections.abc import Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -9,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from specmill.session import cut
+from specmill.functions.text import exploded
 from specmill.rules.tables import MIN_SHARED, MIN_TOKENS, NEAR, NEAR_RELAXED, NEAR_SEQUENCE
 
 
@@ -27,41 +31,53 @@ def exact_duplicates(frags: DataFrame) -> DataFrame:
     return grouped.where("occurrences > 1")
 
 
-@F.pandas_udf(T.DoubleType())
-def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+_PAIRS = T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("jaccard", T.DoubleType()), T.StructField("sequence", T.DoubleType())]))
+_WORD = re.compile(r"\w+")
 
 
-def near_pairs(frags: DataFrame) -> DataFrame:
-    """doc_id, text_a, text_b, key_a, key_b, jaccard of pairs of different formulations of one document, the first
-    occurrence of each, in document order, whose word sets' Jaccard similarity is at least the relaxed threshold.
+def pairs_of(collapsed: Sequence[str], keys: Sequence[str]) -> list[tuple[int, int, float, float]]:
+    """(i, j, jaccard, sequence) of the pairs i < j of different formulations of one document, at the first occurrence
+    of each, whose word sets' Jaccard similarity is at least the relaxed threshold; in the order of i and j.
 
-    Pairs are joined on the rarest words of a document's sets (prefix filter), never all with all."""
-    keyed = frags.where("NOT is_heading").withColumn("key", formulation_key(F.col("collapsed"))).where("key != ''")
-    place = F.struct(F.coalesce("section_ord", F.lit(-1)).alias("section_ord"), "frag_idx")
-    first = keyed.withColumn("place", place).groupBy("doc_id", "key").agg(F.min(F.struct("place", "frag", "collapsed")).alias("f"))
-    words = F.array_distinct(F.regexp_extract_all("f.collapsed", F.lit(r"([\p{L}\p{N}_]+)"), 1))
-    sets = first.select("doc_id", "key", F.col("f.place").alias("place"), F.col("f.frag").alias("frag"), words.alias("words"), F.size(words).alias("n")).where(F.col("n") >= MIN_TOKENS)
-    sets = cut(sets)  # read four times below
-    exploded = sets.select("doc_id", "key", "n", F.explode("words").alias("word"))
-    frequency = exploded.groupBy("doc_id", "word").agg(F.count("*").alias("df"))
-    ranked = exploded.join(frequency, ["doc_id", "word"]).groupBy("doc_id", "key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("r"))
-    prefix = F.slice("r", 1, (F.col("n") - F.ceil(F.col("n") * NEAR_RELAXED - 1e-9) + 1).cast("int"))
-    heads = ranked.select("doc_id", "key", "n", F.explode(prefix).alias("h")).where("h.df > 1").select("doc_id", "key", "n", F.col("h.word").alias("word"))
-    a = heads.select("doc_id", "word", F.col("key").alias("key_a"), F.col("n").alias("na"))
-    b = heads.select("doc_id", "word", F.col("key").alias("key_b"), F.col("n").alias("nb"))
-    pairs = a.join(b, ["doc_id", "word"]).where((F.col("key_a") < F.col("key_b")) & (F.least("na", "nb") >= NEAR_RELAXED * F.greatest("na", "nb") - 1e-9)).select("doc_id", "key_a", "key_b").distinct()
-    left = sets.select("doc_id", F.col("key").alias("key_a"), F.col("place").alias("place_a"), F.col("frag").alias("frag_a"), F.col("words").alias("words_a"))
-    right = sets.select("doc_id", F.col("key").alias("key_b"), F.col("place").alias("place_b"), F.col("frag").alias("frag_b"), F.col("words").alias("words_b"))
-    both = pairs.join(left, ["doc_id", "key_a"]).join(right, ["doc_id", "key_b"]).withColumn("shared", F.size(F.array_intersect("words_a", "words_b")))
-    both = both.withColumn("jaccard", F.col("shared") / F.size(F.array_union("words_a", "words_b"))).where((F.col("jaccard") >= NEAR_RELAXED) & (F.col("shared") >= MIN_SHARED))
-    swap = F.col("place_b") < F.col("place_a")
-    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
-    return both.select("doc_id", pick("frag_a", "frag_b").alias("text_a"), pick("frag_b", "frag_a").alias("text_b"), pick("key_a", "key_b").alias("key_a"), pick("key_b", "key_a").alias("key_b"), "jaccard")
-
-
-def near_duplicates(frags: DataFrame) -> DataFrame:
+    Only sets that share a word within their prefixes, rarest first, are compared."""
+    firsts: dict[str, int] = {}
+    for i, k in enumerate(keys):
+        firsts.setdefault(k, i)
+    sets = {i: w for i in firsts.values() if len(w := set(_WORD.findall(collapsed[i]))) >= MIN_TOKENS}
+    frequency = Counter(w for words in sets.values() for w in words)
+    holders: dict[str, list[int]] = {}
+    out = []
+    for j, words in sets.items():
+        n = len(words)
+        prefix = sorted(words, key=lambda w: (frequency[w], w))[: n - math.ceil(n * NEAR_RELAXED - 1e-9) + 1]
+        for i in sorted({i for w in prefix for i in holders.get(w, ())}):
+            shared = len(words & sets[i])
+            jaccard = shared / (n + len(sets[i]) - shared)
+            if shared >= MIN_SHARED and jaccard >= NEAR_RELAXED:
+                out.append((i, j, jaccard, SequenceMatcher(None, keys[i], keys[j]).ratio()))
+        for w in prefix:
+            if frequency[w] > 1:
+                holders.setdefault(w, []).append(j)
+    return sorted(out)
+
+
+@F.pandas_udf(_PAIRS)
+def _pairs(collapsed: pd.Series, keys: pd.Series) -> pd.Series:
+    return pd.Series([[dict(zip(("i", "j", "jaccard", "sequence"), p)) for p in pairs_of(c, k)] for c, k in zip(collapsed, keys)])
+
+
+def near_pairs(arrays: DataFrame) -> DataFrame:
+    """doc_id, text_a, text_b, key_a, key_b, jaccard, sequence of the pairs of pairs_of(), in document order.
+
+    arrays are fragment_arrays(): a document's fragments are in its row, so nothing is shuffled."""
+    keyed = F.filter(F.transform("fragments", lambda x: F.struct(x["frag"].alias("frag"), x["collapsed"].alias("collapsed"), formulation_key(x["collapsed"]).alias("key"), x["is_heading"].alias("is_heading"))), lambda x: ~x["is_heading"] & (x["key"] != ""))
+    rows = arrays.select("doc_id", keyed.alias("x"))
+    found = rows.withColumn("p", exploded(_pairs("x.collapsed", "x.key"))).where("p IS NOT NULL")
+    a, b = F.get("x", F.col("p.i")), F.get("x", F.col("p.j"))
+    return found.select("doc_id", a["frag"].alias("text_a"), b["frag"].alias("text_b"), a["key"].alias("key_a"), b["key"].alias("key_b"), "p.jaccard", "p.sequence")
+
+
+def near_duplicates(arrays: DataFrame) -> DataFrame:
     """doc_id, text_a, text_b, similarity of the pairs that are near by words, or by words and sequence."""
-    scored = near_pairs(frags).withColumn("sequence", _sequence_ratio("key_a", "key_b"))
-    near = scored.where((F.col("jaccard") >= NEAR) | (F.col("sequence") >= NEAR_SEQUENCE))
+    near = near_pairs(arrays).where((F.col("jaccard") >= NEAR) | (F.col("sequence") >= NEAR_SEQUENCE))
     return near.select("doc_id", "text_a", "text_b", F.round(F.greatest("jaccard", "sequence"), 3).alias("similarity"))

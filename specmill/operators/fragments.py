@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specmill.functions.text import WS, casefold, collapse, collapse_casefold, join_blocks
+from specmill.functions.text import WS, casefold, collapse, collapse_casefold, exploded, join_blocks
+from specmill.operators.structure import content_of, section_arrays
 from specmill.rules import patterns as P
 from specmill.rules.tables import HEADING_FRAGMENT, MIN_FRAGMENT, PRESENCE, RATES, THRESHOLDS
 
@@ -15,26 +16,42 @@ def split_fragments(text: Column) -> Column:
     return F.filter(F.split(collapse(text), r"(?<=[.!?…]) "), lambda x: x != "")
 
 
-def fragments(docs: DataFrame, secs: DataFrame) -> DataFrame:
-    """doc_id, section_ord, section_title, frag_idx, frag, collapsed, is_heading, is_obligation.
+def fragment_arrays(docs: DataFrame) -> DataFrame:
+    """doc_id and fragments, the array of (section_ord, section_title, frag_idx, frag, collapsed, is_heading, is_obligation).
 
-    The sentences of the sections; a document without any section text gives those of its full text,
-    with a null section."""
-    from_sections = secs.select("doc_id", "section_ord", F.col("title").alias("section_title"), F.col("content_text").alias("t"))
-    bodies = secs.where(~F.col("content_text").rlike(f"^{WS}*$")).select("doc_id").distinct()
-    whole = docs.join(bodies, "doc_id", "left_anti").select("doc_id", F.lit(None).cast("int").alias("section_ord"), F.lit(None).cast("string").alias("section_title"), join_blocks(F.col("blocks"), F.col("kind")).alias("t"))
-    rows = from_sections.unionByName(whole).select("doc_id", "section_ord", "section_title", F.posexplode(split_fragments(F.col("t"))).alias("frag_idx", "frag"))
-    rows = rows.withColumn("collapsed", casefold(F.col("frag")))
-    obligation = F.col("collapsed").rlike(P.OBLIGATION)
-    stub = (F.length("frag") < HEADING_FRAGMENT) & F.col("frag").rlike(rf"^[\p{{Nd}}.]+{WS}+[^ ]") & ~F.col("frag").rlike(r"[.!?…]$") & ~obligation
-    return rows.withColumn("is_heading", (F.length("frag") < MIN_FRAGMENT) | stub).withColumn("is_obligation", obligation)
+    The sentences of the sections in order; a document without any section text gives those of its full text,
+    with a null section. A document never leaves its row."""
+    found = section_arrays(docs.select("doc_id", "kind", "blocks"))
+    own = F.transform("sections", lambda s: F.struct(s["section_ord"].alias("section_ord"), s["title"].alias("section_title"), content_of(s).alias("t")))
+    whole = F.array(F.struct(F.lit(None).cast("int").alias("section_ord"), F.lit(None).cast("string").alias("section_title"), join_blocks(F.col("blocks"), F.col("kind")).alias("t")))
+    texts = found.withColumn("__own", own).withColumn("__texts", F.when(F.exists("__own", lambda x: ~x["t"].rlike(f"^{WS}*$")), F.col("__own")).otherwise(whole))
+    spelled = F.flatten(F.transform("__texts", lambda x: F.transform(split_fragments(x["t"]), lambda f, i: F.struct(x["section_ord"].alias("section_ord"), x["section_title"].alias("section_title"), i.alias("frag_idx"), f.alias("frag"), casefold(f).alias("collapsed")))))
+
+    names = ("section_ord", "section_title", "frag_idx", "frag", "collapsed")
+    told = F.transform(spelled, lambda x: F.struct(*[x[c].alias(c) for c in names], x["collapsed"].rlike(P.OBLIGATION).alias("is_obligation")))
+
+    def flagged(x: Column) -> Column:
+        stub = (F.length(x["frag"]) < HEADING_FRAGMENT) & x["frag"].rlike(rf"^[\p{{Nd}}.]+{WS}+[^ ]") & ~x["frag"].rlike(r"[.!?…]$") & ~x["is_obligation"]
+        return F.struct(*[x[c].alias(c) for c in names], ((F.length(x["frag"]) < MIN_FRAGMENT) | stub).alias("is_heading"), x["is_obligation"].alias("is_obligation"))
+
+    return texts.select("doc_id", F.transform(told, flagged).alias("fragments"))
+
+
+def fragments(arrays: DataFrame) -> DataFrame:
+    """doc_id, section_ord, section_title, frag_idx, frag, collapsed, is_heading, is_obligation: a row for each fragment of
+    fragment_arrays()."""
+    return arrays.select("doc_id", exploded(F.col("fragments")).alias("x")).where("x IS NOT NULL").select("doc_id", "x.*")
 
 
 def obligations(frags: DataFrame) -> DataFrame:
-    """The fragments that state an obligation, the first of each wording in a document, with the word that marks it."""
+    """The fragments that state an obligation, the first of each wording in a document, with the word that marks it
+    and its place in the casefolded fragment; the word is spelled as in the fragment where casefolding keeps its length."""
     order = Window.partitionBy("doc_id", "collapsed").orderBy(F.col("section_ord").asc_nulls_first(), "frag_idx")
     first = frags.where(~F.col("is_heading") & F.col("is_obligation")).withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
-    return first.withColumn("marker", F.regexp_extract("collapsed", P.OBLIGATION, 1))
+    word = F.regexp_extract("collapsed", P.OBLIGATION, 1)
+    start = F.length(F.regexp_extract("collapsed", f"(?s)^(.*?){P.OBLIGATION_BEFORE}{P.OBLIGATION_WORD}", 1)) + F.length(F.regexp_extract("collapsed", f"(?s)^.*?({P.OBLIGATION_BEFORE}){P.OBLIGATION_WORD}", 1))
+    placed = first.withColumn("marker_start", start).withColumn("marker_end", start + F.length(word))
+    return placed.withColumn("marker", F.when(F.length("frag") == F.length("collapsed"), F.substring(F.col("frag"), F.col("marker_start") + 1, F.length(word))).otherwise(word))
 
 
 def _any(c: Column, words: list[str]) -> Column:

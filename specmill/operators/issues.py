@@ -10,10 +10,29 @@ from pyspark.sql import functions as F
 from specmill.functions.text import collapse_casefold, join_blocks
 from specmill.operators import checks, duplicates, references, spans
 from specmill.operators.corpus import lines_of
-from specmill.operators.fragments import fragments, obligations, signals
+from specmill.operators.fragments import fragment_arrays, fragments, obligations, signals
 from specmill.operators.structure import sections
 from specmill.session import cut
-from specmill.rules.tables import CONCLUSIONS, PRESENCE_MESSAGES, RECOMMENDATION_PREFIXES, RECOMMENDATIONS, SEVERITIES, UNIT_REASONS
+from specmill.rules.tables import (
+    CONCLUSIONS,
+    EXACT_MESSAGE,
+    FACET_LABELS,
+    FACET_OTHER,
+    FACET_UNSET,
+    MIXED_TERMS_MESSAGE,
+    NEAR_MESSAGE,
+    NUMERICAL_MESSAGE,
+    PRESENCE_MESSAGES,
+    RECOMMENDATION_PREFIXES,
+    RECOMMENDATIONS,
+    REFERENCE_MESSAGES,
+    SECTION_MISSING_MESSAGE,
+    SECTION_ORDER_MESSAGE,
+    SEVERITIES,
+    UNIT_REASONS,
+    UNVERIFIABLE_MESSAGE,
+    VAGUE_MESSAGE,
+)
 
 
 
@@ -23,6 +42,7 @@ class Frames:
 
     docs: DataFrame
     secs: DataFrame
+    arrays: DataFrame
     frags: DataFrame
     obligations: DataFrame
     texts: DataFrame
@@ -33,11 +53,12 @@ class Frames:
     def of(cls, docs: DataFrame, materialize: bool = False) -> Frames:
         """materialize: write the shared frames to the checkpoint folder, where many checks read them."""
         keep = cut if materialize else lambda df: df
-        docs = keep(docs)
+        docs = keep(docs.withColumn("collapsed", collapse_casefold(join_blocks(F.col("blocks"), F.col("kind")))))
         secs = keep(sections(docs))
-        frags = keep(fragments(docs, secs))
-        texts = docs.select("doc_id", collapse_casefold(join_blocks(F.col("blocks"), F.col("kind"))).alias("collapsed"))
-        return cls(docs, secs, frags, keep(signals(obligations(frags))), texts, keep(lines_of(docs).where(F.lower("line").rlike("рис|табл|приложени"))), checks.required_table(docs.sparkSession))
+        arrays = keep(fragment_arrays(docs))  # a document a row
+        frags = fragments(arrays)
+        texts = docs.select("doc_id", "collapsed")
+        return cls(docs, secs, arrays, frags, keep(signals(obligations(frags))), texts, keep(lines_of(docs).where(F.lower("line").rlike("рис|табл|приложени"))), checks.required_table(docs.sparkSession))
 
 
 def recommendation(code: Column) -> Column:
@@ -47,19 +68,31 @@ def recommendation(code: Column) -> Column:
 
 
 def normalize_severity(severity: Column) -> Column:
-    """One of the severities in lower case; blank is null; anything else is an error."""
-    plain = F.nullif(F.lower(F.trim(severity)), F.lit(""))
+    """One of the severities; blank is null; anything else is an error."""
+    plain = F.nullif(F.trim(severity), F.lit(""))
     return F.when(plain.isNull() | plain.isin(*SEVERITIES), plain).otherwise(F.raise_error(F.concat(F.lit("unknown severity: "), severity)))
 
 
+def said(template: str, *parts: Column | str) -> Column:
+    """A message template with its places filled."""
+    texts = template.split("{}")
+    return F.concat(*[x for t, p in zip(texts, [*parts, None]) for x in ((F.lit(t),) if p is None else (F.lit(t), F.col(p).cast("string") if isinstance(p, str) else p))])
+
+
+def required(name: str, value: Column) -> Column:
+    """A text without blanks at its ends; a null or blank one is an error."""
+    plain = F.trim(value)
+    return F.when(F.length(plain) > 0, plain).otherwise(F.raise_error(F.lit(f"{name} must be non-empty")))
+
+
 _LOCATIONS = "array<struct<block_index:int,line_index:int,fragment_index:int>>"
 
 
 def issue(
-    df: DataFrame, check: str, code: Column, severity: str, message: Column, fragment: Column | None = None, section: Column | None = None, location: Column | None = None,
+    df: DataFrame, check: str | Column, code: Column, severity: str, message: Column, fragment: Column | None = None, section: Column | None = None, location: Column | None = None,
     metadata: list[str] | None = None, place: Column | None = None, fragment_indexes: Column | None = None,
 ) -> DataFrame:
-    """A frame of findings in the form of issues; blank optional texts become null.
+    """A frame of findings in the form of issues; blank optional texts become null, a blank code or message is an error.
 
     metadata names columns that are kept as JSON, absent ones left out. Locations come from a fragment's
     index, from several, or from the place (block and line) of a reference."""
@@ -74,7 +107,7 @@ def issue(
     kept = F.to_json(F.struct(*metadata)) if metadata else F.lit(None).cast("string")
     text = lambda c: F.lit(None).cast("string") if c is None else F.nullif(F.trim(c), F.lit(""))
     return df.select(
-        "doc_id", F.lit(check).alias("check_key"), code.alias("issue_code"), F.lit(severity).alias("severity"), message.alias("message"), text(fragment).alias("fragment_text"), text(section).alias("section_title"),
+        "doc_id", (required("check_key", check) if isinstance(check, Column) else F.lit(check)).alias("check_key"), required("issue_code", code).alias("issue_code"), normalize_severity(F.lit(severity)).alias("severity"), required("message", message).alias("message"), text(fragment).alias("fragment_text"), text(section).alias("section_title"),
         (none if location is None else location.cast("int")).alias("fragment_index"), kept.alias("metadata"), locations.cast(_LOCATIONS).alias("locations"),
     )
 
@@ -84,14 +117,14 @@ def measurement_reason(linked: Column, number: Column, unit: Column) -> Column:
     return F.when(linked, r["linked"]).when(number & unit, r["both"]).when(number, r["number"]).when(unit, r["unit"]).otherwise(r["none"])
 
 
-def _reference_issues(refs: DataFrame, kind: str, noun: str, declared: str, caption: str, twice: str, plural: str) -> list[DataFrame]:
-    s, check = references.label_summary(refs), f"{kind}_references_check"
-    n = F.col("label")
+def _reference_issues(refs: DataFrame, kind: str) -> list[DataFrame]:
+    s, check, m = references.label_summary(refs), f"{kind}_references_check", REFERENCE_MESSAGES[kind]
+    of = lambda code: F.lit(f"{kind}.{code}")
     return [
-        issue(s.where("state = 'missing'"), check, F.lit(f"{kind}.missing_declaration"), "warning", F.concat(F.lit(f"Упоминается {noun} "), n, F.lit(f", но строка объявления {caption} с этим номером не найдена.")), metadata=["label"], place=F.col("place")),
-        issue(s.where("state = 'unreferenced'"), check, F.lit(f"{kind}.unreferenced"), "warning", F.concat(F.lit(f"{declared} {noun} "), n, F.lit(", но в тексте не найдено упоминание этого номера.")), metadata=["label"], place=F.col("place")),
-        issue(s.where("is_duplicate"), check, F.lit(f"{kind}.duplicate_declaration"), "warning", F.concat(F.lit(f"{noun.capitalize()} "), n, F.lit(f" {twice} более одного раза.")), metadata=["label"]),
-        issue(references.number_gaps(refs), check, F.lit(f"{kind}.caption_numbering_gap"), "recommendation", F.concat(F.lit(f"В последовательности номеров подписей к {plural} пропущен номер "), F.col("missing").cast("string"), F.lit(".")), metadata=["missing"]),
+        issue(s.where("state = 'missing'"), check, of("missing_declaration"), "warning", said(m["missing_declaration"], "label"), metadata=["label"], place=F.col("place")),
+        issue(s.where("state = 'unreferenced'"), check, of("unreferenced"), "warning", said(m["unreferenced"], "label"), metadata=["label"], place=F.col("place")),
+        issue(s.where("is_duplicate"), check, of("duplicate_declaration"), "warning", said(m["duplicate_declaration"], "label"), metadata=["label"]),
+        issue(references.number_gaps(refs), check, of("caption_numbering_gap"), "recommendation", said(m["caption_numbering_gap"], "missing"), metadata=["missing"]),
     ]
 
 
@@ -100,41 +133,38 @@ def build_issues(f: Frames) -> DataFrame:
     metadata, locations, recommendation: the issues of all checks, numbered from 1 within a document by check, code, message and fragment."""
     found = checks.sections_found(f.secs, f.required)
     c = F.col
+    vague = F.coalesce(F.nullif(F.trim("description"), F.lit("")), said(VAGUE_MESSAGE, "phrase"))
     out = [
-        issue(spans.vague_findings(f.texts), "vague_wording_check", F.lit("vague_wording.dictionary_phrase"), "recommendation", F.concat(F.lit("Обнаружена неконкретная формулировка: «"), c("phrase"), F.lit("».")), c("excerpt"), metadata=["phrase", "category"]),
-        issue(f.obligations.where("NOT verifiable"), "unverifiable_requirements_check", F.lit("unverifiable.obligation_without_metrics"), "warning", F.lit("формулировка требования без измеримых критериев"), c("frag"), c("section_title"), c("frag_idx"), ["marker"]),
-        issue(checks.sections_missing(f.docs, found, f.required), "required_sections_check", F.concat(F.lit("required_sections.missing."), c("section_key")), "warning", F.concat(F.lit("Отсутствует обязательный раздел: «"), c("rule_title"), F.lit("».")), metadata=["section_key", "rule_title"]),
-        issue(
-            checks.order_violations(found), "section_order_check", F.lit("section_order.violation"), "warning",
-            F.concat(F.lit("Нарушен ожидаемый порядок разделов: после «"), c("expected_title"), F.lit("» ожидался фрагмент структуры, фактически обнаружен раздел «"), c("found_title"), F.lit("».")), metadata=["position", "expected_key", "found_key"],
-        ),
-        issue(f.obligations.where("size(tags) = 0"), "numerical_characteristics_check", F.lit("numerical.missing_in_obligation_fragment"), "recommendation", F.lit("В формулировке требования не обнаружены числовые характеристики (проценты, диапазоны, единицы и т.п.)."), c("frag"), c("section_title"), c("frag_idx"), ["marker"]),
+        issue(spans.vague_findings(f.texts), "vague_wording_check", F.concat(F.lit("vague_wording."), c("match_type")), "recommendation", vague, c("excerpt"), metadata=["phrase", "category", "match_type", "source_kind", "description"]),
+        issue(f.obligations.where("NOT verifiable"), "unverifiable_requirements_check", F.lit("unverifiable.obligation_without_metrics"), "warning", F.lit(UNVERIFIABLE_MESSAGE), c("frag"), c("section_title"), c("frag_idx"), ["marker"]),
+        issue(checks.sections_missing(f.docs, found, f.required), "required_sections_check", F.concat(F.lit("required_sections.missing."), c("section_key")), "warning", said(SECTION_MISSING_MESSAGE, "rule_title"), metadata=["section_key", "rule_title"]),
+        issue(checks.order_violations(found), "section_order_check", F.lit("section_order.violation"), "warning", said(SECTION_ORDER_MESSAGE, "expected_title", "found_title"), metadata=["position", "expected_key", "found_key"]),
+        issue(f.obligations.where("size(tags) = 0"), "numerical_characteristics_check", F.lit("numerical.missing_in_obligation_fragment"), "recommendation", F.lit(NUMERICAL_MESSAGE), c("frag"), c("section_title"), c("frag_idx"), ["marker"]),
         issue(
             f.obligations.where("NOT linked AND (number OR has_unit)"), "measurement_units_check", F.lit("measurement.unit_linkage_review"), "recommendation",
             measurement_reason(c("linked"), c("number"), c("has_unit")), c("frag"), c("section_title"), c("frag_idx"), ["number", "has_unit", "linked", "tags"],
         ),
     ]
-    absent = checks.presence(f.docs, f.secs).where("NOT is_present")
     of = lambda k: F.create_map(*[F.lit(x) for n, m in PRESENCE_MESSAGES.items() for x in (n, m[k])])[c("check_key")]
-    out.append(absent.select("doc_id", "check_key", of(0).alias("issue_code"), F.lit("warning").alias("severity"), of(1).alias("message"), F.lit(None).cast("string").alias("fragment_text"), F.lit(None).cast("string").alias("section_title"), F.lit(None).cast("int").alias("fragment_index"), F.lit(None).cast("string").alias("metadata"), F.lit(None).cast(_LOCATIONS).alias("locations")))
-    out += _reference_issues(references.figure_references(f.lines), "figure", "рисунок", "Объявлен", "рисунка (подпись)", "объявлен (подписан)", "рисункам")
-    out += _reference_issues(references.table_references(f.lines), "table", "таблица", "Объявлена", "таблицы (заголовок)", "объявлена (подписана)", "таблицам")
+    out.append(issue(checks.presence(f.texts, f.secs).where("NOT is_present"), c("check_key"), of(0), "warning", of(1)))
+    out += _reference_issues(references.figure_references(f.lines), "figure")
+    out += _reference_issues(references.table_references(f.lines), "table")
     appendix = references.appendix_references(f.lines)
-    labels = references.label_summary(appendix)
-    of_label = lambda code: F.concat(F.lit(f"appendix.{code}."), c("label"))
+    labels, check, m = references.label_summary(appendix), "appendix_references_check", REFERENCE_MESSAGES["appendix"]
+    coded = lambda code, x: F.concat(F.lit(f"appendix.{code}."), c(x).cast("string"))
     out += [
-        issue(labels.where("state = 'missing'"), "appendix_references_check", of_label("missing_declaration"), "warning", F.concat(F.lit("Упоминается приложение "), c("label"), F.lit(", но строка объявления приложения с этим обозначением не найдена.")), metadata=["label"], place=c("place")),
-        issue(labels.where("state = 'unreferenced'"), "appendix_references_check", of_label("unreferenced"), "warning", F.concat(F.lit("Объявлено приложение "), c("label"), F.lit(", но в тексте не найдено соответствующее упоминание.")), metadata=["label"], place=c("place")),
-        issue(labels.where("is_duplicate"), "appendix_references_check", of_label("duplicate_declaration"), "warning", F.concat(F.lit("Приложение "), c("label"), F.lit(" объявлено более одного раза.")), metadata=["label"]),
-        issue(references.letter_gaps(appendix), "appendix_references_check", F.concat(F.lit("appendix.cyrillic_sequence_gap."), c("missing")), "recommendation", F.concat(F.lit("В последовательности обозначений приложений (кириллица) пропущена буква «"), c("missing"), F.lit("»."))),
-        issue(references.number_gaps(appendix), "appendix_references_check", F.concat(F.lit("appendix.numeric_sequence_gap."), c("missing").cast("string")), "recommendation", F.concat(F.lit("В последовательности номеров приложений пропущен номер "), c("missing").cast("string"), F.lit("."))),
-        issue(spans.mixed_terms(spans.term_counts(f.texts)), "terminology_consistency_check", F.concat(F.lit("terminology.mixed_variants."), c("term_key")), "recommendation", F.lit("для одного термина использованы разные варианты наименования"), metadata=["term_key", "used_variants", "total"]),
-        issue(duplicates.exact_duplicates(f.frags), "duplicate_formulations_check", F.lit("duplicate.exact"), "warning", F.lit("в документе повторяется одинаковая формулировка"), c("text"), F.array_join("section_titles", ", "), metadata=["occurrences", "fragment_indexes", "section_titles"], fragment_indexes=c("fragment_indexes")),
-        issue(duplicates.near_duplicates(f.frags), "duplicate_formulations_check", F.lit("duplicate.near"), "warning", F.lit("обнаружены очень похожие формулировки"), F.concat_ws(" — ", "text_a", "text_b"), metadata=["similarity", "text_a", "text_b"]),
+        issue(labels.where("state = 'missing'"), check, coded("missing_declaration", "label"), "warning", said(m["missing_declaration"], "label"), metadata=["label"], place=c("place")),
+        issue(labels.where("state = 'unreferenced'"), check, coded("unreferenced", "label"), "warning", said(m["unreferenced"], "label"), metadata=["label"], place=c("place")),
+        issue(labels.where("is_duplicate"), check, coded("duplicate_declaration", "label"), "warning", said(m["duplicate_declaration"], "label"), metadata=["label"]),
+        issue(references.letter_gaps(appendix), check, coded("cyrillic_sequence_gap", "missing"), "recommendation", said(m["cyrillic_sequence_gap"], "missing")),
+        issue(references.number_gaps(appendix), check, coded("numeric_sequence_gap", "missing"), "recommendation", said(m["numeric_sequence_gap"], "missing")),
+        issue(spans.mixed_terms(spans.term_counts(f.texts)), "terminology_consistency_check", F.concat(F.lit("terminology.mixed_variants."), c("term_key")), "recommendation", F.lit(MIXED_TERMS_MESSAGE), metadata=["term_key", "used_variants", "total"]),
+        issue(duplicates.exact_duplicates(f.frags), "duplicate_formulations_check", F.lit("duplicate.exact"), "warning", F.lit(EXACT_MESSAGE), c("text"), F.array_join("section_titles", ", "), metadata=["occurrences", "fragment_indexes", "section_titles"], fragment_indexes=c("fragment_indexes")),
+        issue(duplicates.near_duplicates(f.arrays), "duplicate_formulations_check", F.lit("duplicate.near"), "warning", F.lit(NEAR_MESSAGE), F.concat_ws(" — ", "text_a", "text_b"), metadata=["similarity", "text_a", "text_b"]),
     ]
+    while len(out) > 1:  # in pairs, so that a union isn't analysed again with each further one
+        out = [a.unionByName(b[0]) if b else a for a, *b in (out[i : i + 2] for i in range(0, len(out), 2))]
     every = out[0]
-    for x in out[1:]:
-        every = every.unionByName(x)
     order = Window.partitionBy("doc_id").orderBy("check_key", "issue_code", "message", F.coalesce("fragment_text", F.lit("")), F.coalesce("fragment_index", F.lit(-1)))
     return every.withColumn("issue_ord", F.row_number().over(order)).withColumn("recommendation", recommendation(c("issue_code")))
 
@@ -143,7 +173,7 @@ def report(docs: DataFrame, issues: DataFrame) -> DataFrame:
     """One row per document: status, conclusion, total_issues, one count per severity, unspecified, with_recommendation,
     and by_check, the counts per check as a map. Documents without issues count zero; rows with a blank check
     count as 'unknown'."""
-    severity = F.lower(F.trim("severity"))
+    severity = F.trim("severity")
     counted = issues.groupBy("doc_id").agg(
         F.count("*").alias("total_issues"), *[F.count_if(severity == s).alias(s) for s in SEVERITIES], F.count_if(severity.isNull() | ~severity.isin(*SEVERITIES)).alias("unspecified"),
         F.count_if(F.length(F.trim("recommendation")) > 0).alias("with_recommendation"),
@@ -170,9 +200,29 @@ def filter_issues(issues: DataFrame, check_key: str = "", severity: str = "", mi
     return out if severity == "" else out.where(bucket("severity") == severity)
 
 
-def facets(issues: DataFrame) -> DataFrame:
-    """facet, value, n: the values that the issues can be filtered by, with their counts."""
-    sets = issues.select(F.explode(F.array(F.struct(F.lit("check_key").alias("facet"), F.col("check_key").alias("value")), F.struct(F.lit("severity").alias("facet"), F.col("severity").alias("value")))).alias("x"))
-    return sets.groupBy("x.facet", "x.value").agg(F.count("*").alias("n"))
+def groups(issues: DataFrame) -> DataFrame:
+    """doc_id, grouping, value, issue_ords: the issues of each document by severity and by check, as their numbers in order.
 
+    Unknown and missing severities stand under 'unspecified', blank checks under 'unknown'."""
+    severity = F.trim("severity")
+    value = F.when(severity.isin(*SEVERITIES), severity).otherwise("unspecified")
+    check = F.coalesce(F.nullif(F.trim("check_key"), F.lit("")), F.lit("unknown"))
+    both = F.array(F.struct(F.lit("by_severity").alias("grouping"), value.alias("value")), F.struct(F.lit("by_check").alias("grouping"), check.alias("value")))
+    rows = issues.select("doc_id", "issue_ord", F.explode(both).alias("g"))
+    return rows.groupBy("doc_id", "g.grouping", "g.value").agg(F.array_sort(F.collect_list("issue_ord")).alias("issue_ords"))
 
+
+def facets(issues: DataFrame) -> DataFrame:
+    """facet, value, n, label: the values that the issues can be filtered by, with their counts and labels; "" stands for none.
+
+    Values without a label are numbered in their order where there are several of them in a facet."""
+    bucket = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    sets = issues.select(F.explode(F.array(F.struct(F.lit("check_key").alias("facet"), bucket("check_key").alias("value")), F.struct(F.lit("severity").alias("facet"), bucket("severity").alias("value")))).alias("x"))
+    counted = sets.groupBy("x.facet", "x.value").agg(F.count("*").alias("n"))  # a row for each value, so few
+    of = lambda table: F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    known = F.coalesce(*[F.when(F.col("facet") == facet, of(labels)[F.col("value")]) for facet, labels in FACET_LABELS.items()], F.when(F.col("value") == "", of(FACET_UNSET)[F.col("facet")]))
+    rows = counted.withColumn("known", known).withColumn("open", F.col("known").isNull().cast("int"))
+    each = Window.partitionBy("facet")
+    at = F.sum("open").over(each.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)).cast("string")
+    other = F.concat(of(FACET_OTHER)[F.col("facet")], F.when(F.sum("open").over(each) > 1, F.concat(F.lit(" №"), at)).otherwise(""))
+    return rows.select("facet", "value", "n", F.coalesce("known", other).alias("label"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,16 @@ from specmill.rules.tables import ALPHABET, FIGURE, TABLE
 _NOT_BEFORE = "(?<![а-яёa-z0-9])"
 
 
+# Fixed value: the decimal digits beyond ASCII, in tens.
+WIDE_DIGITS = "".join(c for c in map(chr, range(128, 0x1F000)) if unicodedata.category(c) == "Nd")
+PLAIN_DIGITS = "".join(str(unicodedata.digit(c)) for c in WIDE_DIGITS)
+
+
+def number_label(digits: Column) -> Column:
+    """A number of any length in ASCII digits, without leading zeros."""
+    return F.regexp_replace(F.translate(digits, WIDE_DIGITS, PLAIN_DIGITS), "^0+(?=.)", "")
+
+
 def numbered_references(lines: DataFrame, words: tuple[list[str], list[str]]) -> DataFrame:
     """doc_id, role, label, block_index, line_index: a caption line declares its number and mentions nothing."""
     mentions, captions = words
@@ -21,7 +33,7 @@ def numbered_references(lines: DataFrame, words: tuple[list[str], list[str]]) ->
     role = F.when(F.col("declared") != "", "declaration").otherwise("mention")
     labels = F.when(F.col("declared") != "", F.array("declared")).otherwise(F.col("found"))
     out = rows.select("doc_id", role.alias("role"), F.explode(labels).alias("label"), "block_index", "line_index")
-    return out.select("doc_id", "role", F.expr("try_cast(label AS BIGINT)").cast("string").alias("label"), "block_index", "line_index").where("label IS NOT NULL")
+    return out.select("doc_id", "role", number_label(F.col("label")).alias("label"), "block_index", "line_index")
 
 
 def figure_references(lines: DataFrame) -> DataFrame:
@@ -35,7 +47,7 @@ def table_references(lines: DataFrame) -> DataFrame:
 def _appendix_labels(text: Column, pattern: str) -> Column:
     """The labels of all matches: a letter in upper case, or a number without leading zeros."""
     whole = F.regexp_extract_all(text, F.lit(pattern), 1)
-    return F.transform(whole, lambda x: F.coalesce(F.expr("CAST(NULL AS STRING)"), F.when(x.rlike(r"^\p{Nd}+$"), F.regexp_replace(x, "^0+(?=.)", "")).otherwise(F.upper(x))))
+    return F.transform(whole, lambda x: F.when(x.rlike(r"^\p{Nd}+$"), number_label(x)).otherwise(F.upper(x)))
 
 
 def appendix_references(lines: DataFrame) -> DataFrame:
@@ -66,16 +78,23 @@ def label_summary(refs: DataFrame) -> DataFrame:
     return counted.withColumn("state", state).withColumn("is_duplicate", F.col("declarations") > 1)
 
 
-def number_gaps(refs: DataFrame, longest: int = 100_000) -> DataFrame:
-    """doc_id, missing: the numbers between a document's least and greatest declared number that aren't declared.
+def number_gap_ranges(refs: DataFrame) -> DataFrame:
+    """doc_id, first_missing, last_missing: the ranges between neighbouring declared numbers of a document.
 
-    The gap of two neighbouring numbers is spelled out only up to longest numbers at once, as a caption's
-    number is free text; longer ones come out in pieces."""
-    numbers = refs.where("role = 'declaration'").select("doc_id", F.expr("try_cast(label AS BIGINT)").alias("v")).where("v IS NOT NULL").groupBy("doc_id").agg(F.array_sort(F.collect_set("v")).alias("vs"))
+    Numbers of more than 38 digits have no neighbours here."""
+    number = F.expr("CASE WHEN length(label) <= 38 THEN try_cast(label AS DECIMAL(38, 0)) END")
+    numbers = refs.where("role = 'declaration'").select("doc_id", number.alias("v")).where("v IS NOT NULL").groupBy("doc_id").agg(F.array_sort(F.collect_set("v")).alias("vs"))
     pairs = numbers.select("doc_id", F.explode(F.arrays_zip(F.slice("vs", 1, F.size("vs") - 1).alias("a"), F.slice("vs", 2, F.size("vs")).alias("b"))).alias("p")).where("p.b > p.a + 1")
-    pieces = pairs.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("p.b") - F.col("p.a") - 2) / longest))).alias("piece"), F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-    lo = F.col("a") + 1 + F.col("piece") * longest
-    return pieces.select("doc_id", F.explode(F.sequence(lo, F.least(lo + (longest - 1), F.col("b") - 1))).alias("missing"))
+    return pairs.select("doc_id", F.expr("cast(p.a + 1 AS DECIMAL(38, 0))").alias("first_missing"), F.expr("cast(p.b - 1 AS DECIMAL(38, 0))").alias("last_missing"))
+
+
+def number_gaps(refs: DataFrame, longest: int = 100_000) -> DataFrame:
+    """doc_id, missing: each number of the ranges of number_gap_ranges(), as text. For sinks that want a row for each
+    missing number: a caption's number is free text, so a range may be long. It comes out in pieces of so many numbers."""
+    ranges = number_gap_ranges(refs).withColumn("n", F.expr("cast(last_missing - first_missing + 1 AS BIGINT)"))
+    pieces = ranges.select("doc_id", "first_missing", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / longest))).alias("piece"))
+    at = F.explode(F.sequence(F.col("piece") * longest, F.least((F.col("piece") + 1) * longest, F.col("n")) - 1))
+    return pieces.select("doc_id", "first_missing", at.alias("i")).select("doc_id", F.expr("cast(cast(first_missing + i AS DECIMAL(38, 0)) AS STRING)").alias("missing"))
 
 
 def letter_gaps(refs: DataFrame) -> DataFrame:

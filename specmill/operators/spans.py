@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specmill.operators.checks import excerpt
-from specmill.rules.tables import GLOSSARY, VAGUE_PHRASES
+from specmill.rules.tables import GLOSSARY, VAGUE_DESCRIPTIONS, VAGUE_PHRASES
 
 _WORD_CHARACTER = r"[\p{L}\p{N}_]"
 
@@ -47,13 +47,17 @@ def _strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def vague_findings(texts: DataFrame, phrases: dict[str, list[str]] = VAGUE_PHRASES) -> DataFrame:
-    """doc_id, start_pos, end_pos, phrase, category, excerpt from doc_id, collapsed."""
+def vague_findings(texts: DataFrame, phrases: dict[str, list[str]] = VAGUE_PHRASES, descriptions: dict[str, str] = VAGUE_DESCRIPTIONS) -> DataFrame:
+    """doc_id, start_pos, end_pos, phrase, match_type, source_kind, category, description, excerpt from doc_id, collapsed;
+    the description of a phrase that has none is null."""
     category = {p: c for c, ps in phrases.items() for p in ps}
     rows = texts.select("doc_id", "collapsed", F.explode(spans(F.col("collapsed"), _strings(list(category)))).alias("m"))
     of = F.create_map(*[F.lit(x) for kv in category.items() for x in kv])
+    about = F.create_map(*[F.lit(x) for kv in (descriptions or {"": ""}).items() for x in kv])
     return rows.select(
-        "doc_id", F.col("m.s").alias("start_pos"), F.col("m.e").alias("end_pos"), "m.phrase", of[F.col("m.phrase")].alias("category"), excerpt(F.col("collapsed"), F.col("m.s"), F.col("m.e") - F.col("m.s"), 40, 120, True).alias("excerpt")
+        "doc_id", F.col("m.s").alias("start_pos"), F.col("m.e").alias("end_pos"), "m.phrase", F.lit("dictionary_phrase").alias("match_type"), F.lit("full_text").alias("source_kind"),
+        of[F.col("m.phrase")].alias("category"), about[F.col("m.phrase")].alias("description"),
+        excerpt(F.col("collapsed"), F.col("m.s"), F.col("m.e") - F.col("m.s"), 40, 120, True).alias("excerpt")
     )
 
 

@@ -115,7 +115,7 @@ def _fragments(f: Frames) -> DataFrame:
 
 
 def _obligations(f: Frames) -> DataFrame:
-    return f.obligations.select("doc_id", *_long("section_ord", "frag_idx"), "collapsed", "marker")
+    return f.obligations.select("doc_id", *_long("section_ord", "frag_idx"), "collapsed", "marker", *_long("marker_start", "marker_end"))
 
 
 def _signals(f: Frames) -> DataFrame:
@@ -144,7 +144,7 @@ def _measurement_units(f: Frames) -> DataFrame:
 
 
 def _vague(f: Frames) -> DataFrame:
-    return spans.vague_findings(f.texts).select("doc_id", *_long("start_pos", "end_pos"), "phrase", "category", "excerpt")
+    return spans.vague_findings(f.texts).select("doc_id", *_long("start_pos", "end_pos"), "phrase", "category", "description", "excerpt")
 
 
 def _vague_by_category(f: Frames) -> DataFrame:
@@ -164,7 +164,8 @@ def _references(kind: str) -> dict[str, Query]:
     return {
         f"{kind}_references": _on(lambda f: of(f.lines).groupBy("doc_id", "role", "label").agg(F.count("*").alias("n"))),
         f"{kind}_summary": _on(lambda f: references.label_summary(of(f.lines)).drop("place")),
-        f"{kind}_gaps": _on(lambda f: references.number_gaps(of(f.lines))),
+        f"{kind}_gaps": _on(lambda f: references.number_gaps(of(f.lines)).select("doc_id", F.col("missing").cast("long").alias("missing"))),
+        f"{kind}_gap_ranges": _on(lambda f: references.number_gap_ranges(of(f.lines)).select("doc_id", *_long("first_missing", "last_missing"))),
     }
 
 
@@ -174,7 +175,7 @@ def _exact(f: Frames) -> DataFrame:
 
 
 def _near_words(f: Frames) -> DataFrame:
-    return duplicates.near_pairs(f.frags).select("doc_id", F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"), F.round("jaccard", 6).alias("jaccard"))
+    return duplicates.near_pairs(f.arrays).select("doc_id", F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"), F.round("jaccard", 6).alias("jaccard"))
 
 
 # -- issues and reports
@@ -202,6 +203,11 @@ def _report_by_check(f: Frames) -> DataFrame:
     return r.select("doc_id", F.array_join(F.transform(F.map_entries(F.coalesce("by_check", F.create_map().cast("map<string,bigint>"))), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), "|").alias("by_check"))
 
 
+def _report_groups(f: Frames) -> DataFrame:
+    g = issues.groups(issues.build_issues(f))
+    return g.select("doc_id", "grouping", "value", F.array_join(F.transform("issue_ords", lambda x: x.cast("string")), "|").alias("issue_ords"))
+
+
 def _filtered(f: Frames) -> DataFrame:
     return issues.filter_issues(issues.build_issues(f), "figure_references_check", "warning").groupBy("doc_id").agg(F.count("*").alias("n"))
 
@@ -210,14 +216,46 @@ def _csv(f: Frames) -> DataFrame:
     return exports.csv_rows(issues.build_issues(f)).select("doc_id", *_long("line_no"), "line")
 
 
+def _csv_files(f: Frames) -> DataFrame:
+    return exports.csv_documents(issues.build_issues(f))
+
+
 def _payload(f: Frames) -> DataFrame:
     built = cut(issues.build_issues(f))
     return exports.payloads(issues.report(f.docs, built), built)
 
 
-def _report_files(f: Frames) -> DataFrame:
+def _payload_conclusions(f: Frames) -> DataFrame:
+    return _payload(f).select("doc_id", exports.conclusion_of(F.col("payload")).alias("conclusion"), F.size(exports.issues_of(F.col("payload"))).cast("long").alias("issues"))
+
+
+def _payload_fragments(f: Frames) -> DataFrame:
+    rows = _payload(f).select("doc_id", F.posexplode(exports.issues_of(F.col("payload"))).alias("i", "issue"))
+    field = lambda name: F.get_json_object("issue", f"$.{name}").alias(name)
+    return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("issue_ord"), field("check_key"), field("severity"), field("message"), exports.fragment_text_of(F.col("issue")).alias("fragment_text"))
+
+
+def _report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report files of all documents, read again: their names and each paragraph."""
+    f = Frames.of(corpus(spark, sf_dir), materialize=True)
     built = cut(issues.build_issues(f))
-    return exports.report_files(issues.report(f.docs, built), built).select("doc_id", F.length("content").cast("long").alias("n_bytes"))
+    named = delivered_once(table(spark, sf_dir, "uploads"), ["doc_id"]).select("doc_id", "filename")
+    made = exports.report_files(issues.report(f.docs, built), built, named)
+    read = made.withColumn("x", files.extract(F.lit(".docx"), "content"))
+    return read.select("doc_id", "filename", F.posexplode("x.blocks").alias("idx", "text")).select("doc_id", "filename", *_long("idx"), "text")
+
+
+def docx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paragraphs of word-processing files made of the DOCX extractions, as they are read from the files."""
+    t = delivered_once(table(spark, sf_dir, "docx_extraction").where("paragraphs IS NOT NULL"), ["doc_id"])
+    read = t.select("doc_id", files.extract(F.lit(".docx"), exports.office_file("paragraphs")).alias("x"))
+    return read.select("doc_id", F.posexplode("x.blocks").alias("idx", "text")).select("doc_id", *_long("idx"), "text")
+
+
+def dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The header that offers each upload's report."""
+    names = F.concat(exports.file_stem(F.col("filename")), F.lit("-report.docx"))
+    return delivered_once(table(spark, sf_dir, "uploads"), ["doc_id"]).select("doc_id", exports.content_disposition(names).alias("header"))
 
 
 QUERIES: dict[str, Query] = {
@@ -234,7 +272,7 @@ QUERIES: dict[str, Query] = {
     "required_missing": _on(_required_missing),
     "section_order": _on(_order),
     "structure_completeness": _on(_completeness),
-    "presence": _on(lambda f: checks.presence(f.docs, f.secs)),
+    "presence": _on(lambda f: checks.presence(f.texts, f.secs)),
     "fragments": _on(_fragments),
     "obligations": _on(_obligations),
     "signals": _on(_signals),
@@ -252,15 +290,21 @@ QUERIES: dict[str, Query] = {
     "appendix_letter_gaps": _on(lambda f: references.letter_gaps(references.appendix_references(f.lines))),
     "duplicates_exact": _on(_exact),
     "duplicates_near_words": _on(_near_words),
-    "duplicates_near": _on(lambda f: duplicates.near_duplicates(f.frags)),
+    "duplicates_near": _on(lambda f: duplicates.near_duplicates(f.arrays)),
     "issues": _on(_issues, materialize=True),
     "issues_by_check": _on(_issues_by_check, materialize=True),
     "issues_grouping_sets": _on(_grouping_sets, materialize=True),
     "issue_facets": _on(lambda f: issues.facets(issues.build_issues(f)), materialize=True),
     "issues_filtered": _on(_filtered, materialize=True),
     "report": _on(_report, materialize=True),
+    "report_groups": _on(_report_groups, materialize=True),
     "report_by_check": _on(_report_by_check, materialize=True),
     "csv_rows": _on(_csv, materialize=True),
+    "csv_files": _on(_csv_files, materialize=True),
     "payloads": _on(_payload, materialize=True),
-    "report_files": _on(_report_files, materialize=True),
+    "payload_conclusions": _on(_payload_conclusions, materialize=True),
+    "payload_fragments": _on(_payload_fragments, materialize=True),
+    "report_files": _report_texts,
+    "docx_files": docx_files,
+    "dispositions": dispositions,
 }

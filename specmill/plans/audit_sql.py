@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from specmill.functions.text import whitespace
 from specmill.operators.corpus import CORPUS_SQL
+from specmill.operators.references import PLAIN_DIGITS, WIDE_DIGITS
 from specmill.rules import patterns as P
 from specmill.rules.tables import (
     ALPHABET,
     CONCLUSIONS,
+    FACET_LABELS,
+    FACET_OTHER,
+    FACET_UNSET,
     FIGURE,
     GLOSSARY,
     HEADING_FRAGMENT,
@@ -23,10 +27,13 @@ from specmill.rules.tables import (
     RATES,
     RECOMMENDATION_PREFIXES,
     RECOMMENDATIONS,
+    REPORT_TEXTS,
     REQUIRED_SECTIONS,
+    SEVERITY_LABELS,
     TABLE,
     THRESHOLDS,
     UNIT_REASONS,
+    VAGUE_DESCRIPTIONS,
     VAGUE_PHRASES,
 )
 from specmill.sinks.exports import CHECK_LABELS
@@ -140,7 +147,8 @@ _add(
 )
 _add(
     "oblig", ["frags"],
-    f"SELECT *, regexp_extract(collapsed, {q(P.OBLIGATION)}, 1) AS marker, lower(frag) AS low FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, collapsed ORDER BY section_ord NULLS FIRST, frag_idx) AS rn FROM frags WHERE NOT is_heading AND is_obligation) WHERE rn = 1",
+    "SELECT * REPLACE (CASE WHEN length(frag) = length(collapsed) THEN substring(frag, marker_start + 1, length(marker)) ELSE marker END AS marker), marker_start + length(marker) AS marker_end FROM ("
+    f"SELECT *, regexp_extract(collapsed, {q(P.OBLIGATION)}, 1) AS marker, length(regexp_extract(collapsed, {q('(?s)^(.*?' + P.OBLIGATION_BEFORE + ')' + P.OBLIGATION_WORD)}, 1)) AS marker_start, lower(frag) AS low FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, collapsed ORDER BY section_ord NULLS FIRST, frag_idx) AS rn FROM frags WHERE NOT is_heading AND is_obligation) WHERE rn = 1)",
 )
 
 
@@ -206,24 +214,29 @@ def _spans(name: str, rows: list[tuple[str, str]]) -> None:
 
 _spans("vague", [("v", p) for ps in VAGUE_PHRASES.values() for p in ps])
 _spans("term", [(k, a) for k, c, o in GLOSSARY if o for a in (c, *o)])
+_description = "CASE phrase " + " ".join(f"WHEN {q(p)} THEN {q(d)}" for p, d in VAGUE_DESCRIPTIONS.items()) + " END"
 _category = "CASE phrase " + " ".join(f"WHEN {q(p)} THEN {q(c)}" for c, ps in VAGUE_PHRASES.items() for p in ps) + " END"
 _add(
     "vague", ["vague_hits"],
-    f"SELECT doc_id, s::BIGINT AS start_pos, (s + length(phrase))::BIGINT AS end_pos, phrase, {_category} AS category, CASE WHEN s > 40 THEN '... ' ELSE '' END || "
+    f"SELECT doc_id, s::BIGINT AS start_pos, (s + length(phrase))::BIGINT AS end_pos, phrase, {_category} AS category, {_description} AS description, CASE WHEN s > 40 THEN '... ' ELSE '' END || "
     "trim(substring(collapsed, (greatest(s - 40, 0) + 1)::BIGINT, (least(s + length(phrase) + 120, length(collapsed)) - greatest(s - 40, 0))::BIGINT)) || CASE WHEN s + length(phrase) + 120 < length(collapsed) THEN ' ...' ELSE '' END AS excerpt FROM vague_hits",
 )
 _add("terms", ["term_hits"], "SELECT doc_id, grp AS term_key, phrase AS alias, count(*) AS n, min(s)::BIGINT AS first_pos FROM term_hits GROUP BY ALL")
 _add("mixed", ["terms"], "SELECT doc_id, term_key, array_to_string(list_sort(list(alias)), ', ') AS used_variants, sum(n)::BIGINT AS total FROM terms GROUP BY ALL HAVING count(*) >= 2")
 
 
+def _number(x: str) -> str:
+    return f"CASE WHEN ltrim(translate({x}, {q(WIDE_DIGITS)}, {q(PLAIN_DIGITS)}), '0') = '' THEN '0' ELSE ltrim(translate({x}, {q(WIDE_DIGITS)}, {q(PLAIN_DIGITS)}), '0') END"
+
+
 def _numbered_refs(name: str, words: tuple[list[str], list[str]]) -> None:
     mentions, captions = "|".join(words[0]), "|".join(words[1])
     _add(f"{name}_lines", ["lines"], f"SELECT doc_id, block_index, line_index, lower({strip('line')}) AS low FROM lines WHERE contains(lower(line), {q(words[1][0][:3])})")
     _add(f"{name}_roles", [f"{name}_lines"], f"SELECT *, regexp_extract(low, '^(?:{captions}){WS}*(\\p{{Nd}}+)', 1) AS declared FROM {name}_lines")
     _add(
         f"{name}_refs", [f"{name}_roles"],
-        f"SELECT doc_id, 'declaration' AS role, try_cast(declared AS BIGINT)::VARCHAR AS label FROM {name}_roles WHERE declared <> '' AND try_cast(declared AS BIGINT) IS NOT NULL UNION ALL "
-        f"SELECT doc_id, 'mention', try_cast(label AS BIGINT)::VARCHAR FROM (SELECT doc_id, unnest(regexp_extract_all(low, '(?:^|[^а-яёa-z0-9])(?:{mentions}){WS}*(\\p{{Nd}}+)', 1)) AS label FROM {name}_roles WHERE declared = '') WHERE try_cast(label AS BIGINT) IS NOT NULL",
+        f"SELECT doc_id, 'declaration' AS role, {_number('declared')} AS label FROM {name}_roles WHERE declared <> '' UNION ALL "
+        f"SELECT doc_id, 'mention', {_number('label')} FROM (SELECT doc_id, unnest(regexp_extract_all(low, '(?:^|[^а-яёa-z0-9])(?:{mentions}){WS}*(\\p{{Nd}}+)', 1)) AS label FROM {name}_roles WHERE declared = '')",
     )
 
 
@@ -293,7 +306,7 @@ def _ref_issues(kind: str, noun: str, declared: str, caption: str, twice: str, p
 
 
 _ISSUES = [
-    _issue("vague", "'vague_wording_check'", "'vague_wording.dictionary_phrase'", "recommendation", "'Обнаружена неконкретная формулировка: «' || phrase || '».'", "excerpt"),
+    _issue("vague", "'vague_wording_check'", "'vague_wording.dictionary_phrase'", "recommendation", "description", "excerpt"),
     _issue("sig", "'unverifiable_requirements_check'", "'unverifiable.obligation_without_metrics'", "warning", "'формулировка требования без измеримых критериев'", "frag", "section_title", "frag_idx", "NOT verifiable"),
     _issue("missing_sections", "'required_sections_check'", "'required_sections.missing.' || section_key", "warning", "'Отсутствует обязательный раздел: «' || rule_title || '».'"),
     _issue("violations", "'section_order_check'", "'section_order.violation'", "warning", "'Нарушен ожидаемый порядок разделов: после «' || expected_title || '» ожидался фрагмент структуры, фактически обнаружен раздел «' || found_title || '».'"),
@@ -366,6 +379,31 @@ _STEM1 = f"CASE WHEN regexp_matches(b, '(?s)^.+\\.[^.]*$') THEN regexp_replace(b
 _CLEAN = f"regexp_replace({_STEM1}, '[\\x00-\\x1f<>:\"/\\\\|?*]+', '_', 'g')"
 _RESERVED = f"regexp_replace({_CLEAN}, '^((?i)(?:CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9]))(\\.|$)', '_\\1\\2')"
 
+# what XML can't hold is left out, as it is in the files
+_PLAIN_XML = "regexp_replace(regexp_replace(replace(coalesce(p, ''), chr(13) || chr(10), chr(10)), '\\r', chr(10), 'g'), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x{fffe}\\x{ffff}]', '', 'g')"
+_add(
+    "csv_lines", ["issues"],
+    "SELECT doc_id, 0::BIGINT AS line_no, 'index,severity,check_key,issue_code,message,section_title,fragment_text,recommendation,category' AS line FROM (SELECT DISTINCT doc_id FROM issues) UNION ALL SELECT doc_id, issue_ord, array_to_string(list_transform("
+    "[issue_ord::VARCHAR, severity, check_key, issue_code, message, coalesce(section_title, ''), coalesce(fragment_text, ''), coalesce(recommendation, ''), coalesce(CASE check_key " + " ".join(f"WHEN {q(k)} THEN {q(t)}" for k, t in CHECK_LABELS.items()) + " END, '')], "
+    "lambda c: CASE WHEN regexp_matches(c, '[\",\\r\\n]') THEN '\"' || replace(c, '\"', '\"\"') || '\"' ELSE c END), ',') FROM issues",
+)
+
+
+_SEVERITY = "CASE severity " + " ".join(f"WHEN {q(k)} THEN {q(t)}" for k, t in SEVERITY_LABELS.items()) + " END"
+_CHECK = "CASE check_key " + " ".join(f"WHEN {q(k)} THEN {q(t)}" for k, t in CHECK_LABELS.items()) + " ELSE check_key END"
+_LABELLED = ", ".join(
+    f"CASE WHEN nullif(trim({x}), '') IS NOT NULL THEN {q(REPORT_TEXTS[k] + ' ')} || {strip(x)} END"
+    for k, x in (("severity", _SEVERITY), ("check_key", _CHECK), ("message", "message"), ("section_title", "section_title"), ("fragment_text", "fragment_text"), ("recommendation", "recommendation"))
+)
+_heading, _count = REPORT_TEXTS["issue"].replace("{}", ""), REPORT_TEXTS["count"].replace("{}", "")
+_add(
+    "report_lines", ["report", "issues"],
+    "SELECT doc_id, unnest(range(len(ls))) AS idx, unnest(ls) AS text FROM (SELECT r.doc_id, list_concat("
+    f"[{q(REPORT_TEXTS['title'])}, {q(REPORT_TEXTS['file'] + ' ')} || coalesce(nullif({strip('u.filename')}, ''), '—'), r.conclusion, {q(_count)} || r.total_issues::VARCHAR, {q(REPORT_TEXTS['list'])}], "
+    f"coalesce(i.ls, [{q(REPORT_TEXTS['none'])}])) AS ls FROM report r LEFT JOIN (SELECT DISTINCT doc_id, filename FROM uploads) u ON u.doc_id = r.doc_id LEFT JOIN (SELECT doc_id, flatten(list(x ORDER BY issue_ord)) AS ls FROM ("
+    f"SELECT doc_id, issue_ord, list_filter([{q(_heading)} || issue_ord::VARCHAR, {_LABELLED}], lambda x: x IS NOT NULL) AS x FROM issues) GROUP BY 1) i ON i.doc_id = r.doc_id)",
+)
+
 SQL: dict[str, str] = {
     "upload_kinds": f"SELECT DISTINCT doc_id, {_NAME} AS client_name, CASE WHEN {_EXT} IN ('.docx', '.pdf') THEN {_EXT} WHEN {_EXT} = '' THEN CASE {_KIND} WHEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' THEN '.docx' WHEN 'application/pdf' THEN '.pdf' WHEN 'application/x-pdf' THEN '.pdf' END END AS suffix FROM uploads",
     "export_stems": f"SELECT doc_id, coalesce(nullif(left({strip(_RESERVED)}, 120), ''), 'document') AS stem FROM (SELECT DISTINCT doc_id, {_STEM0} AS b FROM uploads)",
@@ -385,7 +423,7 @@ SQL: dict[str, str] = {
     ),
     "presence": sql("SELECT * FROM presence", "presence"),
     "fragments": sql("SELECT doc_id, section_ord, frag_idx, frag, is_heading, is_obligation FROM frags", "frags"),
-    "obligations": sql("SELECT doc_id, section_ord, frag_idx, collapsed, marker FROM oblig", "oblig"),
+    "obligations": sql("SELECT doc_id, section_ord, frag_idx, collapsed, marker, marker_start, marker_end FROM oblig", "oblig"),
     "signals": sql("SELECT doc_id, collapsed, number, percent, time, unit, compact, letter, threshold, rate, span, comparison, acceptance, linked, verifiable, tags FROM sig", "sig"),
     "unverifiable": sql("SELECT doc_id, section_title, frag_idx, frag, marker FROM sig WHERE NOT verifiable", "sig"),
     "numerical": sql("SELECT doc_id, count(*) AS items, count(*) FILTER (tags <> '') AS numeric_items, count(*) FILTER (tags <> '') > 0 AS has_numeric_findings FROM sig GROUP BY 1", "sig"),
@@ -396,6 +434,7 @@ SQL: dict[str, str] = {
     "mixed_terms": sql("SELECT * FROM mixed", "mixed"),
     **{f"{k}_references": sql(f"SELECT doc_id, role, label, count(*) AS n FROM {k}_refs GROUP BY ALL", f"{k}_refs") for k in ("figure", "table", "appendix")},
     **{f"{k}_summary": sql(f"SELECT * FROM {k}_summary", f"{k}_summary") for k in ("figure", "table", "appendix")},
+    **{f"{k}_gap_ranges": sql(f"SELECT doc_id, v + 1 AS first_missing, nxt - 1 AS last_missing FROM (SELECT doc_id, v, lead(v) OVER (PARTITION BY doc_id ORDER BY v) AS nxt FROM {k}_numbers) WHERE nxt > v + 1", f"{k}_numbers") for k in ("figure", "table", "appendix")},
     **{f"{k}_gaps": sql(f"SELECT * FROM {k}_gaps", f"{k}_gaps") for k in ("figure", "table", "appendix")},
     "appendix_letter_gaps": sql("SELECT * FROM letter_gaps", "letter_gaps"),
     "duplicates_exact": sql("SELECT doc_id, key, occurrences, text, fragment_indexes FROM exact", "exact"),
@@ -403,13 +442,28 @@ SQL: dict[str, str] = {
     "issues": sql("SELECT doc_id, issue_ord, check_key, issue_code, severity, message, fragment_text, section_title, fragment_index, recommendation FROM issues", "issues"),
     "issues_by_check": sql("SELECT check_key, issue_code, severity, recommendation, count(*) AS n, count(DISTINCT doc_id) AS docs FROM issues GROUP BY ALL", "issues"),
     "issues_grouping_sets": sql("SELECT check_key, severity, count(*) AS n FROM issues GROUP BY GROUPING SETS ((check_key), (severity), ())", "issues"),
-    "issue_facets": sql("SELECT 'check_key' AS facet, check_key AS value, count(*) AS n FROM issues GROUP BY 2 UNION ALL SELECT 'severity', severity, count(*) FROM issues GROUP BY 2", "issues"),
+    "issue_facets": sql(
+        "SELECT facet, value, n, coalesce(known, other || CASE WHEN sum(CASE WHEN known IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY facet) > 1 THEN ' №' || (sum(CASE WHEN known IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY facet ORDER BY value))::BIGINT::VARCHAR ELSE '' END) AS label FROM ("
+        + " UNION ALL ".join(
+            f"SELECT {q(f)} AS facet, {f} AS value, count(*) AS n, CASE {f} " + " ".join(f"WHEN {q(k)} THEN {q(t)}" for k, t in FACET_LABELS[f].items()) + f" WHEN '' THEN {q(FACET_UNSET[f])} END AS known, {q(FACET_OTHER[f])} AS other FROM issues GROUP BY 2"
+            for f in FACET_LABELS
+        )
+        + ")",
+        "issues",
+    ),
+    "report_groups": sql(
+        "SELECT doc_id, 'by_severity' AS grouping, severity AS value, string_agg(issue_ord::VARCHAR, '|' ORDER BY issue_ord) AS issue_ords FROM issues GROUP BY 1, 3 UNION ALL SELECT doc_id, 'by_check', check_key, string_agg(issue_ord::VARCHAR, '|' ORDER BY issue_ord) FROM issues GROUP BY 1, 3", "issues",
+    ),
     "issues_filtered": sql("SELECT doc_id, count(*) AS n FROM issues WHERE check_key = 'figure_references_check' AND severity = 'warning' GROUP BY 1", "issues"),
     "report": sql("SELECT * FROM report", "report"),
     "report_by_check": sql("SELECT d.doc_id, coalesce(x.by_check, '') AS by_check FROM corpus d LEFT JOIN (SELECT doc_id, string_agg(check_key || '=' || n::VARCHAR, '|' ORDER BY check_key) AS by_check FROM (SELECT doc_id, check_key, count(*) AS n FROM issues GROUP BY ALL) GROUP BY 1) x ON x.doc_id = d.doc_id", "corpus", "issues"),
-    "csv_rows": sql(
-        "SELECT doc_id, 0::BIGINT AS line_no, 'index,severity,check_key,issue_code,message,section_title,fragment_text,recommendation,category' AS line FROM (SELECT DISTINCT doc_id FROM issues) UNION ALL SELECT doc_id, issue_ord, array_to_string(list_transform("
-        "[issue_ord::VARCHAR, severity, check_key, issue_code, message, coalesce(section_title, ''), coalesce(fragment_text, ''), coalesce(recommendation, ''), coalesce(CASE check_key " + " ".join(f"WHEN {q(k)} THEN {q(t)}" for k, t in CHECK_LABELS.items()) + " END, '')], "
-        "lambda c: CASE WHEN regexp_matches(c, '[\",\\r\\n]') THEN '\"' || replace(c, '\"', '\"\"') || '\"' ELSE c END), ',') FROM issues", "issues",
+    "csv_rows": sql("SELECT * FROM csv_lines", "csv_lines"),
+    "csv_files": sql("SELECT doc_id, chr(65279) || string_agg(line, chr(13) || chr(10) ORDER BY line_no) || chr(13) || chr(10) AS content FROM csv_lines GROUP BY 1", "csv_lines"),
+    "payload_conclusions": sql("SELECT doc_id, conclusion, total_issues AS issues FROM report", "report"),
+    "payload_fragments": sql("SELECT doc_id, issue_ord, check_key, severity, message, fragment_text FROM issues", "issues"),
+    "docx_files": f"SELECT doc_id, unnest(range(len(x))) AS idx, unnest(list_transform(x, lambda p: {strip(_PLAIN_XML)})) AS text FROM {_once('docx_extraction', 'paragraphs')}",
+    "dispositions": f"SELECT doc_id, 'attachment; filename=\"' || regexp_replace(regexp_replace(n, '[^\\x00-\\x7f]', '_', 'g'), '[\"\\\\?]', '_', 'g') || '\"; filename*=UTF-8' || chr(39) || chr(39) || url_encode(n) AS header FROM (SELECT doc_id, coalesce(nullif(left({strip(_RESERVED)}, 120), ''), 'document') || '-report.docx' AS n FROM (SELECT DISTINCT doc_id, {_STEM0} AS b FROM uploads))",
+    "report_files": sql(
+        f"SELECT r.doc_id, coalesce(nullif(left({strip(_RESERVED)}, 120), ''), 'document') || '-report.docx' AS filename, r.idx, r.text FROM report_lines r JOIN (SELECT c.doc_id, {_STEM0} AS b FROM corpus c LEFT JOIN (SELECT DISTINCT doc_id, filename FROM uploads) u ON u.doc_id = c.doc_id) n ON n.doc_id = r.doc_id", "report_lines", "corpus",
     ),
 }

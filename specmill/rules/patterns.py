@@ -28,7 +28,9 @@ def re2(pattern: str) -> str:
 
 _NUMBER = r"<D>(?:<D>|<S>|[,.])*<S>*"
 # Signals of quantity in a requirement.
-OBLIGATION = "(?:^|[^0-9a-zа-яё_])(" + "|".join(OBLIGATIONS) + ")(?:[^0-9a-zа-яё_]|$)"
+OBLIGATION_BEFORE = "(?:^|[^0-9a-zа-яё_])"
+OBLIGATION_WORD = "(?:" + "|".join(OBLIGATIONS) + ")(?:[^0-9a-zа-яё_]|$)"
+OBLIGATION = OBLIGATION_BEFORE + "(" + "|".join(OBLIGATIONS) + ")(?:[^0-9a-zа-яё_]|$)"
 TIME = _NUMBER + r"(?:мсек|мс<_W>|сек(?:унд|унды|унд)?|сек\.|с\.<_W>|мин(?:ут)?|мин\.|час(?:а|ов)?|ч\.|дн(?:ей|я)?|дн\.|недел(?:и|ь|ю|ями)?|месяц(?:а|ев)?|лет|год(?:а|у|ов)?)"
 UNIT = _NUMBER + r"(?:%|проц|с\.<_W>|гц|мгц|кг|мг|г<_W>|км/ч|км<_W>|мм<_W>|см<_W>|м[²³]?<_W>|градус|°<S>*[cсfф]<_W>|бит|байт|кб<_W>|мб<_W>|гб<_W>|тб<_W>|мбит<S>*/<S>*с|мегабит<S>*/<S>*с|вт<_W>|ма<_W>|ом<_W>|рпс|tps|qps)"
 COMPACT = r"<D>+(?:[,.]<D>+)?(?:мсек|мс|сек(?:унд|унды|унд)?|сек\.|с\.|мин(?:ут)?|мин\.|ч(?:ас(?:а|ов)?)?|ч\.|гб|мб|кб|тб|гц|мгц|кг|мг|мм|см|км|км/ч|мбит/с|мегабит/с|%|°[cс]|°<S>*[cс])<_A>"

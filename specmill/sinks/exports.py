@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -12,9 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from specmill.functions.text import strip
-from specmill.rules.tables import SEVERITY_LABELS
+from specmill.rules.tables import REPORT_TEXTS, SEVERITIES, SEVERITY_LABELS
 
+# Fixed value: the columns of the CSV export.
 CSV_COLUMNS = ["index", "severity", "check_key", "issue_code", "message", "section_title", "fragment_text", "recommendation", "category"]
+# Fixed value: names that a system reserves.
+RESERVED = "CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9]"
 # Labels of the checks.
 CHECK_LABELS = {
     "vague_wording_check": "Неконкретные формулировки",
@@ -33,7 +37,7 @@ def file_stem(name: Column) -> Column:
     base = F.substring_index(F.coalesce(F.nullif(strip(name), F.lit("")), F.lit("document")), "/", -1)
     stem = F.when(base.rlike(r"(?s)^.+\.[^.]*$"), F.regexp_replace(base, r"\.[^.]*$", "")).otherwise(base)
     clean = F.regexp_replace(stem, r'[\x00-\x1f<>:"/\\|?*]+', "_")
-    clean = strip(F.regexp_replace(clean, r"^(?i)(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])(?=\.|$)", "_$1"))
+    clean = strip(F.regexp_replace(clean, rf"^(?i)({RESERVED})(?=\.|$)", "_$1"))
     return F.coalesce(F.nullif(F.left(clean, F.lit(120)), F.lit("")), F.lit("document"))
 
 
@@ -41,7 +45,9 @@ def content_disposition(filename: Column) -> Column:
     """The header value that offers a file for download, with an ASCII name and the name in UTF-8."""
     ascii_name = F.regexp_replace(F.regexp_replace(filename, r"[^\x00-\x7f]", "_"), r'["\\?]', "_")
     ascii_name = F.when(F.trim(ascii_name) == "", "report.docx").otherwise(ascii_name)
-    encoded = F.regexp_replace(F.url_encode(filename), r"\+", "%20")
+    encoded = F.url_encode(filename)  # of a form: three characters differ from those of a path
+    for a, b in ((r"\+", "%20"), (r"\*", "%2A"), ("%7E", "~")):
+        encoded = F.regexp_replace(encoded, a, b)
     return F.concat(F.lit('attachment; filename="'), ascii_name, F.lit("\"; filename*=UTF-8''"), encoded)
 
 
@@ -62,11 +68,20 @@ def csv_documents(issues: DataFrame) -> DataFrame:
 
 
 def payloads(reports: DataFrame, issues: DataFrame) -> DataFrame:
-    """doc_id, payload: the report and issues of each document as JSON; absent values are left out."""
+    """doc_id, payload: the report, its groups and the issues of each document as JSON; absent values are left out.
+
+    A group lists the numbers of its issues."""
     fields = [c for c in issues.columns if c != "doc_id"]
     listed = issues.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("issue_ord", *[c for c in fields if c != "issue_ord"]))).alias("issues"))
-    both = reports.join(listed, "doc_id", "left")
-    return both.select("doc_id", F.to_json(F.struct(F.struct(*[c for c in reports.columns if c != "doc_id"]).alias("summary"), F.coalesce("issues", F.array()).alias("issues")), {"pretty": "true"}).alias("payload"))
+    by = lambda c, empty: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(empty))
+    ords = lambda k, v: F.transform(F.filter("issues", lambda x: by(x[k], "unspecified" if k == "severity" else "unknown") == v), lambda x: x["issue_ord"])
+    names = lambda k, empty: F.array_sort(F.array_distinct(F.transform("issues", lambda x: by(x[k], empty))))
+    of_severity = F.map_from_arrays(F.array(*map(F.lit, [*SEVERITIES, "unspecified"])), F.array(*[ords("severity", v) for v in [*SEVERITIES, "unspecified"]]))
+    of_check = F.map_from_arrays(names("check_key", "unknown"), F.transform(names("check_key", "unknown"), lambda v: ords("check_key", v)))
+    none = F.array().cast(listed.schema["issues"].dataType)
+    both = reports.join(listed, "doc_id", "left").withColumn("issues", F.coalesce("issues", none))
+    summary = F.struct(*[c for c in reports.columns if c != "doc_id"])
+    return both.select("doc_id", F.to_json(F.struct(summary.alias("summary"), F.struct(of_severity.alias("by_severity"), of_check.alias("by_check")).alias("groups"), F.col("issues")), {"pretty": "true"}).alias("payload"))
 
 
 def conclusion_of(payload: Column) -> Column:
@@ -85,9 +100,19 @@ def fragment_text_of(payload: Column) -> Column:
     return F.coalesce(*[F.nullif(F.trim(F.get_json_object(payload, p)), F.lit("")) for p in paths])
 
 
-def office_document(paragraphs: list[tuple[str, str]]) -> bytes:
-    """A word-processing file of (style, text) paragraphs, made with the standard library only."""
-    body = "".join(f'<w:p><w:pPr><w:pStyle w:val="{escape(s)}"/></w:pPr><w:r><w:t xml:space="preserve">{escape(t)}</w:t></w:r></w:p>' for s, t in paragraphs)
+_NOT_XML = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
+
+
+def _run(text: str, bold: bool = False) -> str:
+    """A run of text: tabs and line breaks as elements, without characters that XML can't hold."""
+    parts = re.split("(\t|\n)", _NOT_XML.sub("", text.replace("\r\n", "\n").replace("\r", "\n")))
+    inner = "".join("<w:tab/>" if x == "\t" else "<w:br/>" if x == "\n" else f'<w:t xml:space="preserve">{escape(x)}</w:t>' for x in parts if x)
+    return f"<w:r>{'<w:rPr><w:b/></w:rPr>' if bold else ''}{inner}</w:r>"
+
+
+def office_document(paragraphs: list[tuple[str, str] | tuple[str, str, str]]) -> bytes:
+    """A word-processing file of (style, text) and (style, bold label, text) paragraphs, made with the standard library only."""
+    body = "".join(f'<w:p><w:pPr><w:pStyle w:val="{escape(p[0])}"/></w:pPr>{_run(p[1] + " ", True) if len(p) > 2 else ""}{_run(p[-1])}</w:p>' for p in paragraphs)
     files = {
         "[Content_Types].xml": '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>',
         "_rels/.rels": '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>',
@@ -101,21 +126,37 @@ def office_document(paragraphs: list[tuple[str, str]]) -> bytes:
 
 
 @F.pandas_udf(T.BinaryType())
-def _report_file(conclusion: pd.Series, issues: pd.Series) -> pd.Series:
-    def one(c: str, rows: list) -> bytes:
-        parts = [("Title", "Отчёт о проверке документа"), ("Normal", c or ""), ("Normal", f"Замечаний: {len(rows)}")]
-        for r in rows:
-            parts.append(("Heading2", f"{r['issue_ord']}. {r['message']}"))
-            parts += [("Normal", f"{label}: {r[k]}") for k, label in (("severity", "Важность"), ("check_key", "Проверка"), ("fragment_text", "Фрагмент"), ("section_title", "Раздел"), ("recommendation", "Рекомендация")) if r[k]]
-        return office_document(parts)
+def office_file(paragraphs: pd.Series) -> pd.Series:
+    """A word-processing file of an array of paragraphs; null ones are empty."""
+    return pd.Series([None if ps is None else office_document([("Normal", x or "") for x in ps]) for ps in paragraphs])
+
+
+def report_paragraphs(filename: str | None, conclusion: str | None, issues: list) -> list[tuple]:
+    """The paragraphs of a document's report: what has no value is left out."""
+    t, filled = REPORT_TEXTS, lambda x: x.strip() if x and x.strip() else None
+    out: list[tuple] = [("Heading1", t["title"]), ("Normal", t["file"], filled(filename) or "—"), ("Normal", filled(conclusion) or t["no_conclusion"]), ("Normal", t["count"].format(len(issues))), ("Heading2", t["list"])]
+    if not issues:
+        out.append(("Normal", t["none"]))
+    for i, r in enumerate(issues, 1):
+        out.append(("Heading3", t["issue"].format(i)))
+        labels = {"severity": SEVERITY_LABELS, "check_key": CHECK_LABELS}
+        for k in ("severity", "check_key", "message", "section_title", "fragment_text", "recommendation"):
+            if x := filled(r[k]):
+                out.append(("Normal", t[k], labels.get(k, {}).get(x, x)))
+    return out
+
+
+@F.pandas_udf(T.BinaryType())
+def _report_file(filename: pd.Series, conclusion: pd.Series, issues: pd.Series) -> pd.Series:
+    return pd.Series([office_document(report_paragraphs(f, c, list(r))) for f, c, r in zip(filename, conclusion, issues)])
 
-    return pd.Series([one(c, list(r)) for c, r in zip(conclusion, issues)])
 
+def report_files(reports: DataFrame, issues: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """doc_id, filename, content: a word-processing file with the conclusion and the issues of each document.
 
-def report_files(reports: DataFrame, issues: DataFrame) -> DataFrame:
-    """doc_id, content: a word-processing file with the conclusion and the issues of each document."""
-    severity = F.coalesce(F.create_map(*[F.lit(x) for kv in SEVERITY_LABELS.items() for x in kv])[F.col("severity")], F.col("severity"))
-    row = F.struct("issue_ord", "message", severity.alias("severity"), F.coalesce(F.create_map(*[F.lit(x) for kv in CHECK_LABELS.items() for x in kv])[F.col("check_key")], F.col("check_key")).alias("check_key"), "fragment_text", "section_title", "recommendation")
+    names: doc_id and filename of the documents' files, one row each; the report is named after it."""
+    row = F.struct("issue_ord", "message", "severity", "check_key", "fragment_text", "section_title", "recommendation")
     listed = issues.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("issues"))
-    empty = F.array().cast("array<struct<issue_ord:int,message:string,severity:string,check_key:string,fragment_text:string,section_title:string,recommendation:string>>")
-    return reports.join(listed, "doc_id", "left").select("doc_id", _report_file("conclusion", F.coalesce("issues", empty)).alias("content"))
+    both = reports.join(listed, "doc_id", "left").withColumn("issues", F.coalesce("issues", F.array().cast(listed.schema["issues"].dataType)))
+    both = both.withColumn("__name", F.lit(None).cast("string")) if names is None else both.join(names.select("doc_id", F.col("filename").alias("__name")), "doc_id", "left")
+    return both.select("doc_id", F.concat(file_stem(F.col("__name")), F.lit("-report.docx")).alias("filename"), _report_file("__name", "conclusion", "issues").alias("content"))

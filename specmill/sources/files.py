@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from specmill.functions.text import join_blocks, normalize_text, page_cleanup, strip
+from specmill.sources import pdf
 
 # Content types of the kinds.
 CONTENT_TYPES = {
@@ -36,40 +38,77 @@ def upload_suffix(filename: Column, content_type: Column) -> Column:
     return F.when(extension.isin(".docx", ".pdf"), extension).when(extension == "", by_type)
 
 
+# The messages of files that can't be read.
+ERRORS = {
+    ".docx": {"empty": "Файл пуст.", "invalid": "Файл не является корректным документом DOCX.", "unreadable": "Не удалось прочитать файл DOCX."},
+    ".pdf": {"empty": "Empty file.", "invalid": "Not a valid PDF document.", "unreadable": "Could not extract text from PDF.", "encrypted": "Encrypted PDF cannot be read without a password."},
+}
+TOO_LARGE = "File too large."
+
+
+def _run_text(run: ElementTree.Element) -> str:
+    """The text of a run's own elements; what floats beside the text, as a text box does, is none of it."""
+    out = []
+    for node in run:
+        if node.tag == f"{_W}t":
+            out.append(node.text or "")
+        elif node.tag in (f"{_W}tab", f"{_W}ptab"):
+            out.append("\t")
+        elif node.tag == f"{_W}cr" or node.tag == f"{_W}br" and node.get(f"{_W}type", "textWrapping") == "textWrapping":
+            out.append("\n")
+        elif node.tag == f"{_W}noBreakHyphen":
+            out.append("-")
+    return "".join(out)
+
+
 def docx_blocks(content: bytes | None) -> tuple[list[str] | None, str | None]:
     """The stripped body paragraphs of a word-processing file, empty ones kept; or an error."""
+    errors = ERRORS[".docx"]
     if not content:
-        return None, "empty file"
+        return None, errors["empty"]
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             root = ElementTree.fromstring(z.read("word/document.xml"))
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, OSError):
-        return None, "not a word-processing file"
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+        return None, errors["invalid"]
+    except (OSError, zlib.error, NotImplementedError, RuntimeError):
+        return None, errors["unreadable"]
     body = root.find(f"{_W}body")
     out = []
     for p in body.findall(f"{_W}p") if body is not None else []:
-        parts = []
-        for node in p.iter():
-            parts.append(node.text or "" if node.tag == f"{_W}t" else "\t" if node.tag == f"{_W}tab" else "\n" if node.tag in (f"{_W}br", f"{_W}cr") else "")
-        out.append("".join(parts).strip())
+        runs = [r for child in p for r in ([child] if child.tag == f"{_W}r" else child.findall(f"{_W}r") if child.tag == f"{_W}hyperlink" else [])]
+        out.append("".join(map(_run_text, runs)).strip())
     return out, None
 
 
 def pdf_blocks(content: bytes | None) -> tuple[list[str] | None, str | None]:
-    """The text of each page, where a PDF reader is installed; or an error."""
+    """The text of each page; or an error. A PDF library is used where one is installed, else the reader of
+    specmill.sources.pdf."""
+    errors = ERRORS[".pdf"]
     if not content:
-        return None, "empty file"
+        return None, errors["empty"]
     try:
         from pypdf import PdfReader
     except ImportError:
-        return None, "no PDF reader installed"
+        try:
+            return pdf.page_texts(content), None
+        except pdf.EncryptedPdf:
+            return None, errors["encrypted"]
+        except pdf.InvalidPdf:
+            return None, errors["invalid"]
+        except Exception:  # noqa: BLE001 - one bad file never fails the others
+            return None, errors["unreadable"]
     try:
         reader = PdfReader(io.BytesIO(content), strict=False)
         if reader.is_encrypted and not reader.decrypt(""):
-            return None, "encrypted file"
-        return [page.extract_text() or "" for page in reader.pages], None
-    except Exception as e:  # noqa: BLE001 - any failure of a page fails the document
-        return None, f"unreadable file: {type(e).__name__}"
+            return None, errors["encrypted"]
+        pages = list(reader.pages)
+    except Exception:  # noqa: BLE001
+        return None, errors["invalid"]
+    try:
+        return [page.extract_text() or "" for page in pages], None
+    except Exception:  # noqa: BLE001 - any failure of a page fails the document
+        return None, errors["unreadable"]
 
 
 @F.pandas_udf(EXTRACTED)
@@ -88,9 +127,12 @@ def documents_of(files: DataFrame) -> DataFrame:
 
 
 def read_folder(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
-    """The documents of the files below a folder; larger ones than max_bytes are left out, by their size alone."""
+    """The documents of the files below a folder; the contents of larger ones than max_bytes aren't read, they come out with an error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return documents_of(files.where(F.col("length") <= max_bytes) if max_bytes else files)
+    if max_bytes is None:
+        return documents_of(files)
+    large = files.where(F.col("length") > max_bytes).select("path", F.substring(upload_suffix(F.col("path"), F.lit(None).cast("string")), 2, 4).alias("kind"), F.lit(None).cast("array<string>").alias("blocks"), F.lit(TOO_LARGE).alias("error"))
+    return documents_of(files.where(F.col("length") <= max_bytes)).unionByName(large)
 
 
 def unify(docx: DataFrame, pdf: DataFrame) -> DataFrame:
