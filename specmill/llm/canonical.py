@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from specmill.functions.lookalikes import BLANKS, GREEK, GREEK_TO_LATIN, INVISIBLE, LATIN, LATIN_TO_CYRILLIC, TO_CYRILLIC, TO_LATIN
+from specmill.functions.text import exploded
 from specmill.session import broadcast_if_small, cut
 
 WIDE = "".join(chr(c) for c in (*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B)))
@@ -69,7 +70,7 @@ def _repaired(word: pd.Series) -> pd.Series:
 
 def words_of(texts: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """keys and word: the distinct blank-separated words of every text."""
-    return texts.select(*keys, F.explode(F.array_distinct(F.split(F.col(text), SEPARATOR))).alias("word")).where("word != ''")
+    return texts.select(*keys, exploded(F.array_distinct(F.split(F.col(text), SEPARATOR))).alias("word")).where("word != ''")
 
 
 def alphabet(word: Column) -> Column:
@@ -114,7 +115,7 @@ def canonical_texts(texts: DataFrame, keys: Sequence[str], text: str, max_broadc
     """keys, text and canonical of every text: its words replaced by the canonical members of
     their classes, and runs of blanks by one. A null text stays null."""
     once = texts.select(*keys, F.col(text).alias("text")).dropDuplicates(list(keys))
-    words = once.select(*keys, F.posexplode(F.split("text", SEPARATOR)).alias("pos", "word")).where("word != ''")
+    words = once.select(*keys, F.posexplode_outer(F.split("text", SEPARATOR)).alias("pos", "word")).where("word != ''")
     known = canonical_words(words, "word").where(F.col("word") != F.col("canonical")).select("word", "canonical")
     spelled = words.join(broadcast_if_small(cut(known), max_broadcast_rows), "word", "left")
     joined = spelled.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("canonical", "word").alias("w")))).alias("ws"))

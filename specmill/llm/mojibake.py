@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from specmill.functions.text import exploded
 from specmill.session import broadcast_if_small, cut
 
 # Chains of (encoded as, read as); a double chain is applied twice.
@@ -102,13 +103,13 @@ def _parts(word: Column) -> Column:
 
 def tokens_of(texts: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """keys and token: the distinct words of each text that hold a character beyond ASCII, and their parts."""
-    words = texts.select(*keys, F.explode(F.array_distinct(F.split(F.col(text), _BREAKS))).alias("word")).where(F.col("word").rlike(r"[^\x00-\x7f]"))
-    return words.select(*keys, F.explode(_parts(F.col("word"))).alias("token")).where("token != ''")
+    words = texts.select(*keys, exploded(F.array_distinct(F.split(F.col(text), _BREAKS))).alias("word")).where(F.col("word").rlike(r"[^\x00-\x7f]"))
+    return words.select(*keys, exploded(_parts(F.col("word"))).alias("token")).where("token != ''")
 
 
 def _lines(texts: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """keys and line: the distinct lines of each text that hold a character beyond ASCII."""
-    return texts.select(*keys, F.explode(F.array_distinct(F.split(F.col(text), "\n"))).alias("line")).where(F.col("line").rlike(r"[^\x00-\x7f]"))
+    return texts.select(*keys, exploded(F.array_distinct(F.split(F.col(text), "\n"))).alias("line")).where(F.col("line").rlike(r"[^\x00-\x7f]"))
 
 
 def counted_tokens(texts: DataFrame, text: str) -> DataFrame:
@@ -119,10 +120,10 @@ def counted_tokens(texts: DataFrame, text: str) -> DataFrame:
     lines = _lines(texts, [], text).distinct().select(F.split("line", _BREAKS).alias("ws"))
     edge = F.array(F.lit(""))
     spread = F.arrays_zip(F.concat(edge, "ws").alias("before"), F.col("ws").alias("word"), F.concat(F.slice("ws", 2, F.size("ws")), edge).alias("after"))
-    words = lines.select(F.explode(spread).alias("x")).select("x.*").where(F.col("word").rlike(r"[^\x00-\x7f]"))
+    words = lines.select(exploded(spread).alias("x")).select("x.*").where(F.col("word").rlike(r"[^\x00-\x7f]"))
     words = words.groupBy("word", F.xxhash64("before", "after").alias("around")).agg(F.count("*").alias("n"))
     words = words.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("near"))
-    return words.select(F.explode(_parts(F.col("word"))).alias("token"), "n", "near").where("token != ''").groupBy("token").agg(F.sum("n").alias("n"), F.sum("near").alias("near"))
+    return words.select(exploded(_parts(F.col("word"))).alias("token"), "n", "near").where("token != ''").groupBy("token").agg(F.sum("n").alias("n"), F.sum("near").alias("near"))
 
 
 def garbled_words(texts: DataFrame, text: str, ratio: float = LEAST_RATIO) -> tuple[DataFrame, DataFrame]:
@@ -159,9 +160,9 @@ def verified_in_lines(texts: DataFrame, keys: Sequence[str], text: str, undecide
     chain, and together these originals have ratio times as many pairs of neighbours (the product over the words)."""
     undecided = cut(undecided)
     likely = broadcast_if_small(cut(undecided.where("score >= 0").select("token").distinct()), max_broadcast_rows)
-    words = _lines(texts, keys, text).select(*keys, "line", F.explode(F.array_distinct(F.split("line", _BREAKS))).alias("token")).where(F.col("token").rlike(r"[^\x00-\x7f]"))
+    words = _lines(texts, keys, text).select(*keys, "line", exploded(F.array_distinct(F.split("line", _BREAKS))).alias("token")).where(F.col("token").rlike(r"[^\x00-\x7f]"))
     lines = words.join(likely, "token", "left_semi").groupBy(*keys, "line").agg(F.count("*").alias("n")).where("n >= 2").select(*keys, "line")
-    again = lines.select(*keys, "line", F.explode(F.array_distinct(F.split("line", _BREAKS))).alias("token"))
+    again = lines.select(*keys, "line", exploded(F.array_distinct(F.split("line", _BREAKS))).alias("token"))
     found = again.join(broadcast_if_small(undecided, max_broadcast_rows), "token")
     same = found.groupBy(*keys, "line", "chain").agg(F.sum("score").alias("sum"), F.count_distinct("token").alias("n"), F.collect_set(F.struct("token", "original")).alias("all"))
     sure = same.where((F.col("sum") >= F.log(F.lit(ratio))) & (F.col("n") >= 2)).select(*keys, "chain", F.explode("all").alias("x"))

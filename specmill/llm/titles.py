@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from specmill.functions.lookalikes import LATIN, TO_CYRILLIC, plain
+from specmill.functions.text import exploded
 from specmill.session import broadcast_if_small, cut
 
 MAX_EDITS = 2
@@ -177,7 +178,7 @@ def match_titles(values: DataFrame, value: str, reference: DataFrame, key: str,
     row; a value without letters is unmatched; an empty reference leaves all unmatched; other
     columns are ignored. Every distinct token is compared once, by a hash join."""
     distinct = values.select(F.col(value).alias("value")).where(F.regexp_replace("value", BLANK, "") != "").distinct()
-    titles = cut(distinct.withColumn("tokens", F.explode(_readings("value"))).withColumn("typed", F.array_join("tokens", " ")))
+    titles = cut(distinct.withColumn("tokens", exploded(_readings("value"))).withColumn("typed", F.array_join("tokens", " ")))
     words = cut(reference_wordings(reference, key, title, aliases))
 
     tokens = titles.select("typed", "tokens").dropDuplicates(["typed"]).select("typed", F.posexplode("tokens").alias("pos", "token"))
