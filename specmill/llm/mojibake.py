@@ -34,6 +34,9 @@ _SHAPED = [i for i, c in enumerate(CHAINS) if c[-1][0] == "utf-8"]
 LEAST_RATIO = 2.0
 _BREAKS = r"[\x00-\x40\x5b-\x60\x7b-\x7f]+"
 _UNSPACED = r"[฀-໿က-႟ក-៿⺀-鿿豈-﫿＀-￯　-ヿ]"
+#: Question marks in place of words: a run of at least four, or one of two with another behind it, that no word precedes.
+#: As a form such a run is that of every word of its length, so it only tells loss. Three by themselves may be meant.
+_LOST, LOST_TOKEN = r"(?:^|[\s(«\[])(?:\?{4,}|\?{2,}[ ,.;:-]+\?)", "??"
 _NOT_CLEAN = r"[\u0080-\u009f ­─-▟�-⌠⌡∙√≈≤≥]"
 
 
@@ -102,8 +105,11 @@ def _parts(word: Column) -> Column:
 
 
 def tokens_of(texts: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
-    """keys and token: the distinct words of each text that hold a character beyond ASCII, and their parts."""
-    words = texts.select(*keys, exploded(F.array_distinct(F.split(F.col(text), _BREAKS))).alias("word")).where(F.col("word").rlike(r"[^\x00-\x7f]"))
+    """keys and token: the distinct words of each text that hold a character beyond ASCII, and their parts; LOST_TOKEN for
+    question marks in place of words."""
+    lost = F.when(F.col(text).rlike(_LOST), F.array(F.lit(LOST_TOKEN))).otherwise(F.array().cast("array<string>"))
+    words = texts.select(*keys, exploded(F.array_distinct(F.concat(F.split(F.col(text), _BREAKS), lost))).alias("word"))
+    words = words.where(F.col("word").rlike(r"[^\x00-\x7f]") | (F.col("word") == LOST_TOKEN))
     return words.select(*keys, exploded(_parts(F.col("word"))).alias("token")).where("token != ''")
 
 
@@ -133,8 +139,8 @@ def garbled_words(texts: DataFrame, text: str, ratio: float = LEAST_RATIO) -> tu
     have a shape of their own, of any; through single bytes, which only exchange letters, of one with at least
     as many pairs of neighbours, and ratio times as many of these or of occurrences in distinct lines, in any case
     of letters. Forms that look like plain words of the language need four
-    letters. Among several originals the most frequent wins, then the smaller. Words with the
-    replacement character are garbled beyond repair: their original is null.
+    letters; in lower case they count only together with others of their line. Among several originals the most frequent wins, then the smaller. Words with the
+    replacement character, and question marks in place of words, are garbled beyond repair: their original is null.
 
     open: token, original, chain, score of the single-byte forms that their own counts leave open, for verified_in_lines();
     the score is the logarithm of how many times as many pairs of neighbours the original has."""
@@ -145,14 +151,16 @@ def garbled_words(texts: DataFrame, text: str, ratio: float = LEAST_RATIO) -> tu
     forms = clean.mapInPandas(_forms, "token string, original string, support bigint, near bigint, chain int")
     plain = F.col("token").rlike(r"^[А-Яа-яЁё]+$") | F.col("token").rlike(r"^[A-Za-z]*[A-Za-zÀ-ÿ][A-Za-z]*$")
     hits = supported.select("token", F.col("support").alias("own"), F.col("near").alias("own_near")).join(forms, "token")
-    hits = hits.where(F.when(plain, (F.length("token") >= 4) & ~F.col("token").rlike("^[a-zа-яё]+$")).otherwise(F.length("original") >= 2) | F.col("original").rlike(_UNSPACED))
+    hits = hits.where(F.when(plain, F.length("token") >= 4).otherwise(F.length("original") >= 2) | F.col("original").rlike(_UNSPACED))
     verified = F.col("chain").isin(*_SHAPED) | (F.col("near") >= F.col("own_near")) & ((F.col("near") >= ratio * F.col("own_near")) | (F.col("support") >= ratio * F.col("own")))
-    hits = cut(hits.withColumn("verified", verified))
+    alone = ~(plain & F.col("token").rlike("^[a-zа-яё]+$"))
+    hits = cut(hits.withColumn("verified", verified & alone))
     best = hits.where("verified").groupBy("token").agg(F.min_by(F.struct("original", "chain"), F.struct(-F.col("support"), F.col("original"), F.col("chain"))).alias("best"))
     best = best.select("token", "best.original", "best.chain")
     undecided = hits.where("not verified").select("token", "original", "chain", F.log(F.col("near") / F.col("own_near")).alias("score")).join(best.select("token"), "token", "left_anti")
     lost = counted.where(F.col("token").contains("�")).select("token", F.lit(None).cast("string").alias("original"), F.lit(None).cast("int").alias("chain"))
-    return best.unionByName(lost), undecided
+    marks = texts.sparkSession.createDataFrame([(LOST_TOKEN,)], "token string").select("token", F.lit(None).cast("string").alias("original"), F.lit(None).cast("int").alias("chain"))
+    return best.unionByName(lost).unionByName(marks), undecided
 
 
 def verified_in_lines(texts: DataFrame, keys: Sequence[str], text: str, undecided: DataFrame, max_broadcast_rows: int, ratio: float = LEAST_RATIO) -> DataFrame:

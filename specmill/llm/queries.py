@@ -23,8 +23,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The headings that stand for no entry, with the number of sections that have them."""
+    sections = table(spark, sf_dir, "structure").select("doc_id", "section_ord", "title").dropDuplicates(["doc_id", "section_ord"])
+    counted = sections.groupBy("title").agg(F.count("*").alias("sections"))  # counted before the join, so that no heading is hot
     unmatched = _title_matches(spark, sf_dir).where(F.col("entry") == titles.UNMATCHED).select(F.col("value").alias("title"))
-    return table(spark, sf_dir, "structure").join(unmatched, "title").groupBy("title").agg(F.countDistinct("doc_id", "section_ord").alias("sections"))
+    return counted.join(unmatched, "title").select("title", "sections")
 
 
 def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -212,7 +212,16 @@ def match_titles(values: DataFrame, value: str, reference: DataFrame, key: str,
     )
 
 
-def assign_titles(rows: DataFrame, keys: Sequence[str], value: str, matches: DataFrame) -> DataFrame:
-    """keys and entry of every row with a value that is neither null nor blank."""
+def assign_titles(rows: DataFrame, keys: Sequence[str], value: str, matches: DataFrame, max_broadcast_rows: int = 300_000, salts: int = 16) -> DataFrame:
+    """keys and entry of every row with a value that is neither null nor blank.
+
+    A value may be that of very many rows: the matches are broadcast where they are small; else the rows of each value are
+    spread over salts, with a copy of its match for each."""
     typed = rows.select(*keys, F.col(value).alias("value")).dropDuplicates(list(keys))
-    return typed.join(matches.select("value", "entry"), "value").select(*keys, "entry")
+    known = cut(matches.select("value", "entry"))
+    small = broadcast_if_small(known, max_broadcast_rows)
+    if small is not known:
+        return typed.join(small, "value").select(*keys, "entry")
+    spread = typed.withColumn("__salt", F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int"))
+    copies = known.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return spread.join(copies, ["value", "__salt"]).select(*keys, "entry")

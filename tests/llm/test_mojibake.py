@@ -45,3 +45,10 @@ def test_words_of_a_line_decide_together(spark):
     odd = [(100 + i, garbled(line(i % 12, 4 + i // 12), chain)) for i in range(24)]
     rows = spark.createDataFrame(clean + odd, "id long, t string")
     assert sorted(r["id"] for r in affected(rows, ["id"], "t").collect()) == [r[0] for r in odd]
+
+
+def test_words_lost_to_question_marks(spark):
+    texts = ["Узел готов???", "Что?! Кто?? Да", "Датчик ???????? ?????. Далее", "?????? ????\nдалее", "(????) и", "", None, "???\nДатчик", "с ?? ????. Далее"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    assert sorted(r["id"] for r in affected(rows, ["id"], "t").collect()) == [2, 3, 4, 8]
+    assert {r["id"]: r["restored"] for r in restore(rows, ["id"], "t").collect()}[2] == texts[2]

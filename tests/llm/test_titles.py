@@ -37,3 +37,10 @@ def test_a_hot_title_and_a_long_one(spark):
     reference = spark.createDataFrame(REFERENCE, "k string, title string, aliases array<string>")
     got = assign_titles(rows, ["id"], "title", match_titles(rows, "title", reference, "k", "title", "aliases")).groupBy("entry").count().collect()
     assert {r["entry"]: r["count"] for r in got} == {"terms": 200, "unmatched": 100}
+
+
+def test_hot_titles_are_spread(spark):
+    rows = spark.createDataFrame([(i, "Введение" if i % 3 else f"раздел {i}") for i in range(60)] + [(60, None), (61, " ")], "id int, t string")
+    matches = spark.createDataFrame([("Введение", "introduction")] + [(f"раздел {i}", "unmatched") for i in range(0, 60, 3)], "value string, entry string")
+    small, salted = (assign_titles(rows, ["id"], "t", matches, max_broadcast_rows=n).collect() for n in (1000, 0))
+    assert sorted(small) == sorted(salted) and len(small) == 60 and sum(r["entry"] == "introduction" for r in small) == 40
