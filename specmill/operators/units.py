@@ -281,10 +281,11 @@ _UNITS = rf"{_UNIT_WORD}(?:\.?\s?/\s?{_UNIT_WORD})?(?:\.?\s{_UNIT_WORD}){{0,2}}"
 _VALUES = re.compile(rf"({_ONE}(?:{_JOIN}{_ONE})*)({_MULT})\s?({_UNITS})")
 _WORD_VALUES = re.compile(r"((?i:" + "|".join(sorted(NUMBER_WORDS, key=len, reverse=True)) + rf")(?:\s(?i:" + "|".join(sorted(NUMBER_WORDS, key=len, reverse=True)) + rf"))?)({_MULT})\s({_UNITS})")
 _ITEM = re.compile(rf"([-−–+]?{_NUM})({_POWER})?")
+_WHOSE = r"по\s[а-яё]{3,15}\s"  # by design, in fact, by norm: several values of one field
 _HALF = re.compile(r"\b(?:полу|пол)(часа|минуты|секунды|суток|метра|километра|тонны|килограмма|литра|вольта|ватта|киловатта)\b", re.I)
 _BEFORE = re.compile(
     r"(?:\(в\s(?P<a>[^()\d]{2,40})\)|,\s(?P<b>[^\s,()\d]{1,12}(?:/[^\s,()\d]{1,6})?|мм рт\. ст\.|°C|°F),[^:!?]{0,80}?|\sв\s(?P<c>[а-яё]{3,25}(?:\sв\sсекунду|\s(?:Цельсия|Фаренгейта)|\sртутного\sстолба)?)|\bin\s(?P<d>[a-z]{3,20}(?:\sper\ssecond)?))"
-    rf"\s?(?::|—|–)\s?(?P<rest>(?:по\sпроекту\s)?{_ONE}(?:{_JOIN}{_ONE})*(?:,\sпо\sфакту\s{_ONE})?)(?!\s?[-–—]?\d)"
+    rf"\s?(?::|—|–)\s?(?P<rest>(?:{_WHOSE})?{_ONE}(?:{_JOIN}{_ONE})*(?:,\s{_WHOSE}{_ONE})*)(?!\s?[-–—]?\d)"
 )
 _BREAK = re.compile(r"[.!?…;]\s+(?=[^\W\da-zа-яё_]|[«\"„“])|[。！？；]")
 _PARAGRAPH = re.compile(r"\n\s*\n")
@@ -415,8 +416,8 @@ def measurements(text: str) -> set[tuple[str, int]]:
                 field = field_before(m.start() + 1)
                 unit = m.group("a") or m.group("b") or m.group("c") or m.group("d")
                 if field and (found := parse_unit(unit.strip(), field)):
-                    for part in re.split(r",\sпо\sфакту\s", m.group("rest")):
-                        out.update(to_base(v, *found) for v in _numbers(part.replace("по проекту ", ""), latin))
+                    for part in re.split(rf",\s(?={_WHOSE})", m.group("rest")):
+                        out.update(to_base(v, *found) for v in _numbers(re.sub(rf"^{_WHOSE}", "", part), latin))
     return out
 
 
@@ -439,7 +440,7 @@ _MAY_HOLD = rf"\p{{Nd}}|{NOT_PLAIN}|(?iu)(?:пол|{'|'.join(sorted(NUMBER_WORDS
 def extract_measurements(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     """keys, quantity, base_value of every measured value in a text column.
 
-    One row per distinct value of a text. A null or empty text has no rows; other columns of
+    One row per distinct value of a text; one beyond 64 bits comes out with a null base_value. A null or empty text has no rows; other columns of
     the frame are ignored, so their names can't clash; repeated rows give repeated results.
     A narrow operator: it needs no shuffle, and texts without a digit or number word aren't
     sent to Python."""
@@ -452,10 +453,9 @@ def extract_measurements(df: DataFrame, text: str, keys: Sequence[str]) -> DataF
             rows, quantities, values = [], [], []
             for i, t in enumerate(batch.column("t").to_pylist()):
                 for quantity, value in sorted(measurements(t)):
-                    if -(2**63) <= value < 2**63:
-                        rows.append(i)
-                        quantities.append(quantity)
-                        values.append(value)
+                    rows.append(i)
+                    quantities.append(quantity)
+                    values.append(value if -(2**63) <= value < 2**63 else None)
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i).take(at) for i in range(len(keys))] + [pa.array(quantities, pa.string()), pa.array(values, pa.int64())],

@@ -59,3 +59,9 @@ def test_number_words_alone_reach_python(spark):
     got = {(r["id"], r["quantity"], r["base_value"]) for r in extract_measurements(rows, "t", ["id"]).collect()}
     assert got == {(i, q, v) for i, t in enumerate(texts) for q, v in measurements(t)}
     assert {i for i, _, _ in got} == {0, 1, 2, 3, 4}
+
+
+def test_values_beyond_64_bits_stay_and_several_values_of_a_field(spark):
+    rows = spark.createDataFrame([(1, "Масса груза 99999999999999999 т")], "id int, t string")
+    assert [tuple(r) for r in extract_measurements(rows, "t", ["id"]).collect()] == [(1, "mass", None)]
+    assert measurements("Длина кабеля в миллиметрах: по проекту 467, по факту 470, по норме 480") == {("length", 467_000), ("length", 470_000), ("length", 480_000)}
