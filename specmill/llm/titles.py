@@ -185,8 +185,9 @@ def match_titles(values: DataFrame, value: str, reference: DataFrame, key: str,
     tokens = tokens.where(~F.regexp_replace("token", r"\.$", "").isin(*STOP))
     vocabulary = broadcast_if_small(cut(words.select("word").distinct().mapInPandas(_word_variants, "word string, variant string")), max_broadcast_rows)
     pairs = tokens.select("token").distinct().mapInPandas(_variants, "token string, variant string").join(vocabulary, "variant").select("token", "word").distinct()
-    # spread over the tasks, as there are few of them in bytes; written once, as four frames below read it
-    spread = pairs.repartition(pairs.sparkSession.sparkContext.defaultParallelism, "token", "word")
+    # spread over the tasks, as there are few of them in bytes, by a hash of its own, as the planner drops a shuffle by
+    # the columns that the rows are shuffled by already; written once, as four frames below read it
+    spread = pairs.repartition(pairs.sparkSession.sparkContext.defaultParallelism, F.xxhash64("token", "word"))
     repaired = cut(spread.withColumn("sim", _similarity("token", "word")).where("sim > 0"))
 
     # a token weighs as the rarest word it can stand for, an unknown one as most of the rarest word there is
