@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -134,37 +135,43 @@ def build_issues(f: Frames) -> DataFrame:
     found = checks.sections_found(f.secs, f.required)
     c = F.col
     vague = F.coalesce(F.nullif(F.trim("description"), F.lit("")), said(VAGUE_MESSAGE, "phrase"))
-    out = [
+    of = lambda k: F.create_map(*[F.lit(x) for n, m in PRESENCE_MESSAGES.items() for x in (n, m[k])])[c("check_key")]
+    wording = [
         issue(spans.vague_findings(f.texts), "vague_wording_check", F.concat(F.lit("vague_wording."), c("match_type")), "recommendation", vague, c("excerpt"), metadata=["phrase", "category", "match_type", "source_kind", "description"]),
+        issue(spans.mixed_terms(spans.term_counts(f.texts)), "terminology_consistency_check", F.concat(F.lit("terminology.mixed_variants."), c("term_key")), "recommendation", F.lit(MIXED_TERMS_MESSAGE), metadata=["term_key", "used_variants", "total"]),
+    ]
+    obliged = [
         issue(f.obligations.where("NOT verifiable"), "unverifiable_requirements_check", F.lit("unverifiable.obligation_without_metrics"), "warning", F.lit(UNVERIFIABLE_MESSAGE), c("frag"), c("section_title"), c("frag_idx"), ["marker"]),
-        issue(checks.sections_missing(f.docs, found, f.required), "required_sections_check", F.concat(F.lit("required_sections.missing."), c("section_key")), "warning", said(SECTION_MISSING_MESSAGE, "rule_title"), metadata=["section_key", "rule_title"]),
-        issue(checks.order_violations(found), "section_order_check", F.lit("section_order.violation"), "warning", said(SECTION_ORDER_MESSAGE, "expected_title", "found_title"), metadata=["position", "expected_key", "found_key"]),
         issue(f.obligations.where("size(tags) = 0"), "numerical_characteristics_check", F.lit("numerical.missing_in_obligation_fragment"), "recommendation", F.lit(NUMERICAL_MESSAGE), c("frag"), c("section_title"), c("frag_idx"), ["marker"]),
         issue(
             f.obligations.where("NOT linked AND (number OR has_unit)"), "measurement_units_check", F.lit("measurement.unit_linkage_review"), "recommendation",
             measurement_reason(c("linked"), c("number"), c("has_unit")), c("frag"), c("section_title"), c("frag_idx"), ["number", "has_unit", "linked", "tags"],
         ),
     ]
-    of = lambda k: F.create_map(*[F.lit(x) for n, m in PRESENCE_MESSAGES.items() for x in (n, m[k])])[c("check_key")]
-    out.append(issue(checks.presence(f.texts, f.secs).where("NOT is_present"), c("check_key"), of(0), "warning", of(1)))
-    out += _reference_issues(references.figure_references(f.lines), "figure")
-    out += _reference_issues(references.table_references(f.lines), "table")
+    sectioned = [
+        issue(checks.sections_missing(f.docs, found, f.required), "required_sections_check", F.concat(F.lit("required_sections.missing."), c("section_key")), "warning", said(SECTION_MISSING_MESSAGE, "rule_title"), metadata=["section_key", "rule_title"]),
+        issue(checks.order_violations(found), "section_order_check", F.lit("section_order.violation"), "warning", said(SECTION_ORDER_MESSAGE, "expected_title", "found_title"), metadata=["position", "expected_key", "found_key"]),
+        issue(checks.presence(f.texts, f.secs).where("NOT is_present"), c("check_key"), of(0), "warning", of(1)),
+    ]
     appendix = references.appendix_references(f.lines)
     labels, check, m = references.label_summary(appendix), "appendix_references_check", REFERENCE_MESSAGES["appendix"]
     coded = lambda code, x: F.concat(F.lit(f"appendix.{code}."), c(x).cast("string"))
-    out += [
+    appendices = [
         issue(labels.where("state = 'missing'"), check, coded("missing_declaration", "label"), "warning", said(m["missing_declaration"], "label"), metadata=["label"], place=c("place")),
         issue(labels.where("state = 'unreferenced'"), check, coded("unreferenced", "label"), "warning", said(m["unreferenced"], "label"), metadata=["label"], place=c("place")),
         issue(labels.where("is_duplicate"), check, coded("duplicate_declaration", "label"), "warning", said(m["duplicate_declaration"], "label"), metadata=["label"]),
         issue(references.letter_gaps(appendix), check, coded("cyrillic_sequence_gap", "missing"), "recommendation", said(m["cyrillic_sequence_gap"], "missing")),
         issue(references.number_gaps(appendix), check, coded("numeric_sequence_gap", "missing"), "recommendation", said(m["numeric_sequence_gap"], "missing")),
-        issue(spans.mixed_terms(spans.term_counts(f.texts)), "terminology_consistency_check", F.concat(F.lit("terminology.mixed_variants."), c("term_key")), "recommendation", F.lit(MIXED_TERMS_MESSAGE), metadata=["term_key", "used_variants", "total"]),
+    ]
+    repeated = [
         issue(duplicates.exact_duplicates(f.frags), "duplicate_formulations_check", F.lit("duplicate.exact"), "warning", F.lit(EXACT_MESSAGE), c("text"), F.array_join("section_titles", ", "), metadata=["occurrences", "fragment_indexes", "section_titles"], fragment_indexes=c("fragment_indexes")),
         issue(duplicates.near_duplicates(f.arrays), "duplicate_formulations_check", F.lit("duplicate.near"), "warning", F.lit(NEAR_MESSAGE), F.concat_ws(" — ", "text_a", "text_b"), metadata=["similarity", "text_a", "text_b"]),
     ]
-    while len(out) > 1:  # in pairs, so that a union isn't analysed again with each further one
-        out = [a.unionByName(b[0]) if b else a for a, *b in (out[i : i + 2] for i in range(0, len(out), 2))]
-    every = out[0]
+    figures, tables = _reference_issues(references.figure_references(f.lines), "figure"), _reference_issues(references.table_references(f.lines), "table")
+    # each group of checks is written by itself: one plan of all of them is drawn up again after each of its stages, which
+    # takes more of the driver's memory than all else
+    parts = [cut(reduce(DataFrame.unionByName, group)) for group in (wording, obliged, sectioned, figures, tables, appendices, repeated)]
+    every = reduce(DataFrame.unionByName, parts)
     order = Window.partitionBy("doc_id").orderBy("check_key", "issue_code", "message", F.coalesce("fragment_text", F.lit("")), F.coalesce("fragment_index", F.lit(-1)))
     return every.withColumn("issue_ord", F.row_number().over(order)).withColumn("recommendation", recommendation(c("issue_code")))
 

@@ -277,3 +277,9 @@ def test_registry_names_match():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_issues_are_drawn_up_from_written_findings(spark):
+    d = docs(spark, ["1. Введение", "Система должна работать быстро.", "Рисунок 1 Вид", "см. рис. 3 и таблицу 2", "Приложение А Формы"])
+    plan = issues.build_issues(Frames.of(d))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Relation ") <= 7  # else one plan of all checks takes the driver's memory
