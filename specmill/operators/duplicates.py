@@ -8,11 +8,12 @@ from collections import Counter
 from collections.abc import Sequence
 from difflib import SequenceMatcher
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from specmill.functions.batches import in_pieces
 from specmill.functions.text import exploded
 from specmill.rules.tables import MIN_SHARED, MIN_TOKENS, NEAR, NEAR_RELAXED, NEAR_SEQUENCE
 
@@ -61,9 +62,10 @@ def pairs_of(collapsed: Sequence[str], keys: Sequence[str]) -> list[tuple[int, i
     return sorted(out)
 
 
-@F.pandas_udf(_PAIRS)
-def _pairs(collapsed: pd.Series, keys: pd.Series) -> pd.Series:
-    return pd.Series([[dict(zip(("i", "j", "jaccard", "sequence"), p)) for p in pairs_of(c, k)] for c, k in zip(collapsed, keys)])
+@F.arrow_udf(_PAIRS)
+def _pairs(collapsed: pa.Array, keys: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32()), ("jaccard", pa.float64()), ("sequence", pa.float64())]))
+    return in_pieces(lambda *rows: [[dict(zip(("i", "j", "jaccard", "sequence"), p)) for p in pairs_of(c, k)] for c, k in zip(*rows)], kind, collapsed, keys)
 
 
 def near_pairs(arrays: DataFrame) -> DataFrame:

@@ -7,11 +7,12 @@ import re
 import zipfile
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from specmill.functions.batches import in_pieces
 from specmill.functions.text import strip
 from specmill.rules.tables import REPORT_TEXTS, SEVERITIES, SEVERITY_LABELS
 
@@ -125,10 +126,10 @@ def office_document(paragraphs: list[tuple[str, str] | tuple[str, str, str]]) ->
     return out.getvalue()
 
 
-@F.pandas_udf(T.BinaryType())
-def office_file(paragraphs: pd.Series) -> pd.Series:
+@F.arrow_udf(T.BinaryType())
+def office_file(paragraphs: pa.Array) -> pa.Array:
     """A word-processing file of an array of paragraphs; null ones are empty."""
-    return pd.Series([None if ps is None else office_document([("Normal", x or "") for x in ps]) for ps in paragraphs])
+    return in_pieces(lambda rows: [None if ps is None else office_document([("Normal", x or "") for x in ps]) for ps in rows], pa.binary(), paragraphs)
 
 
 def report_paragraphs(filename: str | None, conclusion: str | None, issues: list) -> list[tuple]:
@@ -146,9 +147,9 @@ def report_paragraphs(filename: str | None, conclusion: str | None, issues: list
     return out
 
 
-@F.pandas_udf(T.BinaryType())
-def _report_file(filename: pd.Series, conclusion: pd.Series, issues: pd.Series) -> pd.Series:
-    return pd.Series([office_document(report_paragraphs(f, c, list(r))) for f, c, r in zip(filename, conclusion, issues)])
+@F.arrow_udf(T.BinaryType())
+def _report_file(filename: pa.Array, conclusion: pa.Array, issues: pa.Array) -> pa.Array:
+    return in_pieces(lambda *rows: [office_document(report_paragraphs(f, c, r)) for f, c, r in zip(*rows)], pa.binary(), filename, conclusion, issues)
 
 
 def report_files(reports: DataFrame, issues: DataFrame, names: DataFrame | None = None) -> DataFrame:

@@ -7,11 +7,12 @@ import zipfile
 import zlib
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from specmill.functions.batches import in_pieces
 from specmill.functions.text import join_blocks, normalize_text, page_cleanup, strip
 from specmill.sources import pdf
 
@@ -111,11 +112,12 @@ def pdf_blocks(content: bytes | None) -> tuple[list[str] | None, str | None]:
         return None, errors["unreadable"]
 
 
-@F.pandas_udf(EXTRACTED)
-def extract(suffix: pd.Series, content: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(EXTRACTED)
+def extract(suffix: pa.Array, content: pa.Array) -> pa.Array:
     """blocks and error of files by their suffix; one bad file never fails the others."""
-    rows = [docx_blocks(c) if s == ".docx" else pdf_blocks(c) if s == ".pdf" else (None, "unsupported type") for s, c in zip(suffix, content)]
-    return pd.DataFrame(rows, columns=["blocks", "error"])
+    read = lambda s, c: docx_blocks(c) if s == ".docx" else pdf_blocks(c) if s == ".pdf" else (None, "unsupported type")
+    kind = pa.struct([("blocks", pa.list_(pa.string())), ("error", pa.string())])
+    return in_pieces(lambda *rows: [dict(zip(("blocks", "error"), read(s, c))) for s, c in zip(*rows)], kind, suffix, content)
 
 
 def documents_of(files: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@ import re
 import zipfile
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from specmill.functions.batches import in_pieces
 from specmill.functions.text import collapse_casefold, normalize_text, page_cleanup
 from specmill.operators import checks, duplicates, issues, references, spans
 from specmill.operators.corpus import lines_of
@@ -283,3 +285,12 @@ def test_issues_are_drawn_up_from_written_findings(spark):
     d = docs(spark, ["1. Введение", "Система должна работать быстро.", "Рисунок 1 Вид", "см. рис. 3 и таблицу 2", "Приложение А Формы"])
     plan = issues.build_issues(Frames.of(d))._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and plan.count("Relation ") <= 7  # else one plan of all checks takes the driver's memory
+
+
+def test_files_are_made_in_pieces(spark):
+    seen = []
+    out = in_pieces(lambda a: seen.append(len(a)) or a, pa.int64(), pa.array(range(150)))
+    assert seen == [64, 64, 22] and out.to_pylist() == list(range(150)) and len(in_pieces(list, pa.int64(), pa.array([], pa.int64()))) == 0
+    d = spark.range(150).coalesce(1).select("id", F.when(F.col("id") != 70, F.array(F.col("id").cast("string"), F.lit(None))).alias("p"))
+    rows = d.select("id", files.extract(F.lit(".docx"), exports.office_file("p")).alias("x")).collect()
+    assert {r["id"]: r["x"]["blocks"] for r in rows} == {i: [str(i), ""] if i != 70 else None for i in range(150)} and [r["id"] for r in rows if r["x"]["error"]] == [70]
