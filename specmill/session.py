@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The most bytes of rows that a side of a join may have to be broadcast.
-MAX_BROADCAST_BYTES = 64 << 20
+#: The most bytes of rows that a side of a join may have to be broadcast. The driver holds several times as much for each: the
+#: rows as they are collected, the hash table of about twice their bytes, and its blocks; and several at once.
+MAX_BROADCAST_BYTES = 8 << 20
 _SCOPES: list[list[str]] = []
 
 

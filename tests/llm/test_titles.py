@@ -1,4 +1,7 @@
+from pyspark.sql import functions as F
+
 from specmill.llm.titles import assign_titles, match_titles, neighbourhood, osa, title_tokens
+from specmill.session import broadcast_if_small
 
 REFERENCE = [("terms", "Термины и сокращения", ["Словарь терминов"]), ("packaging", "Маркировка и упаковка", ["Тара и этикетки"]), ("schedule", "Календарный план работ", None)]
 
@@ -44,3 +47,9 @@ def test_hot_titles_are_spread(spark):
     matches = spark.createDataFrame([("Введение", "introduction")] + [(f"раздел {i}", "unmatched") for i in range(0, 60, 3)], "value string, entry string")
     small, salted = (assign_titles(rows, ["id"], "t", matches, max_broadcast_rows=n).collect() for n in (1000, 0))
     assert sorted(small) == sorted(salted) and len(small) == 60 and sum(r["entry"] == "introduction" for r in small) == 40
+
+
+def test_broadcast_is_bounded_for_the_driver(spark):
+    rows = spark.range(200_000).select(F.concat(F.lit("заголовок"), F.col("id").cast("string")).alias("a"), F.col("id").cast("string").alias("b"))
+    assert broadcast_if_small(rows, 1_000_000) is rows  # 8 MB and more, so the join shuffles
+    assert broadcast_if_small(few := rows.limit(100), 1_000_000) is not few
