@@ -14,7 +14,9 @@ from specmill.operators.corpus import lines_of
 from specmill.operators.fragments import fragment_arrays, fragments, matched_units, obligations, signals
 from specmill.operators.issues import Frames
 from specmill.operators.structure import sections
+from specmill.plans import audit_queries
 from specmill.rules.tables import GLOSSARY, VAGUE_PHRASES
+from specmill.session import cut
 from specmill.sinks import exports
 from specmill.sources import files, pdf
 
@@ -294,3 +296,19 @@ def test_files_are_made_in_pieces(spark):
     d = spark.range(150).coalesce(1).select("id", F.when(F.col("id") != 70, F.array(F.col("id").cast("string"), F.lit(None))).alias("p"))
     rows = d.select("id", files.extract(F.lit(".docx"), exports.office_file("p")).alias("x")).collect()
     assert {r["id"]: r["x"]["blocks"] for r in rows} == {i: [str(i), ""] if i != 70 else None for i in range(150)} and [r["id"] for r in rows if r["x"]["error"]] == [70]
+
+
+@pytest.mark.parametrize("name", ["payloads", "payload_fragments"])
+def test_no_plan_of_payloads_holds_all_checks(spark, monkeypatch, name):
+    read = []
+
+    def recorded(df):
+        read.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation "))
+        return cut(df)
+
+    monkeypatch.setattr(issues, "cut", recorded)
+    monkeypatch.setattr(audit_queries, "cut", recorded)
+    of = {"payloads": audit_queries._payload, "payload_fragments": audit_queries._payload_fragments}[name]
+    d = docs(spark, ["1. Введение", "Система должна работать быстро.", "Рисунок 1 Вид", "см. рис. 3 и таблицу 2", "Приложение А Формы"], [])
+    assert {r["doc_id"] for r in of(Frames.of(d, materialize=True)).collect()} >= {1}
+    assert max(read) <= 12  # frames that a plan reads: one plan of all checks takes the driver's memory
