@@ -150,7 +150,8 @@ def garbled_words(texts: DataFrame, text: str, ratio: float = LEAST_RATIO) -> tu
     clean = supported.where(~F.col("token").rlike(_NOT_CLEAN)).select(F.col("token").alias("word"), F.col("support").alias("n"), "near")
     forms = clean.mapInPandas(_forms, "token string, original string, support bigint, near bigint, chain int")
     plain = F.col("token").rlike(r"^[А-Яа-яЁё]+$") | F.col("token").rlike(r"^[A-Za-z]*[A-Za-zÀ-ÿ][A-Za-z]*$")
-    hits = supported.select("token", F.col("support").alias("own"), F.col("near").alias("own_near")).join(forms, "token")
+    # never broadcast: the planner takes the forms to be as small as the written words that they are made of
+    hits = supported.select("token", F.col("support").alias("own"), F.col("near").alias("own_near")).join(forms.hint("merge"), "token")
     hits = hits.where(F.when(plain, F.length("token") >= 4).otherwise(F.length("original") >= 2) | F.col("original").rlike(_UNSPACED))
     verified = F.col("chain").isin(*_SHAPED) | (F.col("near") >= F.col("own_near")) & ((F.col("near") >= ratio * F.col("own_near")) | (F.col("support") >= ratio * F.col("own")))
     alone = ~(plain & F.col("token").rlike("^[a-zа-яё]+$"))

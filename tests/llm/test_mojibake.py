@@ -1,6 +1,10 @@
+import re
+
 import pytest
 
+from specmill.llm import mojibake
 from specmill.llm.mojibake import CHAINS, affected, garbled, restore, ungarbled
+from specmill.session import cut
 
 WORDS = "контроль давления насосной станции принимает перечень лабораторных проб без участия оператора каждый вечер"
 
@@ -52,3 +56,11 @@ def test_words_lost_to_question_marks(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
     assert sorted(r["id"] for r in affected(rows, ["id"], "t").collect()) == [2, 3, 4, 8]
     assert {r["id"]: r["restored"] for r in restore(rows, ["id"], "t").collect()}[2] == texts[2]
+
+
+def test_forms_are_never_broadcast(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(mojibake, "cut", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or cut(df))
+    mojibake.garbled_words(spark.createDataFrame([(1, WORDS)], "id long, t string"), "t")
+    joins = [re.findall(r"\w+Join", p)[0] for p in plans if "MapInPandas" in p]  # the outermost of each plan with forms
+    assert joins == ["SortMergeJoin"]  # few words by the size of their file, but many times as many forms
