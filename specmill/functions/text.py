@@ -34,9 +34,14 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WS_CHARACTERS))
 
 
+# Runs of whitespace but single spaces, which stay. Few characters are within the three ranges at its start, and it is told there that
+# the rest aren't whitespace.
+_RUN = rf"[\t-\x20\x{{85}}-\x{{a0}}\x{{1680}}-\x{{3000}}](?:(?<={whitespace(r'\t-\r\x1c-\x1f', JAVA)}){WS}*|(?<= ){WS}+)"
+
+
 def collapse(c: Column) -> Column:
     """Runs of whitespace as one space, none at the ends."""
-    return F.trim(F.regexp_replace(c, f"{WS}+", " "))
+    return F.trim(F.regexp_replace(c, _RUN, " "))
 
 
 def casefold(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -20,7 +20,20 @@ from specmill.rules.tables import MIN_SHARED, MIN_TOKENS, NEAR, NEAR_RELAXED, NE
 
 def formulation_key(collapsed: Column) -> Column:
     """The casefolded fragment without punctuation."""
-    return F.trim(F.regexp_replace(F.regexp_replace(collapsed, r"[^\p{L}\p{N}_ ]+", " "), " +", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(collapsed, r"[^\p{L}\p{N}_ ]+", " "), " {2,}", " "))
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once; a column that a lambda uses may be computed for each element."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def recurring(arrays: DataFrame) -> DataFrame:
+    """fragment_arrays() with only the fragments whose key occurs more than once in their document, so that only these are shuffled."""
+    keys = F.transform("fragments", lambda x: F.when(~x["is_heading"], formulation_key(x["collapsed"])))
+    again = lambda ks: _let(F.array_sort(F.filter(ks, lambda k: k != "")), lambda s: F.array_distinct(F.filter(s, lambda k, i: k == F.get(s, i - 1))))
+    kept = _let(keys, lambda ks: _let(again(ks), lambda twice: F.filter("fragments", lambda x, i: F.array_contains(twice, F.get(ks, i)))))
+    return arrays.select("doc_id", kept.alias("fragments"))
 
 
 def exact_duplicates(frags: DataFrame) -> DataFrame:

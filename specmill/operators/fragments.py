@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from specmill.functions.text import WS, casefold, collapse, collapse_casefold, exploded, join_blocks
 from specmill.operators.structure import content_of, section_arrays
 from specmill.rules import patterns as P
-from specmill.rules.tables import HEADING_FRAGMENT, MIN_FRAGMENT, PRESENCE, RATES, THRESHOLDS
+from specmill.rules.tables import HEADING_FRAGMENT, MIN_FRAGMENT, OBLIGATION_ROOTS, PRESENCE, RATES, THRESHOLDS
 
 
 def split_fragments(text: Column) -> Column:
     """The sentences of a text by its closing marks, blanks collapsed, empty ones left out."""
-    return F.filter(F.split(collapse(text), r"(?<=[.!?…]) "), lambda x: x != "")
+    return F.filter(F.split(collapse(text), r" (?<=[.!?…] )"), lambda x: x != "")
 
 
 def fragment_arrays(docs: DataFrame) -> DataFrame:
@@ -21,14 +21,14 @@ def fragment_arrays(docs: DataFrame) -> DataFrame:
 
     The sentences of the sections in order; a document without any section text gives those of its full text,
     with a null section. A document never leaves its row."""
-    found = section_arrays(docs.select("doc_id", "kind", "blocks"))
+    found = docs if "sections" in docs.columns else section_arrays(docs.select("doc_id", "kind", "blocks"))
     own = F.transform("sections", lambda s: F.struct(s["section_ord"].alias("section_ord"), s["title"].alias("section_title"), content_of(s).alias("t")))
     whole = F.array(F.struct(F.lit(None).cast("int").alias("section_ord"), F.lit(None).cast("string").alias("section_title"), join_blocks(F.col("blocks"), F.col("kind")).alias("t")))
     texts = found.withColumn("__own", own).withColumn("__texts", F.when(F.exists("__own", lambda x: ~x["t"].rlike(f"^{WS}*$")), F.col("__own")).otherwise(whole))
     spelled = F.flatten(F.transform("__texts", lambda x: F.transform(split_fragments(x["t"]), lambda f, i: F.struct(x["section_ord"].alias("section_ord"), x["section_title"].alias("section_title"), i.alias("frag_idx"), f.alias("frag"), casefold(f).alias("collapsed")))))
 
     names = ("section_ord", "section_title", "frag_idx", "frag", "collapsed")
-    told = F.transform(spelled, lambda x: F.struct(*[x[c].alias(c) for c in names], x["collapsed"].rlike(P.OBLIGATION).alias("is_obligation")))
+    told = F.transform(spelled, lambda x: F.struct(*[x[c].alias(c) for c in names], (_any(x["collapsed"], OBLIGATION_ROOTS) & x["collapsed"].rlike(P.OBLIGATION)).alias("is_obligation")))
 
     def flagged(x: Column) -> Column:
         stub = (F.length(x["frag"]) < HEADING_FRAGMENT) & x["frag"].rlike(rf"^[\p{{Nd}}.]+{WS}+[^ ]") & ~x["frag"].rlike(r"[.!?…]$") & ~x["is_obligation"]

@@ -12,7 +12,7 @@ from specmill.functions.text import collapse_casefold, join_blocks
 from specmill.operators import checks, duplicates, references, spans
 from specmill.operators.corpus import lines_of
 from specmill.operators.fragments import fragment_arrays, fragments, obligations, signals
-from specmill.operators.structure import sections
+from specmill.operators.structure import section_arrays, sections
 from specmill.session import cut
 from specmill.rules.tables import (
     CONCLUSIONS,
@@ -52,10 +52,12 @@ class Frames:
 
     @classmethod
     def of(cls, docs: DataFrame, materialize: bool = False) -> Frames:
-        """materialize: write the shared frames to the checkpoint folder, where many checks read them."""
+        """materialize: write the shared frames to the checkpoint folder, where many checks read them; then sections are found
+        once, with the documents, and come without their texts."""
         keep = cut if materialize else lambda df: df
-        docs = keep(docs.withColumn("collapsed", collapse_casefold(join_blocks(F.col("blocks"), F.col("kind")))))
-        secs = keep(sections(docs))
+        docs = docs.withColumn("collapsed", collapse_casefold(join_blocks(F.col("blocks"), F.col("kind"))))
+        docs = cut(section_arrays(docs)) if materialize else docs
+        secs = cut(sections(docs).drop("content_text")) if materialize else sections(docs)
         arrays = keep(fragment_arrays(docs))  # a document a row
         frags = fragments(arrays)
         texts = docs.select("doc_id", "collapsed")
@@ -119,7 +121,8 @@ def measurement_reason(linked: Column, number: Column, unit: Column) -> Column:
 
 
 def _reference_issues(refs: DataFrame, kind: str) -> list[DataFrame]:
-    s, check, m = references.label_summary(refs), f"{kind}_references_check", REFERENCE_MESSAGES[kind]
+    refs = cut(refs)  # written once, else each kind of issue looks for them again
+    s, check, m = cut(references.label_summary(refs)), f"{kind}_references_check", REFERENCE_MESSAGES[kind]
     of = lambda code: F.lit(f"{kind}.{code}")
     return [
         issue(s.where("state = 'missing'"), check, of("missing_declaration"), "warning", said(m["missing_declaration"], "label"), metadata=["label"], place=F.col("place")),
@@ -153,8 +156,8 @@ def build_issues(f: Frames) -> DataFrame:
         issue(checks.order_violations(found), "section_order_check", F.lit("section_order.violation"), "warning", said(SECTION_ORDER_MESSAGE, "expected_title", "found_title"), metadata=["position", "expected_key", "found_key"]),
         issue(checks.presence(f.texts, f.secs).where("NOT is_present"), c("check_key"), of(0), "warning", of(1)),
     ]
-    appendix = references.appendix_references(f.lines)
-    labels, check, m = references.label_summary(appendix), "appendix_references_check", REFERENCE_MESSAGES["appendix"]
+    appendix = cut(references.appendix_references(f.lines))
+    labels, check, m = cut(references.label_summary(appendix)), "appendix_references_check", REFERENCE_MESSAGES["appendix"]
     coded = lambda code, x: F.concat(F.lit(f"appendix.{code}."), c(x).cast("string"))
     appendices = [
         issue(labels.where("state = 'missing'"), check, coded("missing_declaration", "label"), "warning", said(m["missing_declaration"], "label"), metadata=["label"], place=c("place")),
@@ -164,7 +167,7 @@ def build_issues(f: Frames) -> DataFrame:
         issue(references.number_gaps(appendix), check, coded("numeric_sequence_gap", "missing"), "recommendation", said(m["numeric_sequence_gap"], "missing")),
     ]
     repeated = [
-        issue(duplicates.exact_duplicates(f.frags), "duplicate_formulations_check", F.lit("duplicate.exact"), "warning", F.lit(EXACT_MESSAGE), c("text"), F.array_join("section_titles", ", "), metadata=["occurrences", "fragment_indexes", "section_titles"], fragment_indexes=c("fragment_indexes")),
+        issue(duplicates.exact_duplicates(fragments(duplicates.recurring(f.arrays))), "duplicate_formulations_check", F.lit("duplicate.exact"), "warning", F.lit(EXACT_MESSAGE), c("text"), F.array_join("section_titles", ", "), metadata=["occurrences", "fragment_indexes", "section_titles"], fragment_indexes=c("fragment_indexes")),
         issue(duplicates.near_duplicates(f.arrays), "duplicate_formulations_check", F.lit("duplicate.near"), "warning", F.lit(NEAR_MESSAGE), F.concat_ws(" — ", "text_a", "text_b"), metadata=["similarity", "text_a", "text_b"]),
     ]
     figures, tables = _reference_issues(references.figure_references(f.lines), "figure"), _reference_issues(references.table_references(f.lines), "table")

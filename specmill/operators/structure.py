@@ -78,7 +78,8 @@ def content_of(section: Column) -> Column:
 def sections(docs: DataFrame) -> DataFrame:
     """doc_id, section_ord, title, level, parent_ord, start_block, end_block, subtree_end, title_key, content_text.
 
-    A document without headings has no rows; parent_ord is null for roots; blocks may be empty or null."""
-    found = section_arrays(docs.select("doc_id", "blocks"))
+    A document without headings has no rows; parent_ord is null for roots; blocks may be empty or null. Sections that docs
+    have already, of section_arrays(), are taken."""
+    found = docs if "sections" in docs.columns else section_arrays(docs.select("doc_id", "blocks"))
     out = found.select("doc_id", exploded(F.transform("sections", lambda s: F.struct(s.alias("s"), content_of(s).alias("content_text")))).alias("x")).where("x IS NOT NULL")
     return out.select("doc_id", "x.s.*", "x.content_text").withColumn("title_key", title_key(F.col("title")))

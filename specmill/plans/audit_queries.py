@@ -230,9 +230,7 @@ def _payload_conclusions(f: Frames) -> DataFrame:
 
 
 def _payload_fragments(f: Frames) -> DataFrame:
-    rows = _payload(f).select("doc_id", F.posexplode(exports.issues_of(F.col("payload"))).alias("i", "issue"))
-    field = lambda name: F.get_json_object("issue", f"$.{name}").alias(name)
-    return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("issue_ord"), field("check_key"), field("severity"), field("message"), exports.fragment_text_of(F.col("issue")).alias("fragment_text"))
+    return exports.payload_fragments(_payload(f))
 
 
 def _report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

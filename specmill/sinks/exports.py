@@ -75,12 +75,14 @@ def payloads(reports: DataFrame, issues: DataFrame) -> DataFrame:
     fields = [c for c in issues.columns if c != "doc_id"]
     listed = issues.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("issue_ord", *[c for c in fields if c != "issue_ord"]))).alias("issues"))
     by = lambda c, empty: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(empty))
-    ords = lambda k, v: F.transform(F.filter("issues", lambda x: by(x[k], "unspecified" if k == "severity" else "unknown") == v), lambda x: x["issue_ord"])
-    names = lambda k, empty: F.array_sort(F.array_distinct(F.transform("issues", lambda x: by(x[k], empty))))
+    ords = lambda k, v: F.transform(F.filter("__named", lambda x: x[k] == v), lambda x: x["issue_ord"])
     of_severity = F.map_from_arrays(F.array(*map(F.lit, [*SEVERITIES, "unspecified"])), F.array(*[ords("severity", v) for v in [*SEVERITIES, "unspecified"]]))
-    of_check = F.map_from_arrays(names("check_key", "unknown"), F.transform(names("check_key", "unknown"), lambda v: ords("check_key", v)))
+    of_check = F.map_from_arrays(F.col("__checks"), F.transform("__checks", lambda v: ords("check_key", v)))
     none = F.array().cast(listed.schema["issues"].dataType)
     both = reports.join(listed, "doc_id", "left").withColumn("issues", F.coalesce("issues", none))
+    # the names of the groups of each issue, once; groups of an issue are looked up many times
+    named = F.transform("issues", lambda x: F.struct(x["issue_ord"].alias("issue_ord"), by(x["severity"], "unspecified").alias("severity"), by(x["check_key"], "unknown").alias("check_key")))
+    both = both.withColumn("__named", named).withColumn("__checks", F.array_sort(F.array_distinct(F.col("__named.check_key"))))
     summary = F.struct(*[c for c in reports.columns if c != "doc_id"])
     return both.select("doc_id", F.to_json(F.struct(summary.alias("summary"), F.struct(of_severity.alias("by_severity"), of_check.alias("by_check")).alias("groups"), F.col("issues")), {"pretty": "true"}).alias("payload"))
 
@@ -95,10 +97,23 @@ def issues_of(payload: Column) -> Column:
     return F.filter(F.from_json(listed, T.ArrayType(T.StringType())), lambda x: x.startswith("{"))
 
 
-def fragment_text_of(payload: Column) -> Column:
-    """The first text of an issue's JSON that isn't blank: its fragment, its excerpt, or those of its metadata."""
-    paths = ["$.fragment_text", "$.text_excerpt", "$.metadata.source.text_excerpt", "$.metadata.text_excerpt"]
-    return F.coalesce(*[F.nullif(F.trim(F.get_json_object(payload, p)), F.lit("")) for p in paths])
+def fragment_text_of(payload: Column, own: Column | None = None) -> Column:
+    """The first text of an issue's JSON that isn't blank: its fragment (own, where that is read already), its excerpt, or those of its metadata."""
+    paths = ["$.text_excerpt", "$.metadata.source.text_excerpt", "$.metadata.text_excerpt"]
+    read = [F.get_json_object(payload, "$.fragment_text") if own is None else own, *[F.get_json_object(payload, p) for p in paths]]
+    first, *others = [F.nullif(F.trim(x), F.lit("")) for x in read]
+    named = payload.contains("text_excerpt") | payload.contains("\\u")  # else there is nothing to look for; a name may be escaped
+    return F.coalesce(first, F.when(named, F.coalesce(*others)))
+
+
+def payload_fragments(payloads: DataFrame) -> DataFrame:
+    """doc_id, issue_ord, check_key, severity, message, fragment_text: the issues of doc_id, payload, read back.
+
+    The outer explode keeps the payload from being made and read once more for a filter below it."""
+    listed = payloads.select("doc_id", F.posexplode_outer(issues_of(F.col("payload"))).alias("i", "issue")).where("issue IS NOT NULL")
+    fields = ["check_key", "severity", "message"]
+    rows = listed.select("doc_id", (F.col("i") + 1).cast("long").alias("issue_ord"), "issue", F.json_tuple("issue", *fields, "fragment_text").alias(*fields, "own"))
+    return rows.select("doc_id", "issue_ord", *fields, fragment_text_of(F.col("issue"), F.col("own")).alias("fragment_text"))
 
 
 _NOT_XML = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
