@@ -59,3 +59,14 @@ def test_whitespace_runs_and_obligation_roots(spark):
     for text in ("a b  c\t d \u00a0e\u3000\u2003f\n\n g\u1681h", "\u00a0 a \x1c b\u0085", "  ", "a\u2010 \u2028b"):
         assert one(spark, collapse(F.lit(text))) == one(spark, F.trim(F.regexp_replace(F.lit(text), f"{WS}+", " "))), repr(text)
     assert all(any(r in w for r in OBLIGATION_ROOTS) for w in OBLIGATIONS)
+
+
+def test_group_names_of_payloads_are_made_once(spark):
+    d = docs(spark, ["a"])
+    none = F.lit(None).cast("string")
+    built = d.select("doc_id", F.lit(1).alias("issue_ord"), F.lit(" c ").alias("check_key"), none.alias("severity"), F.lit("m").alias("message"), none.alias("recommendation"))
+    made = exports.payloads(issues.report(d, built), built.where("doc_id > 0"))
+    plan = made._jdf.queryExecution().analyzed().toString()
+    plan = plan[: plan.index("Join")]
+    assert plan.count("trim(") == 2  # else the issues are trimmed for each of their groups
+    assert '"by_check" : {\n      "c" : [ 1 ]' in made.first()["payload"]
