@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,11 @@ def exploded(array: Column) -> Column:
     return F.explode_outer(array)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once; a column that a lambda uses may be computed for each element."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def strip(c: Column) -> Column:
     """Without whitespace at either end."""
     return F.btrim(c, F.lit(WS_CHARACTERS))

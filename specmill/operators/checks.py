@@ -2,22 +2,60 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from specmill.functions.text import first_line
+from specmill.operators.structure import line_key
 from specmill.rules.tables import PRESENCE, REQUIRED_SECTIONS
 
 
-def required_table(spark: SparkSession, required: list[tuple[str, list[str]]] = REQUIRED_SECTIONS) -> DataFrame:
-    """rule_ord, section_key, rule_title, title_key: one row per wording; the first section wins a wording."""
+def _norm(wording: str) -> str:
+    return " ".join(wording.split()).lower().replace("ß", "ss")
+
+
+def _required_rows(required: list[tuple[str, list[str]]]) -> list[tuple[int, str, str, str]]:
     rows, seen = [], set()
     for i, (key, wordings) in enumerate(required):
         for w in wordings:
-            norm = " ".join(w.split()).lower().replace("ß", "ss")
-            if norm not in seen:
+            if (norm := _norm(w)) not in seen:
                 seen.add(norm)
                 rows.append((i, key, wordings[0], norm))
-    return spark.createDataFrame(rows, "rule_ord int, section_key string, rule_title string, title_key string")
+    return rows
+
+
+def required_table(spark: SparkSession, required: list[tuple[str, list[str]]] = REQUIRED_SECTIONS) -> DataFrame:
+    """rule_ord, section_key, rule_title, title_key: one row per wording; the first section wins a wording."""
+    return spark.createDataFrame(_required_rows(required), "rule_ord int, section_key string, rule_title string, title_key string")
+
+
+def section_findings(docs: DataFrame, required: list[tuple[str, list[str]]] = REQUIRED_SECTIONS, rules: dict[str, tuple[list[str], list[str]]] = PRESENCE) -> DataFrame:
+    """doc_id, missing, wrong, absent of each document, from doc_id, collapsed and its sections (section_arrays()): what
+    sections_missing() and order_violations() (null where there is none) give, and the keys of the checks that presence() doesn't find.
+
+    All within a document's row: as joins and windows, they make the largest plan of the audit, drawn up again after each of its stages."""
+    wordings: dict[tuple[int, str, str], list[str]] = {}
+    for *rule, norm in _required_rows(required):
+        wordings.setdefault(tuple(rule), []).append(norm)
+    each = F.array(*[F.struct(F.lit(o).alias("rule_ord"), F.lit(k).alias("section_key"), F.lit(t).alias("rule_title"), F.array(*map(F.lit, ws)).alias("wordings")) for (o, k, t), ws in wordings.items()])
+    lines = F.transform("sections", lambda s: F.struct(s["section_ord"].alias("section_ord"), first_line(s["title"]).alias("line")))
+    titled = F.transform(lines, lambda s: F.struct(s["section_ord"].alias("section_ord"), line_key(s["line"]).alias("key")))
+    places = lambda r: F.transform(F.filter("titled", lambda t: F.array_contains(r["wordings"], t["key"])), lambda t: t["section_ord"])
+    placed = F.transform(each, lambda r: F.struct(F.array_min(places(r)).alias("first_ord"), *[r[c].alias(c) for c in ("rule_ord", "section_key", "rule_title")]))
+    rows = docs.select("doc_id", "collapsed", titled.alias("titled")).withColumn("placed", placed)
+    rows = rows.withColumn("found", F.filter("placed", lambda r: r["first_ord"].isNotNull()))  # by rule
+    rows = rows.withColumn("by_place", F.array_sort("found"))
+    at = lambda x, i: F.struct(i.alias("position"), F.get("found", i)["section_key"].alias("expected_key"), F.get("found", i)["rule_title"].alias("expected_title"), x["section_key"].alias("found_key"), x["rule_title"].alias("found_title"))
+    wrong = F.get(F.filter(F.transform("by_place", at), lambda w: w["found_key"] != w["expected_key"]), 0)
+    missing = F.transform(F.filter("placed", lambda r: r["first_ord"].isNull()), lambda r: F.struct(*[r[c].alias(c) for c in ("rule_ord", "section_key", "rule_title")]))
+    absent = []
+    for check, (headings, phrases) in rules.items():
+        named = F.exists("titled", lambda t: t["key"].isin(*map(_norm, headings)))
+        met = reduce(Column.__or__, [F.col("collapsed").contains(_norm(p)) for p in phrases], named)
+        absent.append(F.when(~F.coalesce(met, F.lit(False)), check))
+    return rows.select("doc_id", missing.alias("missing"), wrong.alias("wrong"), F.array_compact(F.array(*absent)).alias("absent"))
 
 
 def sections_found(secs: DataFrame, required: DataFrame) -> DataFrame:
@@ -73,7 +111,7 @@ def presence(texts: DataFrame, secs: DataFrame, rules: dict[str, tuple[list[str]
 
     A section title counts before a phrase of the text; the first matching section wins, then the first
     phrase in the order of the rules. One pass over the documents: phrases are literal expressions."""
-    norm = lambda w: " ".join(w.split()).lower().replace("ß", "ss")
+    norm = _norm
     firsts = []
     for check, (headings, _) in rules.items():
         names = {norm(h): h for h in reversed(headings)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from specmill.functions.batches import in_pieces
-from specmill.functions.text import exploded
+from specmill.functions.text import exploded, let
 from specmill.rules.tables import MIN_SHARED, MIN_TOKENS, NEAR, NEAR_RELAXED, NEAR_SEQUENCE
 
 
@@ -23,16 +23,20 @@ def formulation_key(collapsed: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(collapsed, r"[^\p{L}\p{N}_ ]+", " "), " {2,}", " "))
 
 
-def _let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that is computed once; a column that a lambda uses may be computed for each element."""
-    return F.get(F.transform(F.array(value), f), 0)
+def with_keys(arrays: DataFrame) -> DataFrame:
+    """fragment_arrays() with keys, the array of their fragments' keys, null for those of headings; the frames below take them if they are there."""
+    return arrays.withColumn("keys", _keys(arrays))
+
+
+def _keys(arrays: DataFrame) -> Column:
+    return F.col("keys") if "keys" in arrays.columns else F.transform("fragments", lambda x: F.when(~x["is_heading"], formulation_key(x["collapsed"])))
 
 
 def recurring(arrays: DataFrame) -> DataFrame:
     """fragment_arrays() with only the fragments whose key occurs more than once in their document, so that only these are shuffled."""
-    keys = F.transform("fragments", lambda x: F.when(~x["is_heading"], formulation_key(x["collapsed"])))
-    again = lambda ks: _let(F.array_sort(F.filter(ks, lambda k: k != "")), lambda s: F.array_distinct(F.filter(s, lambda k, i: k == F.get(s, i - 1))))
-    kept = _let(keys, lambda ks: _let(again(ks), lambda twice: F.filter("fragments", lambda x, i: F.array_contains(twice, F.get(ks, i)))))
+    keys = _keys(arrays)
+    again = lambda ks: let(F.array_sort(F.filter(ks, lambda k: k != "")), lambda s: F.array_distinct(F.filter(s, lambda k, i: k == F.get(s, i - 1))))
+    kept = let(keys, lambda ks: let(again(ks), lambda twice: F.filter("fragments", lambda x, i: F.array_contains(twice, F.get(ks, i)))))
     return arrays.select("doc_id", kept.alias("fragments"))
 
 
@@ -85,7 +89,8 @@ def near_pairs(arrays: DataFrame) -> DataFrame:
     """doc_id, text_a, text_b, key_a, key_b, jaccard, sequence of the pairs of pairs_of(), in document order.
 
     arrays are fragment_arrays(): a document's fragments are in its row, so nothing is shuffled."""
-    keyed = F.filter(F.transform("fragments", lambda x: F.struct(x["frag"].alias("frag"), x["collapsed"].alias("collapsed"), formulation_key(x["collapsed"]).alias("key"), x["is_heading"].alias("is_heading"))), lambda x: ~x["is_heading"] & (x["key"] != ""))
+    of = lambda ks: F.transform("fragments", lambda x, i: F.struct(x["frag"].alias("frag"), x["collapsed"].alias("collapsed"), F.get(ks, i).alias("key")))
+    keyed = F.filter(let(_keys(arrays), of), lambda x: x["key"] != "")
     rows = arrays.select("doc_id", keyed.alias("x"))
     found = rows.withColumn("p", exploded(_pairs("x.collapsed", "x.key"))).where("p IS NOT NULL")
     a, b = F.get("x", F.col("p.i")), F.get("x", F.col("p.j"))

@@ -47,7 +47,11 @@ def level_of(title: Column) -> Column:
 
 def title_key(title: Column) -> Column:
     """The title without its number, collapsed and casefolded, as it is compared with the rules."""
-    line = first_line(title)
+    return line_key(first_line(title))
+
+
+def line_key(line: Column) -> Column:
+    """The title_key() of a title's first line."""
     rest = F.regexp_replace(F.regexp_replace(line, r"^\p{Nd}+(?:\.\p{Nd}+)*", ""), r"^[. ]+", "")
     return casefold(collapse(F.when(is_numbered(line), rest).otherwise(line)))
 

@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from specmill.functions.text import WS, collapse
-from specmill.operators import duplicates, issues
+from specmill.operators import checks, duplicates, issues, spans
 from specmill.operators.fragments import fragment_arrays, fragments
 from specmill.operators.issues import Frames
+from specmill.operators.structure import section_arrays
 from specmill.rules.tables import OBLIGATION_ROOTS, OBLIGATIONS
 from specmill.session import cut
 from specmill.sinks import exports
@@ -70,3 +71,51 @@ def test_group_names_of_payloads_are_made_once(spark):
     plan = plan[: plan.index("Join")]
     assert plan.count("trim(") == 2  # else the issues are trimmed for each of their groups
     assert '"by_check" : {\n      "c" : [ 1 ]' in made.first()["payload"]
+
+
+def test_findings_of_sections_and_terms_stay_in_the_row(spark, monkeypatch):
+    read = []
+
+    def recorded(df):
+        read.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(issues, "cut", recorded)
+    issues.build_issues(Frames.of(docs(spark, ["1. Введение", "Система должна работать быстро."]), materialize=True))
+    for code in ("section_order.violation", "required_sections.missing", "terminology.mixed_variants", "vague_wording."):
+        (plan,) = [p for p in read if code in p]
+        assert not any(x in plan for x in ("Join", "Aggregate", "Window")), code  # else the driver draws up the largest plan again after each stage
+
+
+def test_section_findings_are_those_of_the_frames(spark):
+    d = docs(
+        spark, ["2. Область применения", "1. Введение", "НАЗНАЧЕНИЕ", "Цель документа дана ниже.", "3. Введение "], ["1. Введение", "2. Назначение", "Требования к  надёжности"], ["Список литературы", "текст", "введение"],
+        ["Критерием приёмки является акт."], [], ["1. Функциональные   требования", "4. Приложение"],
+    )
+    f = Frames.of(d)
+    found = checks.sections_found(f.secs, f.required)
+    rows = checks.section_findings(section_arrays(f.docs)).collect()
+    assert len(rows) == 6
+    flat = lambda df: sorted(map(tuple, df.collect()))
+    assert sorted((r["doc_id"], *m) for r in rows for m in r["missing"]) == flat(checks.sections_missing(f.docs, found, f.required))
+    wrong = flat(checks.order_violations(found))
+    assert sorted((r["doc_id"], *r["wrong"]) for r in rows if r["wrong"]) == wrong and len(wrong) == 2
+    absent = flat(checks.presence(f.texts, f.secs).where("NOT is_present").select("doc_id", "check_key"))
+    assert sorted((r["doc_id"], k) for r in rows for k in r["absent"]) == absent and 0 < len(absent) < 30
+
+
+def test_phrases_and_mixed_terms_in_the_row(spark):
+    texts = spark.createDataFrame(
+        [(1, "надёжность и надежность, приложение"), (2, "надёжность"), (3, "тз, техническое задание (тз) и птз"), (4, "рис. 1 и рисунок; рис_2"), (5, "")], "doc_id long, collapsed string"
+    )
+    mixed = sorted(map(tuple, spans.mixed_terms_of(texts).collect()))
+    assert mixed == sorted(map(tuple, spans.mixed_terms(spans.term_counts(texts)).collect())) and [r[0] for r in mixed] == [1, 3, 4]
+    found = spans.vague_findings(spark.createDataFrame([(1, "«аб в» аб в, в аб в аб вг % -а")], "doc_id long, collapsed string"), {"x": ["аб в", "в", "%", "-а", "аб вг"]}, {})
+    assert [(r["start_pos"], r["phrase"]) for r in found.orderBy("start_pos").collect()] == [(1, "аб в"), (7, "аб в"), (13, "в"), (15, "аб в"), (20, "аб вг"), (26, "%"), (28, "-а")]
+
+
+def test_reports_count_checks_in_one_grouping(spark):
+    built = spark.createDataFrame([(1, " b ", "warning", "r"), (1, "a", None, " "), (1, "b", "x", None), (2, " ", "critical", "r")], "doc_id long, check_key string, severity string, recommendation string")
+    out = issues.report(spark.range(1, 4).withColumnRenamed("id", "doc_id"), built)
+    assert {r["doc_id"]: (r["total_issues"], r["by_check"]) for r in out.collect()} == {1: (3, {"a": 1, "b": 2}), 2: (1, {"unknown": 1}), 3: (0, None)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
