@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from specmill.functions.lookalikes import LATIN, TO_CYRILLIC, plain
 from specmill.functions.text import exploded
-from specmill.session import broadcast_if_small, cut
+from specmill.session import broadcast_if_small, broadcast_or_merge, cut
 
 MAX_EDITS = 2
 THRESHOLD = 0.72
@@ -183,12 +183,12 @@ def match_titles(values: DataFrame, value: str, reference: DataFrame, key: str,
 
     tokens = titles.select("typed", "tokens").dropDuplicates(["typed"]).select("typed", F.posexplode("tokens").alias("pos", "token"))
     tokens = tokens.where(~F.regexp_replace("token", r"\.$", "").isin(*STOP))
-    vocabulary = broadcast_if_small(cut(words.select("word").distinct().mapInPandas(_word_variants, "word string, variant string")), max_broadcast_rows)
+    vocabulary = broadcast_or_merge(cut(words.select("word").distinct().mapInPandas(_word_variants, "word string, variant string")), max_broadcast_rows)
     pairs = tokens.select("token").distinct().mapInPandas(_variants, "token string, variant string").join(vocabulary, "variant").select("token", "word").distinct()
     # spread over the tasks, as there are few of them in bytes, by a hash of its own, as the planner drops a shuffle by
     # the columns that the rows are shuffled by already; written once, as four frames below read it
     spread = pairs.repartition(pairs.sparkSession.sparkContext.defaultParallelism, F.xxhash64("token", "word"))
-    repaired = cut(spread.withColumn("sim", _similarity("token", "word")).where("sim > 0"))
+    repaired = broadcast_or_merge(cut(spread.withColumn("sim", _similarity("token", "word")).where("sim > 0")), max_broadcast_rows)
 
     # a token weighs as the rarest word it can stand for, an unknown one as most of the rarest word there is
     weights = repaired.join(words.groupBy("word").agg(F.max("idf").alias("idf")), "word").groupBy("token").agg(F.max("idf").alias("known"))
@@ -196,7 +196,7 @@ def match_titles(values: DataFrame, value: str, reference: DataFrame, key: str,
     weighed = tokens.join(weights, "token", "left").withColumn("weight", F.coalesce("known", F.lit(unknown)))
     totals = weighed.groupBy("typed").agg(F.sum("weight").alias("total"))
 
-    hits = weighed.join(repaired, "token").join(broadcast_if_small(words, max_broadcast_rows), "word")
+    hits = weighed.join(repaired, "token").join(broadcast_or_merge(words, max_broadcast_rows), "word")
     pair = ["typed", "entry", "wording"]
     of_wording = hits.groupBy(*pair, "word").agg(F.max("sim").alias("sim"), F.max("idf").alias("idf"), F.max("word_total").alias("word_total"))
     of_wording = of_wording.groupBy(*pair).agg((F.sum(F.col("sim") * F.col("idf")) / F.max("word_total")).alias("share"))
@@ -225,4 +225,5 @@ def assign_titles(rows: DataFrame, keys: Sequence[str], value: str, matches: Dat
         return typed.join(small, "value").select(*keys, "entry")
     spread = typed.withColumn("__salt", F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int"))
     copies = known.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(copies, ["value", "__salt"]).select(*keys, "entry")
+    # never broadcast: the planner takes the copies to be as small as the file of the matches, which is compressed and has each once
+    return spread.join(copies.hint("merge"), ["value", "__salt"]).select(*keys, "entry")

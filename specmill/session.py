@@ -91,3 +91,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int, max_bytes: int = MAX_BROADC
     width = sum(texts, F.lit(16 * (len(df.columns) + 1)))
     rows, size = df.select(F.count("*"), F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()
     return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
+
+
+def broadcast_or_merge(df: DataFrame, max_rows: int, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """As broadcast_if_small, but beyond either bound the join is a merge join.
+
+    The planner takes a written frame, and what is made of it, to be as small as its compressed file, so it broadcasts
+    unmarked ones that are many times as large as its threshold."""
+    small = broadcast_if_small(df, max_rows, max_bytes)
+    return df.hint("merge") if small is df else small

@@ -1,7 +1,9 @@
+import re
+
 from pyspark.sql import functions as F
 
 from specmill.llm.titles import assign_titles, match_titles, neighbourhood, osa, title_tokens
-from specmill.session import broadcast_if_small
+from specmill.session import broadcast_if_small, cut
 
 REFERENCE = [("terms", "Термины и сокращения", ["Словарь терминов"]), ("packaging", "Маркировка и упаковка", ["Тара и этикетки"]), ("schedule", "Календарный план работ", None)]
 
@@ -53,3 +55,14 @@ def test_broadcast_is_bounded_for_the_driver(spark):
     rows = spark.range(200_000).select(F.concat(F.lit("заголовок"), F.col("id").cast("string")).alias("a"), F.col("id").cast("string").alias("b"))
     assert broadcast_if_small(rows, 1_000_000) is rows  # 8 MB and more, so the join shuffles
     assert broadcast_if_small(few := rows.limit(100), 1_000_000) is not few
+
+
+def test_matches_and_repaired_tokens_are_broadcast_only_within_the_bounds(spark):
+    rows = cut(spark.createDataFrame([(i, f"Тара и этикетки {i}") for i in range(30)], "id long, t string"))
+    reference = spark.createDataFrame(REFERENCE, "k string, title string, aliases array<string>")
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    matches = match_titles(rows, "t", reference, "k", "title", "aliases", max_broadcast_rows=0)
+    joins = re.findall(r"(\w+Join) \[(\w+)#", plan(matches))
+    assert {j for j, key in joins if key == "word"} == {"SortMergeJoin"}  # the files of repaired tokens and of words are small, not their rows
+    assert re.findall(r"(\w+Join) \[value", plan(assign_titles(rows, ["id"], "t", matches, max_broadcast_rows=0))) == ["SortMergeJoin"]
+    assert "SortMergeJoin [value" not in plan(assign_titles(rows, ["id"], "t", matches))
