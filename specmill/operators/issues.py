@@ -193,7 +193,8 @@ def report(docs: DataFrame, issues: DataFrame) -> DataFrame:
     )
     each = F.transform(F.array_sort(F.array_distinct("__checks")), lambda k: F.struct(k.alias("k"), F.size(F.filter("__checks", lambda x: x == k)).cast("long").alias("n")))
     counted = counted.withColumn("by_check", F.map_from_entries(each)).drop("__checks")
-    out = docs.select("doc_id").join(counted, "doc_id", "left").fillna(0, ["total_issues", *SEVERITIES, "unspecified", "with_recommendation"])
+    # never broadcast: the planner takes the counts to be as small as the compressed file that they are made from
+    out = docs.select("doc_id").join(counted.hint("merge"), "doc_id", "left").fillna(0, ["total_issues", *SEVERITIES, "unspecified", "with_recommendation"])
     status = F.when(F.col("total_issues") == 0, "no_issues").when(F.col("critical") + F.col("warning") > 0, "needs_review").otherwise("recommendations_only")
     words = F.create_map(*[F.lit(x) for kv in CONCLUSIONS.items() for x in kv])
     return out.withColumn("status", status).withColumn("conclusion", words[F.col("status")])

@@ -79,7 +79,8 @@ def payloads(reports: DataFrame, issues: DataFrame) -> DataFrame:
     of_severity = F.map_from_arrays(F.array(*map(F.lit, [*SEVERITIES, "unspecified"])), F.array(*[ords("severity", v) for v in [*SEVERITIES, "unspecified"]]))
     of_check = F.map_from_arrays(F.col("__checks"), F.transform("__checks", lambda v: ords("check_key", v)))
     none = F.array().cast(listed.schema["issues"].dataType)
-    both = reports.join(listed, "doc_id", "left").withColumn("issues", F.coalesce("issues", none))
+    # never broadcast: the planner takes the lists of issues to be as small as the compressed file that they are read from
+    both = reports.join(listed.hint("merge"), "doc_id", "left").withColumn("issues", F.coalesce("issues", none))
     # the names of the groups of each issue, once; groups of an issue are looked up many times
     named = F.transform("issues", lambda x: F.struct(x["issue_ord"].alias("issue_ord"), by(x["severity"], "unspecified").alias("severity"), by(x["check_key"], "unknown").alias("check_key")))
     both = both.withColumn("__named", named).withColumn("__checks", F.array_sort(F.array_distinct(F.col("__named.check_key"))))
@@ -173,6 +174,6 @@ def report_files(reports: DataFrame, issues: DataFrame, names: DataFrame | None
     names: doc_id and filename of the documents' files, one row each; the report is named after it."""
     row = F.struct("issue_ord", "message", "severity", "check_key", "fragment_text", "section_title", "recommendation")
     listed = issues.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("issues"))
-    both = reports.join(listed, "doc_id", "left").withColumn("issues", F.coalesce("issues", F.array().cast(listed.schema["issues"].dataType)))
+    both = reports.join(listed.hint("merge"), "doc_id", "left").withColumn("issues", F.coalesce("issues", F.array().cast(listed.schema["issues"].dataType)))
     both = both.withColumn("__name", F.lit(None).cast("string")) if names is None else both.join(names.select("doc_id", F.col("filename").alias("__name")), "doc_id", "left")
     return both.select("doc_id", F.concat(file_stem(F.col("__name")), F.lit("-report.docx")).alias("filename"), _report_file("__name", "conclusion", "issues").alias("content"))

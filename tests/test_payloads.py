@@ -119,3 +119,12 @@ def test_reports_count_checks_in_one_grouping(spark):
     out = issues.report(spark.range(1, 4).withColumnRenamed("id", "doc_id"), built)
     assert {r["doc_id"]: (r["total_issues"], r["by_check"]) for r in out.collect()} == {1: (3, {"a": 1, "b": 2}), 2: (1, {"unknown": 1}), 3: (0, None)}
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_lists_of_issues_are_never_broadcast(spark):
+    built = cut(spark.range(1, 9).selectExpr("id AS doc_id", "1 AS issue_ord", "'c' AS check_key", "'warning' AS severity", "repeat('m', 9999) AS message", "'f' AS fragment_text", "'s' AS section_title", "'r' AS recommendation"))
+    d = cut(docs(spark, ["a"], ["b"]))
+    reports = issues.report(d, built)
+    for made in (reports, exports.payloads(reports, built), exports.report_files(reports, built)):
+        plan = made._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan  # the file is small, as it is compressed, not its rows
